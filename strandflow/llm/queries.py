@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandflow.llm import bpe, chatformat, decontam, langid, pii, sharding, toxicity
+from strandflow.llm import bpe, chatformat, decontam, jaccard, langid, pii, sharding, toxicity
 from strandflow.session import table
 
 
@@ -44,6 +44,10 @@ def op9_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_shard, op4_language_id, op6_toxicity, op7_pii, op8_chat_format, op9_bpe)}
+def op10_ngram_jaccard(spark, sf_dir):
+    return jaccard.digest(table(spark, sf_dir, "documents"))
 
-ORACLES = {"op1_decontaminate": decontam.ORACLE, "op2_shard": sharding.ORACLE, "op8_chat_format": chatformat.ORACLE}
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_shard, op4_language_id, op6_toxicity, op7_pii, op8_chat_format, op9_bpe, op10_ngram_jaccard)}
+
+ORACLES = {"op1_decontaminate": decontam.ORACLE, "op2_shard": sharding.ORACLE, "op8_chat_format": chatformat.ORACLE, "op10_ngram_jaccard": jaccard.ORACLE}
