@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandflow.llm import bpe, chatformat, decontam, jaccard, langid, pii, runindex, sharding, toxicity
+from strandflow.llm import anngraph, bpe, chatformat, decontam, jaccard, langid, pii, runindex, sharding, toxicity
 from strandflow.session import table
 
 
@@ -32,6 +32,10 @@ def op4_language_id(spark, sf_dir):
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_links(spark, sf_dir):
+    return anngraph.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,6 @@ def op10_ngram_jaccard(spark, sf_dir):
     return jaccard.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_shard, op3_repeated_substrings, op4_language_id, op6_toxicity, op7_pii, op8_chat_format, op9_bpe, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_shard, op3_repeated_substrings, op4_language_id, op5_embedding_links, op6_toxicity, op7_pii, op8_chat_format, op9_bpe, op10_ngram_jaccard)}
 
-ORACLES = {"op1_decontaminate": decontam.ORACLE, "op2_shard": sharding.ORACLE, "op3_repeated_substrings": runindex.ORACLE, "op8_chat_format": chatformat.ORACLE, "op10_ngram_jaccard": jaccard.ORACLE}
+ORACLES = {"op1_decontaminate": decontam.ORACLE, "op2_shard": sharding.ORACLE, "op3_repeated_substrings": runindex.ORACLE, "op5_embedding_links": anngraph.ORACLE, "op8_chat_format": chatformat.ORACLE, "op10_ngram_jaccard": jaccard.ORACLE}
