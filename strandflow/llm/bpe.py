@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The public split pattern of this vocabulary.
@@ -243,14 +244,15 @@ def decode_documents(docs: DataFrame, vocabulary: str, *, ids_col: str = "token_
     return docs.mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    from pyspark.sql import functions as F
-
-    both = decode_documents(encode_documents(docs.select("doc_id", "text"), vocabulary), vocabulary)
-    return both.select(
-        "doc_id",
+def digest_columns() -> list:
+    return [
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
-    )
+    ]
+
+
+def digest(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    both = decode_documents(encode_documents(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    return both.select("doc_id", *digest_columns())
