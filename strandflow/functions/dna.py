@@ -73,19 +73,24 @@ def edge_code(src: Column, dst: Column) -> Column:
     return F.shiftleft(src, 2).bitwiseOR(dst.bitwiseAND(F.lit(3)))
 
 
-def kmers(sequence: Column, k: int) -> Column:
-    """Array of the codes of all k-mers in order; empty if the sequence is shorter than k."""
+def windows(sequence: Column, k: int) -> Column:
+    """Array of all substrings of k bases in order (other letters as A); empty if the sequence is shorter."""
     check_k(k)
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast("array<string>")
 
     def of(s: Column) -> Column:
         last = F.length(s) - k + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: _code_of_clean(F.substr(s, i, F.lit(k))))).otherwise(none)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(s, i, F.lit(k)))).otherwise(none)
 
-    # bound once: inside the inner lambda an expression would be computed again for every k-mer
+    # bound once: inside the inner lambda an expression would be computed again for every window
     return F.coalesce(F.element_at(F.transform(F.array(clean(sequence)), of), 1), none)
 
 
+def kmers(sequence: Column, k: int) -> Column:
+    """Array of the codes of all k-mers in order."""
+    return F.transform(windows(sequence, k), _code_of_clean)
+
+
 def gc_content(sequence: Column) -> Column:
     """Share of G and C among A, T, C, G; 0 for none."""
     gc = F.length(F.regexp_replace(sequence, "[^GC]", ""))

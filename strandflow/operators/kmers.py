@@ -9,9 +9,10 @@ from strandflow.functions import dna
 
 
 def count_kmers(reads: DataFrame, k: int, min_count: int = 1, *, sequence: str = "sequence", canonical: bool = False) -> DataFrame:
-    """(kmer, cnt) with cnt >= min_count. One shuffle of partially counted 8-byte codes."""
-    code = F.explode(dna.kmers(F.col(sequence), k)).alias("kmer")
-    found = reads.select(code)
+    """(kmer, cnt) with cnt >= min_count. One shuffle of partial counts; only different k-mers are packed into codes."""
+    words = reads.select(F.explode(dna.windows(F.col(sequence), k)).alias("w")).groupBy("w").agg(F.count("*").alias("cnt"))
+    code = dna.encode(F.col("w"))
     if canonical:
-        found = found.select(dna.canonical(F.col("kmer"), k).alias("kmer"))
-    return found.groupBy("kmer").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_count)
+        strands = words.select(dna.canonical(code, k).alias("kmer"), "cnt")
+        return strands.groupBy("kmer").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= min_count)
+    return words.where(F.col("cnt") >= min_count).select(code.alias("kmer"), "cnt")
