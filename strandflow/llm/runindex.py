@@ -35,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.textpack import BYTE_VALUES, mix, prefix_sums, slices, span_hashes, text_bytes
+from strandflow.llm.textpack import BYTE_VALUES, mix, prefix_sums, slices, span_hashes, text_bytes, window_hashes
 from strandflow.session import materialize
 
 LENGTH = 50
 SEED = 24
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Bytes of text that make up about one bucket of anchors, and one of segments.
 ANCHOR_BUCKET_BYTES = 24 << 20
-INDEX_BUCKET_BYTES = 6 << 20
+INDEX_BUCKET_BYTES = 4 << 20
 #: Documents from which on an anchor's windows are dealt one by one.
 HOT = 2000
 
@@ -77,8 +77,7 @@ class _Block:
         if n < LENGTH:
             return
         self.sums = prefix_sums(self.data, BYTE_VALUES)
-        at = np.arange(n - SEED + 1)
-        least = span_hashes(self.sums, at, at + SEED)
+        least = window_hashes(self.sums, SEED)
         width, span = LENGTH - SEED + 1, 1
         while span * 2 <= width:
             least = np.minimum(least[:-span], least[span:])

@@ -30,7 +30,10 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over 64 output bits (a bijection)."""
-    x = x.astype(np.uint64, copy=True)
+    return _mix_in_place(x.astype(np.uint64, copy=True))
+
+
+def _mix_in_place(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
@@ -111,6 +114,14 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def window_hashes(sums: np.ndarray, size: int) -> np.ndarray:
+    """`span_hashes` of every window of `size` bytes."""
+    x = sums[size:] - sums[:-size]
+    x *= _power("inverse", _INVERSE, len(sums))[: len(x)]
+    x += np.uint64(size)
+    return _mix_in_place(x)
+
+
 def word_hashes(column: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash (A-Z as a-z) and row number of every word of a text column."""
     data, offsets = text_bytes(column)
