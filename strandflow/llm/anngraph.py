@@ -360,11 +360,13 @@ def link_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
 
 def audit_recall(vectors: DataFrame, linked: DataFrame, *, sample: int = 200, threshold: float = THRESHOLD) -> float:
-    """Links that `linked` has of those that brute force finds for a sample of the valid vectors.
+    """Links that `linked` has of those that brute force finds for a sample of the valid vectors of the commonest length.
 
     The sample, of bounded size, is broadcast and compared with all rows, block by block.
     """
     units = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_units, "vec_id long, unit binary").where("unit IS NOT NULL")
+    common = units.groupBy(F.octet_length("unit").alias("length")).count().orderBy(F.desc("count"), "length").first()
+    units = units.where(F.octet_length("unit") == (common[0] if common else 0))
     queries = {r[0]: bytes(r[1]) for r in units.orderBy(F.xxhash64("vec_id", F.lit("audit")), "vec_id").limit(sample).collect()}
     if not queries:
         return 1.0

@@ -39,7 +39,7 @@ MIN_POSTERIOR = 0.9
 #: Code points between mentions that count as neighbours in the chain.
 NEAR = 40
 #: Prior counts of label pairs on skip edges: equal labels are expected.
-AGREE, DISAGREE = 20.0, 0.5
+AGREE, DISAGREE = 100.0, 0.5
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]++@?")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -181,7 +181,7 @@ def infer(m: Mentions, model: dict) -> np.ndarray:
     n, k = len(m.spans), len(LABELS)
     unary = np.array([model["shapes"].get(repr(s), model["unseen"]) for s in m.shapes])
     # a shape is weak evidence against a kind where the patterns cannot see it; clamped labels are certain
-    unary = np.maximum(unary, math.log(0.02))
+    unary = np.maximum(unary, math.log(0.05))
     for i, x in enumerate(m.label):
         if x > 0:
             unary[i] = -50.0
