@@ -9,11 +9,14 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch; documents are large rows, so Spark's default of 10,000 would hold tens of MB in each worker.
+ARROW_ROWS = "1000"
+
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def attach(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers started for `spark`.
+    """Make this package importable in Python workers started for `spark`, and keep Arrow batches small.
 
     On a cluster the package is installed on the executors or shipped with
     ``--py-files``; this only covers sessions whose workers share the driver's disk.
@@ -22,6 +25,9 @@ def attach(spark: SparkSession) -> SparkSession:
     paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH") or "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, ARROW_ROWS)
     return spark
 
 
