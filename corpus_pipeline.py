@@ -48,7 +48,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token_ids (little-endian unsigned 32-bit), n_tokens, and digests of ids and of their decoded text."""
     attach(spark)
-    both = bpe.decode_documents(bpe.encode_documents(docs.select("doc_id", "text"), vocabulary()), vocabulary())
+    both = bpe.encode_documents(docs.select("doc_id", "text"), vocabulary(), decoded_col="decoded")
     return both.select("doc_id", "token_ids", *bpe.digest_columns())
 
 

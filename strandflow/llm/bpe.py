@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandflow.llm.textpack import slices
+
 #: The public split pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -35,7 +37,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _LATIN = re.compile(f" ?[{_L}]+| ?[{_N}]+|'(?:[stmd]|re|ve|ll)| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _BEYOND = re.compile("[^\x00-ɏ]")
-_CACHE = 250_000
+_CACHE = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -79,10 +81,6 @@ class BytePairEncoder:
         self.pieces = _Table(self._encode_piece, _CACHE)
         self._split = regex.compile(PATTERN).findall
         self._specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        texts = tokens | {i: t.encode() for t, i in self.special.items()}
-        ordered = [texts.get(i, b"") for i in range(n)]
-        self.offsets = np.cumsum([0, *map(len, ordered)]).astype(np.int64)
-        self.blob = np.frombuffer(b"".join(ordered), np.uint8)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens on one edge of a token's merge tree, with the rank at which each is merged away."""
@@ -167,6 +165,24 @@ class BytePairEncoder:
         split = self._split if _BEYOND.search(text) else _LATIN.findall
         return b"".join(map(self.pieces.__getitem__, split(text)))
 
+    def forget(self) -> None:
+        """Empty the memory of pre-tokens, which would else stay in a reused worker."""
+        self.pieces.clear()
+        self.pieces.older = {}
+
+
+class Decoder:
+    """Bytes of all tokens in one array with an offset table."""
+
+    def __init__(self, source: str):
+        spec, alphabet = json.loads(source), byte_alphabet()
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        texts = {i: bytes(alphabet[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in special}
+        texts |= {i: t.encode() for t, i in special.items()}
+        ordered = [texts.get(i, b"") for i in range(max(texts) + 1)]
+        self.offsets = np.cumsum([0, *map(len, ordered)]).astype(np.int64)
+        self.blob = np.frombuffer(b"".join(ordered), np.uint8)
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of ids (unsigned 32-bit array)."""
         ids = ids.astype(np.int64)
@@ -195,15 +211,17 @@ class _Table(dict):
         return value
 
 
-_ENCODERS: dict[str, BytePairEncoder] = {}
+_LOADED: dict[tuple, object] = {}
 
 
-def encoder(source: str) -> BytePairEncoder:
-    key = hashlib.sha256(source.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = BytePairEncoder(source)
-    return _ENCODERS[key]
+def load(kind: type, source: str):
+    """Tables of a vocabulary, kept for the worker's next tasks."""
+    key = (kind.__name__, hashlib.sha256(source.encode()).hexdigest())
+    if key not in _LOADED:
+        for other in [k for k in _LOADED if k[0] == kind.__name__]:
+            del _LOADED[other]
+        _LOADED[key] = kind(source)
+    return _LOADED[key]
 
 
 def _read(path: str) -> str:
@@ -211,24 +229,35 @@ def _read(path: str) -> str:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, *, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, *, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
     """Add `ids_col` (binary, little-endian unsigned 32-bit ids). `vocabulary`: path of a tokenizers JSON file on the driver.
 
-    The vocabulary (a file of fixed size, a few MB) is broadcast; a column named like the output is replaced.
+    With `decoded_col` the ids are decoded in the same task and the text is added too. The vocabulary (a file
+    of fixed size, a few MB) is broadcast; columns named like the outputs are replaced.
     """
     source = docs.sparkSession.sparkContext.broadcast(_read(vocabulary))
-    docs = docs.drop(ids_col)
-    schema = T.StructType([*docs.schema, T.StructField(ids_col, T.BinaryType())])
+    added = [T.StructField(ids_col, T.BinaryType())] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
+    docs = docs.drop(*(f.name for f in added))
+    schema = T.StructType([*docs.schema, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = encoder(source.value)
-        for batch in batches:
+        table = load(BytePairEncoder, source.value)
+        back = load(Decoder, source.value) if decoded_col else None
+        for batch in slices(batches, text_col):
             ids = [table.encode(t.as_py()) for t in batch.column(text_col)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, ids_col])
+            new = [pa.array(ids, pa.binary())]
+            if back:
+                new.append(pa.array([_text(back, i) for i in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(f.name for f in added)])
+        table.forget()
 
     return docs.mapInArrow(run, schema)
 
 
+def _text(table: Decoder, ids: bytes | None) -> str:
+    return table.decode(np.frombuffer(ids or b"", "<u4")).decode("utf-8", "replace")
+
+
 def decode_documents(docs: DataFrame, vocabulary: str, *, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """Add `text_col`, the text of `ids_col`; invalid UTF-8 becomes U+FFFD, null ids an empty text."""
     source = docs.sparkSession.sparkContext.broadcast(_read(vocabulary))
@@ -236,9 +265,9 @@ def decode_documents(docs: DataFrame, vocabulary: str, *, ids_col: str = "token_
     schema = T.StructType([*docs.schema, T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = encoder(source.value)
+        table = load(Decoder, source.value)
         for batch in batches:
-            texts = [table.decode(np.frombuffer(b.as_py() or b"", "<u4")).decode("utf-8", "replace") for b in batch.column(ids_col)]
+            texts = [_text(table, b.as_py()) for b in batch.column(ids_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
 
     return docs.mapInArrow(run, schema)
@@ -254,5 +283,5 @@ def digest_columns() -> list:
 
 def digest(docs: DataFrame, vocabulary: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode_documents(encode_documents(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    both = encode_documents(docs.select("doc_id", "text"), vocabulary, decoded_col="decoded")
     return both.select("doc_id", *digest_columns())

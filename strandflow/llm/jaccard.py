@@ -39,10 +39,10 @@ SHINGLE = 3
 #: Threshold as a fraction.
 NUMERATOR, DENOMINATOR = 90, 100
 #: Bytes of text whose keys make up about one bucket.
-BUCKET_BYTES = 24 << 20
-SLICE_BYTES = 8 << 20
+BUCKET_BYTES = 12 << 20
+SLICE_BYTES = 3 << 20
 CELL_ROWS = 1000
-CELL_BYTES = 8 << 20
+CELL_BYTES = 4 << 20
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

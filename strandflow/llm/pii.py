@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandflow.llm.textpack import slices
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 SAMPLE_DOCS = 2000
@@ -247,26 +249,24 @@ def find_pii(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFra
 
 def redact(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFrame:
     """Replace every span by its kind in angle brackets; other columns and null texts stay."""
-    found = find_pii(docs, model, text_col=text_col)
-    shared_schema = T.StructType([f for f in docs.schema])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_col):
             out = []
-            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column("pii_spans").to_pylist()):
-                if spans:
-                    parts, last = [], 0
-                    for s in spans:
-                        if s["start"] >= last:
-                            parts += [text[last : s["start"]], f"<{s['kind'].upper()}>"]
-                        last = max(last, s["end"])
-                    text = "".join(parts) + text[last:]
-                out.append(text)
-            cols = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(shared_schema))]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in shared_schema])
-
-    return found.mapInArrow(run, shared_schema)
+            for text in batch.column(text_col):
+                text = text.as_py()
+                parts, last = [], 0
+                for kind, start, end in find_spans(text, shared.value)[1]:
+                    if start >= last:
+                        parts += [text[last:start], f"<{kind.upper()}>"]
+                    last = max(last, end)
+                out.append("".join(parts) + text[last:] if parts else text)
+            cols = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _equals(kind: str):

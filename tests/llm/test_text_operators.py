@@ -186,6 +186,8 @@ def test_bpe_equals_the_tokenizers_library(spark):
         assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.digest(docs(spark, []), vocabulary()).count() == 0
+    apart = bpe.decode_documents(bpe.encode_documents(docs(spark, list(enumerate(texts))), vocabulary()), vocabulary())
+    assert {r["doc_id"]: r["decoded"] for r in apart.collect()} == {i: t or "" for i, t in enumerate(texts)}
 
 
 def test_bpe_backtracks():
