@@ -55,7 +55,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = text_bytes(part.column("text"))
         ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([int.from_bytes(os.urandom(8), "little", signed=True)]), pa.array([ids.tobytes()]), pa.array([offsets.tobytes()]), pa.array([zstandard.compress(data.tobytes(), 3)])],
+            [pa.array([int.from_bytes(os.urandom(8), "little", signed=True)]), pa.array([ids.tobytes()]), pa.array([offsets.tobytes()]), pa.array([zstandard.compress(data.tobytes(), 6)])],
             names=["block", "ids", "offsets", "data"],
         )
 
@@ -108,7 +108,7 @@ class _Block:
         """Runs of windows with the same shared anchor.
 
         shared: sorted codes; hot: their flags. Returns for each run: first window, number of
-        windows, number among the different runs; and for those, sorted by hash: one of
+        windows, number among the different runs; and for those, in order: one of
         their runs (of least doc_id), that doc_id, the segment bucket's hash.
         """
         none = np.zeros(0, np.int64)
@@ -132,15 +132,19 @@ class _Block:
         sorted_content = content[order]
         new = np.ones(len(order), bool)
         new[1:] = sorted_content[1:] != sorted_content[:-1]
-        number = np.zeros(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
         lead = order[new]
+        by_place = np.argsort(lead)  # numbers follow the text, which packs ids and numbers well
+        rank = np.empty(len(lead), np.int64)
+        rank[by_place] = np.arange(len(lead))
+        number = np.empty(len(order), np.int64)
+        number[order] = rank[np.cumsum(new) - 1]
+        lead = lead[by_place]
         return first, size, number, lead, ids[lead], place[lead]
 
 
 def codes(anchor: np.ndarray, buckets: int) -> np.ndarray:
-    """40 bits of an anchor and its bucket in one number; rare collisions only add candidates."""
-    return (anchor >> np.uint64(24)) * np.uint64(buckets) + anchor % np.uint64(buckets)
+    """32 bits of an anchor and its bucket in one number; rare collisions only add candidates."""
+    return (anchor >> np.uint64(32)) * np.uint64(buckets) + anchor % np.uint64(buckets)
 
 
 def _split(order_key: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -151,14 +155,25 @@ def _split(order_key: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]
             yield i, order[cut[i] : cut[i + 1]]
 
 
-def _five(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8")[:, None].view(np.uint8)[:, :5]).tobytes()
+def _four(x: np.ndarray) -> bytes:
+    return x.astype("<u4").tobytes()
 
 
-def _from_five(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return out.view("<u8")[:, 0]
+def _from_four(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<u4").astype(np.uint64)
+
+
+def _pack_ints(x: np.ndarray) -> bytes:
+    """Compressed differences of neighbours."""
+    import zstandard
+
+    return zstandard.compress(np.diff(x.astype(np.int64), prepend=0).tobytes(), 1)
+
+
+def _unpack_ints(b: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.cumsum(np.frombuffer(zstandard.decompress(b), np.int64))
 
 
 def _send_anchors(buckets: int):
@@ -166,7 +181,7 @@ def _send_anchors(buckets: int):
         for batch in batches:
             for block, *packed in zip(*(c.to_pylist() for c in batch.columns)):
                 anchor, count = _Block(*packed).anchors()
-                rows = [(i, block, _five(anchor[mine] >> np.uint64(24)), np.minimum(count[mine], 255).astype(np.uint8).tobytes())
+                rows = [(i, block, _four(anchor[mine] >> np.uint64(32)), np.minimum(count[mine], 255).astype(np.uint8).tobytes())
                         for i, mine in _split((anchor % np.uint64(buckets)).astype(np.int64), buckets)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "block", "anchors", "counts"])
@@ -177,7 +192,7 @@ def _send_anchors(buckets: int):
 def _shared_anchors(table: pa.Table) -> pa.Table:
     """Of one bucket: the shared anchors of each block, and which of them are hot."""
     blocks = table.column("block").to_pylist()
-    parts = [_from_five(b) for b in table.column("anchors").to_pylist()]
+    parts = [_from_four(b) for b in table.column("anchors").to_pylist()]
     counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8)
     values, inverse = np.unique(np.concatenate(parts), return_inverse=True)
     total = np.bincount(inverse, weights=counts)
@@ -187,14 +202,14 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
         at += len(part)
         keep = n >= 2
         if keep.any():
-            rows.append((block, _five(part[keep]), (n[keep] >= HOT).tobytes()))
+            rows.append((block, _four(part[keep]), (n[keep] >= HOT).tobytes()))
     bucket = table.column("bucket")[0].as_py()
     cols = list(zip(*rows)) if rows else [[]] * 3
     return pa.table({"block": pa.array(cols[0], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "anchors": pa.array(cols[1], pa.binary()), "hot": pa.array(cols[2], pa.binary())})
 
 
 def _shared_of(found: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    shared = np.concatenate([_from_five(f["anchors"]) * np.uint64(buckets) + np.uint64(f["bucket"]) for f in found])
+    shared = np.concatenate([_from_four(f["anchors"]) * np.uint64(buckets) + np.uint64(f["bucket"]) for f in found])
     hot = np.concatenate([np.frombuffer(f["hot"], bool) for f in found])
     order = np.argsort(shared)
     return shared[order], hot[order]
@@ -217,7 +232,7 @@ def _send_segments(buckets: int, index_buckets: int):
                 for i, mine in _split((place % np.uint64(index_buckets)).astype(np.int64), index_buckets):
                     n = size[lead[mine]]
                     blob = _bytes_of(b.data, b.starts[first[lead[mine]]], n + LENGTH - 1)
-                    rows.append((i, block, mine.astype(np.int32).tobytes(), doc[mine].tobytes(), n.astype(np.int32).tobytes(), zstandard.compress(blob.tobytes(), 1)))
+                    rows.append((i, block, _pack_ints(mine), _pack_ints(doc[mine]), _pack_ints(n), zstandard.compress(blob.tobytes(), 3)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 4))], names=["bucket", "block", "numbers", "docs", "sizes", "blob"])
 
@@ -279,9 +294,9 @@ def _match_bucket(table: pa.Table) -> pa.Table:
 
     numbers, docs, sizes, blobs = [], [], [], []
     for a, d, s, b in zip(*(table.column(c).to_pylist() for c in ("numbers", "docs", "sizes", "blob"))):
-        numbers.append(np.frombuffer(a, np.int32))
-        docs.append(np.frombuffer(d, np.int64))
-        sizes.append(np.frombuffer(s, np.int32).astype(np.int64))
+        numbers.append(_unpack_ints(a))
+        docs.append(_unpack_ints(d))
+        sizes.append(_unpack_ints(s))
         blobs.append(np.frombuffer(zstandard.decompress(b), np.uint8))
     text, doc, size = np.concatenate(blobs), np.concatenate(docs), np.concatenate(sizes)
     start = np.concatenate([[0], np.cumsum(size + LENGTH - 1)[:-1]])
@@ -299,7 +314,7 @@ def _match_bucket(table: pa.Table) -> pa.Table:
         mine = slice(at, at + len(a))
         at += len(a)
         hit, n = index.matches(same[mine], doc[mine])
-        rows.append((block, a.tobytes(), n.astype(np.int32).tobytes(), np.packbits(hit).tobytes()))
+        rows.append((block, _pack_ints(a), _pack_ints(n), zstandard.compress(np.packbits(hit).tobytes(), 1)))
     return pa.table({c: pa.array(v, t) for c, v, t in zip(("block", "numbers", "sizes", "hits"), zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))})
 
 
@@ -307,6 +322,8 @@ def _cut(buckets: int):
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         for batch in batches:
             for ids, offsets, data, found, marks in zip(*(batch.column(c).to_pylist() for c in ("ids", "offsets", "data", "found", "marks"))):
                 b = _Block(ids, offsets, data)
@@ -316,8 +333,8 @@ def _cut(buckets: int):
                     base = np.concatenate([[0], np.cumsum(size[lead])])  # windows of the different segments
                     hit = np.zeros(base[-1], bool)
                     for m in marks:
-                        a, n = np.frombuffer(m["numbers"], np.int32), np.frombuffer(m["sizes"], np.int32).astype(np.int64)
-                        bits = np.unpackbits(np.frombuffer(m["hits"], np.uint8), count=int(n.sum())).astype(bool)
+                        a, n = _unpack_ints(m["numbers"]), _unpack_ints(m["sizes"])
+                        bits = np.unpackbits(np.frombuffer(zstandard.decompress(m["hits"]), np.uint8), count=int(n.sum())).astype(bool)
                         ends = np.cumsum(n)
                         hit[np.arange(len(bits)) + np.repeat(base[a] - (ends - n), n)] = bits
                     ends = np.cumsum(size)
@@ -382,18 +399,17 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-p AS (SELECT doc_id, i, substr(x, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, x, unnest(range(CAST(length(x) // 2 - 49 AS BIGINT))) AS i FROM d WHERE length(x) >= 100)),
-m AS (SELECT hash(s) AS h, min(doc_id) AS first FROM p GROUP BY 1),
-hit AS (SELECT doc_id, i FROM p JOIN m ON hash(p.s) = m.h WHERE m.first < p.doc_id),
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+p AS MATERIALIZED (SELECT doc_id, i, hash(x[i + 1:i + 50]) AS h FROM (SELECT doc_id, x, unnest(range(n - 49)) AS i FROM d WHERE n >= 50)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM p) WHERE first < doc_id),
 runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (
            SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
              SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hit))
          GROUP BY doc_id, run),
 gaps AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM runs),
-kept AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(x, CAST(2 * since + 1 AS BIGINT), CAST(2 * (a - since) AS BIGINT)), '' ORDER BY a) AS head
+kept AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(CASE WHEN a > since THEN hex(x[since + 1:a]) ELSE '' END, '' ORDER BY a) AS head
          FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(coalesce(head, '') || substr(x, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || CASE WHEN n > coalesce(last, 0) THEN hex(x[CAST(coalesce(last, 0) AS BIGINT) + 1:n]) ELSE '' END)) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
