@@ -114,19 +114,23 @@ class _Block:
         none = np.zeros(0, np.int64)
         if not len(self.starts) or not len(shared):
             return none, none, none, none, none, np.zeros(0, np.uint64)
-        code = codes(self.anchor, buckets)
+        cut = np.ones(len(self.anchor), bool)
+        cut[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.row[1:] != self.row[:-1])
+        first = np.flatnonzero(cut)
+        size = np.diff(np.append(first, len(self.anchor)))
+        code = codes(self.anchor[first], buckets)  # looked up once a run
         at = np.minimum(np.searchsorted(shared, code), len(shared) - 1)
         known = shared[at] == code
-        single = known & hot[at]
-        cut = np.ones(len(code), bool)
-        cut[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.row[1:] != self.row[:-1]) | single[1:] | single[:-1]
-        first = np.flatnonzero(cut)
-        size = np.diff(np.append(first, len(code)))
-        keep = known[first]
-        first, size = first[keep], size[keep]
+        first, size, code, single = first[known], size[known], code[known], hot[at[known]]
+        if single.any():
+            parts = np.where(single, size, 1)
+            ends = np.cumsum(parts)
+            first = np.repeat(first, parts) + np.where(np.repeat(single, parts), np.arange(ends[-1]) - np.repeat(ends - parts, parts), 0)
+            size = np.where(np.repeat(single, parts), 1, np.repeat(size, parts))
+            code, single = np.repeat(code, parts), np.repeat(single, parts)
         start = self.starts[first]
         content = span_hashes(self.sums, start, start + size + LENGTH - 1)
-        place = np.where(single[first], content, mix(code[first]))
+        place = np.where(single, content, mix(code))
         ids = self.ids[self.row[first]]
         order = np.lexsort((ids, content))
         sorted_content = content[order]
@@ -239,6 +243,17 @@ def _send_segments(buckets: int, index_buckets: int):
     return run
 
 
+def _equal_groups(keys: list[np.ndarray]) -> np.ndarray:
+    """Number of each row's group of equal keys: grouped by a hash, then compared key by key."""
+    h = keys[0]
+    for k in keys[1:]:
+        h = mix(h) + k
+    _, first, same = np.unique(mix(h), return_index=True, return_inverse=True)
+    if any((k != k[first][same]).any() for k in keys):  # a collision of hashes
+        _, same = np.unique(np.stack(keys, 1), axis=0, return_inverse=True)
+    return same.reshape(-1)
+
+
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of segments, of order `LENGTH`.
 
@@ -260,12 +275,14 @@ class RunIndex:
             eight = (eight << np.uint64(8)) | padded[i : i + len(text)]
         keys = [eight[self.at + i] for i in range(0, LENGTH - 7, 8)]
         keys.append(eight[self.at + LENGTH - 8])  # overlaps the one before; orders and separates the same
-        order = np.lexsort(keys[::-1])
-        differs = np.zeros(len(order), bool)
-        differs[:1] = True
-        for k in keys:
-            k = k[order]
-            differs[1:] |= k[1:] != k[:-1]
+        same = _equal_groups(keys)
+        lead = np.unique(same, return_index=True)[1]
+        rank = np.empty(len(lead), np.int64)
+        rank[np.lexsort([k[lead] for k in keys[::-1]])] = np.arange(len(lead))
+        context = rank[same]
+        order = np.argsort(context, kind="stable")
+        differs = np.ones(len(order), bool)
+        differs[1:] = context[order][1:] != context[order][:-1]
         before = np.where(self.at == starts[which], 0, text[self.at - 1])[order]
         run = differs.copy()
         run[1:] |= before[1:] != before[:-1]
@@ -274,11 +291,9 @@ class RunIndex:
         self.ends = np.stack([self.at[order[heads]], self.at[order[np.append(heads[1:], len(order)) - 1]]], 1) if len(order) else np.zeros((0, 2), np.int64)
         self.length = np.diff(np.append(heads, len(order)))
         self.context = np.cumsum(differs[heads]) - 1
-        row_context = np.cumsum(differs) - 1
         contexts = np.flatnonzero(differs)
         self.least = np.minimum.reduceat(docs[which][order], contexts) if len(order) else np.zeros(0, np.int64)
-        self.row_context = np.empty(len(order), np.int64)
-        self.row_context[order] = row_context
+        self.row_context = context
 
     def matches(self, segment: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each window of the given indexed segments, one after the other: whether its first
