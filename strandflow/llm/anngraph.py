@@ -10,9 +10,14 @@ dense regions get many. Then
  * the other vectors go to the shards of their `OVERLAP` nearest centres. A shard builds a
    graph by robust pruning; the adjacency lists of a vector's shards are united; then every
    vector of a shard searches from the shard's medoid, greedily over `BEAM` expansions and
-   on through every vector in range. A pair is counted in the least shard that both have.
+   on through every vector in range;
+ * what balls and searches link is followed across shards: linked vectors form groups
+   (connected components), and the loose vectors of a group are compared pair by pair, so a
+   group that is spread over many shards loses no link;
+ * a sample of loose vectors is compared with all rows. While less than `RECALL` of its links
+   are found, the overlap grows, in the end until all loose vectors are one group.
 Every link counted is checked in double precision. `audit_recall` measures recall against
-brute force on a sample. Shards and balls beyond `CELL_ROWS` are grids of cells.
+brute force from outside. Shards, groups and balls beyond their rows are grids of cells.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing; vectors of different lengths do not link; equal vec_ids are separate vectors
@@ -41,6 +46,14 @@ POOL = 64
 ALPHA = 1.2
 BEAM = 32
 CELL_ROWS = 3000
+#: Rows of a cell of a group, and of the tiles in which its pairs are compared.
+GROUP_ROWS = 6000
+TILE = 256
+#: Share of the links of `AUDIT` sampled vectors that must be found, or the overlap grows.
+RECALL = 0.9
+AUDIT = 1000
+#: Up to so many vectors for each shard of a vector, comparing all pairs costs less than the shards.
+EXHAUSTIVE = 30000
 #: Margin of decisions by angles; closer ones are compared exactly.
 SLACK = 1e-7
 
@@ -74,7 +87,7 @@ def _angle(cosine: np.ndarray) -> np.ndarray:
 _ASSIGNED = "rep long, unit binary, weight long, home int, cosine double, tight boolean, cells array<int>"
 
 
-def _assign(centres, threshold: float):
+def _assign(centres, threshold: float, overlap: int):
     half = math.acos(threshold) / 2 - SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,8 +96,7 @@ def _assign(centres, threshold: float):
             if not batch.num_rows:
                 continue
             near = _matrix(batch.column("unit")) @ c.T
-            k = min(OVERLAP, len(c))
-            cells = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            cells = np.argpartition(-near, overlap - 1, axis=1)[:, :overlap]
             home = near.argmax(1)
             best = near[np.arange(len(home)), home]
             tight = _angle(best) <= half
@@ -254,50 +266,103 @@ def _shard_graph(table: pa.Table) -> pa.Table:
 
 
 def _shard_search(threshold: float):
+    """Edges (a, b) that join what the searches of a shard find in range of each other."""
+
     def run(table: pa.Table) -> pa.Table:
-        x, ids, weight = _matrix(table.column("unit")), table.column("rep").to_numpy(), table.column("weight").to_numpy()
-        cell = table.column("cell")[0].as_py()
-        side = table.column("side").to_numpy()
+        x, ids = _matrix(table.column("unit")), table.column("rep").to_numpy()
         number = {i: k for k, i in enumerate(ids.tolist())}
         lists = [[number[j] for j in l if j in number] for l in table.column("near").to_pylist()]
         medoid = int((x @ x.mean(0)).argmax())
         found = range_search(x, lists, medoid, threshold)
         found |= found.T
-        np.fill_diagonal(found, False)
-        a, b = np.nonzero(found)
-        ok = (side[a] != side[b]) | (side[a] == 2)
-        cells = table.column("cells").to_pylist()
-        width = max(map(len, cells))
-        of = np.array([c + [-1 - k for k in range(width - len(c))] for c in cells])
-        a, b = a[ok], b[ok]
-        least = np.full(len(a), np.iinfo(np.int64).max)
-        for i in range(width):
-            for j in range(width):
-                least = np.where((of[a, i] == of[b, j]) & (of[a, i] >= 0), np.minimum(least, of[a, i]), least)
-        ok = least == cell
-        a, b = a[ok], b[ok]
-        n = np.zeros(len(x), np.int64)
-        np.add.at(n, a, weight[b])
-        some = np.flatnonzero(n)
+        root = np.full(len(x), -1)
+        for i in range(len(x)):
+            if root[i] < 0:
+                root[i], todo = i, [i]
+                while todo:
+                    new = np.flatnonzero(found[todo.pop()] & (root < 0))
+                    root[new] = i
+                    todo += new.tolist()
+        some = np.flatnonzero(root != np.arange(len(x)))
+        return pa.table({"a": pa.array(ids[some]), "b": pa.array(ids[root[some]])})
+
+    return run
+
+
+def _group_links(threshold: float):
+    """Links between the vectors of a cell of a group, every pair compared: counts (n) and edges that span them (e)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, ids, weight = _matrix(table.column("unit")), table.column("rep").to_numpy(), table.column("weight").to_numpy()
+        side = table.column("side").to_numpy()
+        n = np.where(side == 2, -weight, 0)
         root = np.arange(len(x))
-        edges = []
-        for i, j in zip(a.tolist(), b.tolist()):
-            if root[i] != root[j]:
-                edges.append((ids[i], ids[j]))
-                root[root == root[j]] = root[i]
+        for own, other in ((2, 2), (0, 1), (1, 0)):
+            rows, to = np.flatnonzero(side == own), np.flatnonzero(side == other)
+            y, w = x[to], weight[to].astype(np.float64)
+            for at in range(0, len(rows), TILE):
+                part = rows[at : at + TILE]
+                hit = x[part] @ y.T >= threshold
+                if own == 2:
+                    hit[np.arange(len(part)), at + np.arange(len(part))] = True  # a vector is counted, and taken off above
+                n[part] += np.rint(hit @ w).astype(np.int64)
+                for r, i in enumerate(part.tolist() if own != 1 else []):
+                    met = root[to[hit[r]]]
+                    if (met != root[i]).any():
+                        met = np.unique(np.append(met, root[i]))
+                        root[np.isin(root, met)] = met[0]
+        some, far = np.flatnonzero(n), np.flatnonzero(root != np.arange(len(x)))
         return pa.table({
-            "kind": pa.array(["n"] * len(some) + ["e"] * len(edges), pa.string()),
-            "a": pa.array([*ids[some].tolist(), *(int(e[0]) for e in edges)], pa.int64()),
-            "b": pa.array([*n[some].tolist(), *(int(e[1]) for e in edges)], pa.int64()),
+            "kind": pa.array(["n"] * len(some) + ["e"] * len(far), pa.string()),
+            "a": pa.array(np.concatenate([ids[some], ids[far]])),
+            "b": pa.array(np.concatenate([n[some], ids[root[far]]])),
         })
 
     return run
 
 
-def _cells(rows: DataFrame, key: str) -> DataFrame:
+def _audit_sample(assigned: DataFrame, threshold: float) -> dict[int, int]:
+    """True links (weights of other classes in range) of at most `AUDIT` loose classes, by brute force over all classes."""
+    some = assigned.where("NOT tight").orderBy(F.xxhash64("rep", F.lit("audit"))).select("rep", "unit", "weight").limit(AUDIT).collect()
+    if not some:
+        return {}
+    shared = assigned.sparkSession.sparkContext.broadcast(b"".join(bytes(r["unit"]) for r in some))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = np.frombuffer(shared.value, np.float64).reshape(len(some), -1)
+        n = np.zeros(len(q))
+        for batch in batches:
+            if batch.num_rows:
+                n += (q @ _matrix(batch.column("unit")).T >= threshold) @ batch.column("weight").to_numpy().astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(q))), pa.array(np.rint(n).astype(np.int64))], names=["k", "n"])
+
+    some = [(r["rep"], r["weight"]) for r in some]
+    found = assigned.select("unit", "weight").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    return {some[r["k"]][0]: r["n"] - some[r["k"]][1] for r in found}
+
+
+def _recall(sample: dict[int, int], counts: DataFrame) -> float:
+    """The lesser of the share of all links of the sample that were found and the mean share of a vector's own."""
+    true = {rep: n for rep, n in sample.items() if n > 0}
+    if not true:
+        return 1.0
+    got = dict(counts.where(F.col("rep").isin(list(true))).select("rep", "n").collect())
+    have = {rep: min(got.get(rep, 0), n) for rep, n in true.items()}
+    return min(sum(have.values()) / sum(true.values()), sum(have[rep] / n for rep, n in true.items()) / len(true))
+
+
+def _shard_edges(assigned: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) between loose vectors that searches of the shards found."""
+    dealt = _cells(assigned.where("NOT tight").select("rep", "unit", F.explode("cells").alias("cell")), "cell", CELL_ROWS)
+    lists = dealt.groupBy("cell", "i", "j").applyInArrow(_shard_graph, "rep long, near array<long>")
+    united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    return dealt.join(united, "rep").groupBy("cell", "i", "j").applyInArrow(_shard_search(threshold), "a long, b long")
+
+
+def _cells(rows: DataFrame, key: str, most: int) -> DataFrame:
     """Deal rows of each key to the cells (i, j) of its grid; side 2 compares with all, 0 with 1."""
     sizes = rows.groupBy(key).agg(F.count("*").alias("m"))
-    wide = sizes.where(F.col("m") > CELL_ROWS).select(key, F.ceil(F.col("m") / CELL_ROWS).cast("int").alias("grid"))
+    wide = sizes.where(F.col("m") > most).select(key, F.ceil(F.col("m") / most).cast("int").alias("grid"))
     mine = F.pmod(F.xxhash64("rep"), F.col("grid")).cast("int")
     places = F.transform(F.sequence(F.lit(0), F.col("grid") - 1), lambda k: F.struct(
         F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j"), F.when(k == mine, 2).when(mine < k, 0).otherwise(1).alias("side")))
@@ -316,7 +381,8 @@ def _of_length(units: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     sample = sorted(sample) or [bytes(classes.select("unit").orderBy(F.xxhash64("unit")).first()[0])]
     centres = np.frombuffer(b"".join(sample), np.float64).reshape(len(sample), -1)
     shared = sc.broadcast(centres)  # at most 2 * MAX_CLUSTERS vectors
-    assigned = materialize(classes.mapInArrow(_assign(shared, threshold), _ASSIGNED), "ann-assigned")
+    overlap = min(OVERLAP, len(centres))
+    assigned = materialize(classes.mapInArrow(_assign(shared, threshold, overlap), _ASSIGNED), "ann-assigned")
 
     found = assigned.where("tight").groupBy("home").agg(F.sum("weight"), F.min("cosine"), F.min("rep")).collect()  # a row for each centre at most
     balls = (np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64), _angle(np.array([r[2] for r in found])), np.array([r[3] for r in found], np.int64))
@@ -331,15 +397,31 @@ def _of_length(units: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     queries = routed.join(assigned.select("rep", "unit", "weight", "tight"), "rep").select("ball", "salt", "rep", "unit", "weight", "tight")
     checked = queries.groupBy("ball", "salt").cogroup(members.select("ball", "salt", "rep", "unit", "weight").groupBy("ball", "salt")).applyInArrow(_check_ball(threshold), "kind string, a long, b long")
 
-    loose = assigned.where("NOT tight").select("rep", "unit", "weight", "cells", F.explode("cells").alias("cell"))
-    dealt = _cells(loose, "cell")
-    lists = dealt.groupBy("cell", "i", "j").applyInArrow(_shard_graph, "rep long, near array<long>")
-    united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    searched = dealt.join(united, "rep").groupBy("cell", "i", "j").applyInArrow(_shard_search(threshold), "kind string, a long, b long")
-
-    all_found = materialize(decided.where("kind IN ('n', 'e')").unionByName(checked).unionByName(searched), "ann-links")
-    counts = all_found.where("kind = 'n'").select(F.col("a").alias("rep"), F.col("b").alias("n")).unionByName(for_members).groupBy("rep").agg(F.sum("n").alias("n"))
-    edges = all_found.where("kind = 'e'").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    by_balls = materialize(decided.where("kind IN ('n', 'e')").unionByName(checked), "ann-balls-found")
+    exact = by_balls.where("kind = 'n'").select(F.col("a").alias("rep"), F.col("b").alias("n")).unionByName(for_members)
+    edges = by_balls.where("kind = 'e'").select("a", "b")
+    loose = assigned.where("NOT tight").select("rep", "unit", "weight")
+    sample = _audit_sample(assigned, threshold)
+    while True:
+        whole = overlap >= len(centres)
+        if whole:
+            grouped = loose.withColumn("grp", F.lit(0).cast("long"))
+        else:
+            edges = materialize(edges.unionByName(_shard_edges(assigned, threshold)), "ann-edges")
+            groups = connected_components(edges, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+            grouped = loose.join(groups, "rep")
+        within = _cells(grouped, "grp", GROUP_ROWS).groupBy("grp", "i", "j").applyInArrow(_group_links(threshold), "kind string, a long, b long")
+        within = materialize(within, "ann-links")
+        found = within.where("kind = 'n'").select(F.col("a").alias("rep"), F.col("b").alias("n"))
+        counts = materialize(exact.unionByName(found).groupBy("rep").agg(F.sum("n").alias("n")), "ann-counts")
+        if whole or _recall(sample, counts) >= RECALL:
+            break
+        overlap = min(OVERLAP * overlap, len(centres))
+        if n <= EXHAUSTIVE * overlap:
+            overlap = len(centres)
+        if overlap < len(centres):
+            assigned = materialize(classes.mapInArrow(_assign(shared, threshold, overlap), _ASSIGNED), "ann-assigned")
+    edges = edges.unionByName(within.where("kind = 'e'").select("a", "b")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return units.join(classes, "unit").select("vec_id", "rep", "weight"), counts, edges
 
 

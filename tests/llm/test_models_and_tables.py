@@ -186,6 +186,28 @@ def test_embedding_links(spark, per, monkeypatch):
     assert anngraph.digest(df.limit(0)).count() == 0
 
 
+def test_a_loose_group_over_many_shards_keeps_its_links(spark, monkeypatch):
+    monkeypatch.setattr(anngraph, "PER_CLUSTER", 20)
+    monkeypatch.setattr(anngraph, "GROUP_ROWS", 250)
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=64)
+    x = rng.normal(size=(1200, 64))
+    x[:600] = centre + 0.235 * rng.normal(size=(600, 64)) * np.linalg.norm(centre) / 8  # a third of all rows and more, cosine about 0.95
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, x[i].tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = {r["vec_id"]: tuple(r[1:4]) for r in anngraph.digest(df).collect()}, brute_links(rows)
+    assert sum(v[0] for v in want.values()) > 300_000 and got == want
+
+
+def test_low_recall_widens_the_search(spark, monkeypatch):
+    monkeypatch.setattr(anngraph, "_shard_edges", lambda assigned, threshold: assigned.select(assigned.rep.alias("a"), assigned.rep.alias("b")).limit(0))
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(60, 16)), 10, 0) + 0.25 * rng.normal(size=(600, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: tuple(r[1:4]) for r in anngraph.digest(df).collect()} == brute_links(rows)
+
+
 # ---- pipeline ----
 
 
