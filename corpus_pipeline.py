@@ -21,12 +21,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where("NOT rejected").select(*docs.columns)
 
 
+#: Near duplicates share this fraction of their shingles of so many words.
+SHINGLE, NEAR = 5, (80, 100)
+HAS_WORD = r"[^\x20\x09-\x0D]"
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each group of near duplicates; rows without an id stay."""
+    """Keep one row of each group of near duplicates, that of the least doc_id (none comes last); rows without words stay."""
     attach(spark)
-    kept = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi")
-    return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    worded = F.coalesce(F.col("text").rlike(HAS_WORD), F.lit(False))
+    # a key for each row: repeated rows share one and are the same in all columns
+    rows = docs.where(worded).withColumn("row_key", F.xxhash64(*docs.columns))
+    if not rows.groupBy("row_key").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["row_key"])
+    groups = jaccard.jaccard_components(rows, id_col="row_key", shingle=SHINGLE, threshold=NEAR).select(F.col("doc_id").alias("row_key"), "component_id")
+    first = rows.select("row_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key").alias("place"))
+    kept = first.join(groups, "row_key").groupBy("component_id").agg(F.min("place").alias("place")).select("place.row_key")
+    return rows.join(kept, "row_key", "left_semi").select(*docs.columns).unionByName(docs.where(~worded))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ gives a star of edges, never all pairs. A cluster beyond `CELL_ROWS` or `CELL_BY
 grid of cells, each one task's work, and a cell returns a spanning forest of the links it
 finds. Nothing is capped or dropped.
 
-Words: `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Set: distinct shingles of `SHINGLE` words;
-with fewer words, the whole sequence as one. Edge cases: null, empty and wordless texts
+Words: `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Set: distinct shingles of
+`shingle` words (`SHINGLE` and `THRESHOLD` are those of op10); with fewer words, the whole sequence as one. Edge cases: null, empty and wordless texts
 have an empty set and link with nothing; repeated rows link with each other; rows with a
 null id are left out of links and are their own component; extra columns are ignored.
 Shingles are compared as 64-bit hashes.
@@ -25,6 +25,7 @@ Shingles are compared as 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ from strandflow.session import materialize
 SHINGLE = 3
 #: Threshold as a fraction.
 NUMERATOR, DENOMINATOR = 90, 100
+THRESHOLD = (NUMERATOR, DENOMINATOR)
 #: Bytes of text whose keys make up about one bucket.
 BUCKET_BYTES = 12 << 20
 SLICE_BYTES = 3 << 20
@@ -69,18 +71,20 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return sh, row_starts(sh_rows, len(column))
 
 
-def band_edges(most: int) -> np.ndarray:
+def band_edges(most: int, least: tuple[int, int] = THRESHOLD) -> np.ndarray:
     """First sizes of bands; partners of a set are in its band, the one below or the one above."""
+    num, den = least
     edges = [1]
     while edges[-1] <= most:
-        edges.append(edges[-1] * DENOMINATOR // NUMERATOR + 1)
-    edges.append(edges[-1] * DENOMINATOR // NUMERATOR + 1)
+        edges.append(edges[-1] * den // num + 1)
+    edges.append(edges[-1] * den // num + 1)
     return np.array(edges, np.int64)
 
 
-def most_apart(total: np.ndarray) -> np.ndarray:
+def most_apart(total: np.ndarray, least: tuple[int, int] = THRESHOLD) -> np.ndarray:
     """Largest symmetric difference of two sets of `total` elements together that reach the threshold."""
-    return total * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
+    num, den = least
+    return total * (den - num) // (den + num)
 
 
 def parity_blocks(sh: np.ndarray, starts: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,12 +115,12 @@ def node_ids(class_id: np.ndarray, band: np.ndarray) -> np.ndarray:
 _PACKED = "bucket int, ids binary, n binary, d1 binary, d2 binary, nodes binary, counts binary, keys binary"
 
 
-def _sketch(buckets: int, id_col: str, text_col: str):
+def _sketch(buckets: int, id_col: str, text_col: str, shingle: int, least: tuple[int, int]):
     """Rows of bucket -1 hold (id, set size, digests) of a slice; the others node ids and their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col, SLICE_BYTES):
-            sh, starts = shingle_sets(part.column(text_col))
+            sh, starts = shingle_sets(part.column(text_col), shingle)
             n = np.diff(starts)
             d1, d2 = _digests(sh, starts)
             ids = part.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -128,11 +132,11 @@ def _sketch(buckets: int, id_col: str, text_col: str):
                 size = n[first]
                 own = sh[pick]
                 own_starts = np.concatenate([[0], np.cumsum(size)])
-                edges = band_edges(int(size.max()))
+                edges = band_edges(int(size.max()), least)
                 home = np.searchsorted(edges, size, side="right") - 1
                 keys, nodes, counts = [], [], []
                 for band in (home, home + 1):
-                    blocks = most_apart(2 * (edges[band + 1] - 1)) + 1
+                    blocks = most_apart(2 * (edges[band + 1] - 1), least) + 1
                     values, base = parity_blocks(own, own_starts, blocks)
                     number = np.arange(len(values)) - np.repeat(base[:-1], blocks)
                     keys.append(combine(values, number.astype(np.uint64), np.repeat(band, blocks).astype(np.uint64)))
@@ -177,12 +181,13 @@ def _stars(table: pa.Table) -> pa.Table:
     return pa.table({"src": pa.array(pairs[:, 0]), "dst": pa.array(pairs[:, 1])})
 
 
-def links_in_cell(sh: np.ndarray, starts: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+def links_in_cell(sh: np.ndarray, starts: np.ndarray, side: np.ndarray, least: tuple[int, int] = THRESHOLD) -> list[tuple[int, int]]:
     """Spanning links among rows of a cell. side: 0 compares with 1; 2 compares with all."""
+    num, den = least
     n = np.diff(starts)
     m = len(n)
     words = 4
-    while words * 64 < 8 * int(most_apart(2 * n.max())) and words < 1024:
+    while words * 64 < 8 * int(most_apart(2 * n.max(), least)) and words < 1024:
         words *= 2
     flat, _ = parity_blocks(sh, starts, np.full(m, words))
     sketch = flat.reshape(m, words)
@@ -191,13 +196,13 @@ def links_in_cell(sh: np.ndarray, starts: np.ndarray, side: np.ndarray) -> list[
     sizes = n[order]
     out = []
     for at, i in enumerate(order):
-        end = int(np.searchsorted(sizes, n[i] * DENOMINATOR // NUMERATOR, side="right"))
+        end = int(np.searchsorted(sizes, n[i] * den // num, side="right"))
         js = order[at + 1 : end]
         js = js[(root[js] != root[i]) & ((side[js] != side[i]) | (side[i] == 2))]
         if not len(js):
             continue
         apart = np.bitwise_count(sketch[js] ^ sketch[i]).sum(1)
-        js = js[apart <= most_apart(n[js] + n[i])]
+        js = js[apart <= most_apart(n[js] + n[i], least)]
         a = sh[starts[i] : starts[i + 1]]
         for j in js.tolist():
             if root[j] == root[i]:
@@ -205,19 +210,19 @@ def links_in_cell(sh: np.ndarray, starts: np.ndarray, side: np.ndarray) -> list[
             b = sh[starts[j] : starts[j + 1]]
             hit = np.searchsorted(a, b)
             both = int((a[np.minimum(hit, len(a) - 1)] == b).sum())
-            if DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both):
+            if den * both >= num * (len(a) + len(b) - both):
                 out.append((int(i), j))
                 root[root == root[j]] = root[i]
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], shingle: int, least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Links (doc ids) of cells; rows come sorted by cell."""
 
     def cell(rows: pa.Table) -> pa.RecordBatch:
-        sh, starts = shingle_sets(rows.column("text"))
+        sh, starts = shingle_sets(rows.column("text"), shingle)
         ids = rows.column("rep").to_numpy()
-        found = links_in_cell(sh, starts, rows.column("side").to_numpy())
+        found = links_in_cell(sh, starts, rows.column("side").to_numpy(), least)
         pairs = np.array([(ids[i], ids[j]) for i, j in found], np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
 
@@ -239,20 +244,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield cell(pa.Table.from_batches(held))
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): links of documents whose sets reach the threshold, followed through."""
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id): links of documents whose sets of `shingle` words reach the threshold (a fraction), followed through."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = docs.where("doc_id IS NOT NULL")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
-    packed = materialize(known.mapInArrow(_sketch(buckets, "doc_id", "text"), _PACKED), "jaccard-keys")
+    packed = materialize(known.mapInArrow(_sketch(buckets, "doc_id", "text", shingle, threshold), _PACKED), "jaccard-keys")
     stats = packed.where("bucket = -1").select("ids", "n", "d1", "d2").mapInArrow(_unpack, "doc_id long, n_shingles long, d1 long, d2 long")
     stats = materialize(stats, "jaccard-sets")
     classes = stats.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     stars = packed.where("bucket >= 0").select("bucket", "nodes", "counts", "keys").groupBy("bucket").applyInArrow(_stars, "src long, dst long")
     clusters = connected_components(stars)
 
-    members = classes.mapInArrow(_members, "rep long, n long, node long").join(clusters.withColumnRenamed("component", "cluster"), "node")
+    members = classes.mapInArrow(partial(_members, least=threshold), "rep long, n long, node long").join(clusters.withColumnRenamed("component", "cluster"), "node")
     sized = docs.select(F.col("doc_id").alias("rep"), "text").join(members.select("rep", "cluster"), "rep")
     counts = materialize(members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("weight")), "jaccard-clusters")
     grid = F.greatest(F.ceil(F.col("m") / CELL_ROWS), F.ceil(F.col("weight") * 8 / CELL_BYTES)).cast("int")
@@ -266,28 +271,28 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             F.when(k == mine, 2).when(mine < k, 0).otherwise(1).alias("side"),
         ))).alias("c"),
     ).select("cluster", "c.i", "c.j", "c.side", "rep", "text")
-    links = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verify, "src long, dst long")
+    links = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(partial(_verify, shingle=shingle, least=threshold), "src long, dst long")
     components = connected_components(links)
 
     named = stats.join(classes, ["d1", "d2", "n_shingles"], "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     out = named.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    nameless = docs.where("doc_id IS NULL").mapInArrow(_sizes, "doc_id long, n_shingles long, component_id long")
+    nameless = docs.where("doc_id IS NULL").mapInArrow(partial(_sizes, shingle=shingle), "doc_id long, n_shingles long, component_id long")
     return out.unionByName(nameless)
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """The two nodes (own band and the next) of each class."""
     for batch in batches:
         d1, d2, n, rep = (batch.column(c).to_numpy() for c in ("d1", "d2", "n_shingles", "rep"))
-        home = np.searchsorted(band_edges(int(n.max()) if len(n) else 1), n, side="right") - 1
+        home = np.searchsorted(band_edges(int(n.max()) if len(n) else 1, least), n, side="right") - 1
         class_id = d2.view(np.uint64) ^ d1.view(np.uint64)
         node = np.concatenate([node_ids(class_id, home), node_ids(class_id, home + 1)])
         yield pa.RecordBatch.from_arrays([pa.array(np.tile(rep, 2)), pa.array(np.tile(n, 2)), pa.array(node)], names=["rep", "n", "node"])
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sizes(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = np.diff(shingle_sets(batch.column("text"))[1])
+        n = np.diff(shingle_sets(batch.column("text"), shingle)[1])
         nothing = pa.nulls(batch.num_rows, pa.int64())
         yield pa.RecordBatch.from_arrays([nothing, pa.array(n.astype(np.int64)), nothing], names=["doc_id", "n_shingles", "component_id"])
 

@@ -235,3 +235,23 @@ def test_pipeline_stages(spark, tmp_path):
     text = seen["PII"][104]["text"]
     assert seen["BPE"][104]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert sorted(corpus_pipeline.run(spark, f"file://{tmp_path}").select("doc_id").toPandas().doc_id) == sorted(seen["BPE"])
+
+
+def test_near_duplicates_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+    near = list(base)
+    for i in (30, 70, 110, 150):
+        near[i] = "changed"  # 176 of 216 shingles of five words
+    far = list(base)
+    for i in (20, 50, 80, 110, 140, 170):
+        far[i] = "other"  # 166 of 226
+    lone = [f"x{rng.randrange(10**9)}" for _ in range(50)]
+    rows = [(1, base, "s"), (2, near, "s"), (3, far, "s"), (4, lone, "s"), (4, lone, "s"), (4, lone, "t"), (0, base, "s"), (1, ["a", "text", "of", "its", "own", "id", "twice"], "s"), (None, near, "s"), (None, ["without", "id", "but", "alone", "here"], "s")]
+    rows = [(i, " ".join(w), s) for i, w, s in rows] + [(7, None, "s"), (8, " ", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.deduplicate(spark, df, "").collect()), key=str)
+    want = [(False, 0, " ".join(base)), (False, 3, " ".join(far)), (False, 4, " ".join(lone)), (False, 1, "a text of its own id twice"), (True, 0, "without id but alone here"), (False, 7, None), (False, 8, " ")]
+    assert got == sorted(want, key=str)
