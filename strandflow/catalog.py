@@ -340,6 +340,13 @@ def sig_batch_pad(spark, sf):
     return signals.padded_batches(labels, 32, 50).select("batch_id", "read_id", "length", F.size("signal").alias("padded"))
 
 
+@_register(f"""WITH {READS}, numbered AS (SELECT read_id, CAST(length(sequence) AS INTEGER) AS length, (row_number() OVER (ORDER BY read_id) - 1) // 32 AS batch_id FROM reads WHERE length(sequence) > 0)
+SELECT batch_id, read_id, length, max(length) OVER (PARTITION BY batch_id) AS padded FROM numbered""")
+def sig_batch_lengths(spark, sf):
+    whole = reads(spark, sf).where(F.length("sequence") > 0).select("read_id", F.length("sequence").alias("length"))
+    return signals.batch_lengths(whole, 32)
+
+
 @_register()
 def sig_preprocess(spark, sf):
     out = signals.preprocess(short_signals(spark, sf), trim_window=8, trim_threshold=0.05, min_trim=4)

@@ -98,17 +98,24 @@ def preprocess(signals: DataFrame, mode: str = "global", *, chunk: int = 10000,
     return norm.select("read_id", S.median_filter(S.trim(F.col("signal"), trim_window, trim_threshold, min_trim), kernel).alias("signal"))
 
 
-def padded_batches(signals: DataFrame, batch_size: int = 32, max_length: int | None = None) -> DataFrame:
-    """(batch_id, read_id, length, signal): reads by read_id in batches, cut to max_length, padded with 0 to the batch's longest.
-
-    Numbers come from counts of read_id ranges, so reads are not gathered to number them.
-    """
-    cut = signals.select("read_id", (F.slice("signal", 1, max_length) if max_length else F.col("signal")).alias("signal"))
-    spread = cut.repartitionByRange("read_id").sortWithinPartitions("read_id").withColumn("part", F.spark_partition_id())
+def _batches(rows: DataFrame, batch_size: int) -> DataFrame:
+    """`rows` with batch_id: by read_id, batch_size rows each. Numbers come from counts of read_id ranges, so reads are not gathered to number them."""
+    spread = rows.repartitionByRange("read_id").sortWithinPartitions("read_id").withColumn("part", F.spark_partition_id())
     part = Window.partitionBy("part").orderBy("read_id")
     numbered = spread.withColumn("k", F.row_number().over(part) - 1)
     sizes = numbered.groupBy("part").agg(F.count("*").alias("n"))
     first = sizes.withColumn("first", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    batch = numbered.join(F.broadcast(first.select("part", "first")), "part").withColumn("batch_id", F.floor((F.col("first") + F.col("k")) / batch_size))
+    return numbered.join(F.broadcast(first.select("part", "first")), "part").withColumn("batch_id", F.floor((F.col("first") + F.col("k")) / batch_size))
+
+
+def batch_lengths(lengths: DataFrame, batch_size: int = 32) -> DataFrame:
+    """(batch_id, read_id, length, padded) of `padded_batches` for reads of any length, without building the padded arrays."""
+    padded = F.max("length").over(Window.partitionBy("batch_id"))
+    return _batches(lengths, batch_size).select("batch_id", "read_id", "length", padded.alias("padded"))
+
+
+def padded_batches(signals: DataFrame, batch_size: int = 32, max_length: int | None = None) -> DataFrame:
+    """(batch_id, read_id, length, signal): reads by read_id in batches, cut to max_length, padded with 0 to the batch's longest."""
+    batch = _batches(signals.select("read_id", (F.slice("signal", 1, max_length) if max_length else F.col("signal")).alias("signal")), batch_size)
     longest = F.max(F.size("signal")).over(Window.partitionBy("batch_id"))
     return batch.select("batch_id", "read_id", F.size("signal").alias("length"), F.concat("signal", F.array_repeat(F.lit(0.0), longest - F.size("signal"))).alias("signal"))

@@ -97,3 +97,17 @@ def test_preprocessing_modes(spark):
         assert len(out[0]) == 500 and not out.get(1)
     with pytest.raises(ValueError):
         signals.preprocess(df, "other")
+
+
+def test_batches_keep_whole_lengths_unless_cut(spark):
+    from strandflow.operators import signals
+
+    rows = [(i, [1.0] * (i * 20 + 1)) for i in range(10)]
+    df = spark.createDataFrame(rows, "read_id long, signal array<double>")
+    want = [(i // 4, i, i * 20 + 1, min(i // 4 * 4 + 3, 9) * 20 + 1) for i in range(10)]
+    lengths = signals.batch_lengths(df.selectExpr("read_id", "size(signal) AS length"), 4)
+    assert sorted(map(tuple, lengths.collect())) == want
+    whole = signals.padded_batches(df, 4).selectExpr("batch_id", "read_id", "length", "size(signal) AS padded")
+    assert sorted(map(tuple, whole.collect())) == want
+    cut = signals.padded_batches(df, 4, 50).selectExpr("read_id", "length", "size(signal) AS padded").collect()
+    assert sorted(map(tuple, cut)) == [(i, min(i * 20 + 1, 50), 50) for i in range(10)]
