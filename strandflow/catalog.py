@@ -203,32 +203,28 @@ def dbg_trim_tips(spark, sf):
 
 @_register()
 def dbg_bubbles(spark, sf):
-    found = debruijn.find_bubbles(materialize(graph(spark, sf, 31, 2), "graph"), debruijn.Simplification(bubble_max_length=34))
+    found = debruijn.find_bubbles(materialize(graph(spark, sf, 31, 2), "graph"))
     return found.select("start", "end", F.size(F.col("paths")[0]).alias("nodes"), F.col("weights")[0].alias("heavier"), F.col("weights")[1].alias("lighter"))
 
 
-ASSEMBLY = debruijn.Simplification(bubble_max_length=34, max_iterations=2)
-
-
 @_register()
 def dbg_simplify(spark, sf):
-    return debruijn.simplify(graph(spark, sf, 31, 2), ASSEMBLY)[0]
+    return debruijn.simplify(graph(spark, sf, 31, 2))[0]
 
 
 @_register()
 def contigs(spark, sf):
-    edges = debruijn.trim_tips(materialize(graph(spark, sf, 31, 2), "graph"))[0]
-    return debruijn.contigs(edges, 31, 40).select("name", "sequence", "length", "num_kmers", F.round("avg_depth", 6).alias("avg_depth"), "is_circular")
+    return debruijn.assemble(reads(spark, sf), 31, 2, 40).select("name", "sequence", "length", "num_kmers", F.round("avg_depth", 6).alias("avg_depth"), "is_circular")
 
 
 @_register()
 def contig_stats(spark, sf):
-    return debruijn.length_stats(debruijn.contigs(materialize(graph(spark, sf, 31, 2), "graph"), 31, 40))
+    return debruijn.length_stats(debruijn.assemble(reads(spark, sf), 31, 2, 40))
 
 
 @_register()
 def contig_fasta(spark, sf):
-    made = debruijn.contigs(materialize(graph(spark, sf, 31, 3), "graph"), 31, 40)
+    made = debruijn.assemble(reads(spark, sf), 31, 3, 40)
     return made.select("name", records.contig_fasta(F.col("name"), F.col("sequence"), F.col("avg_depth"), F.col("is_circular")).alias("record"))
 
 

@@ -238,6 +238,11 @@ def contigs(edges: DataFrame, k: int, min_length: int = 200) -> DataFrame:
     return made.join(names, "h").select("name", "sequence", "length", "num_kmers", "avg_depth", "path_nodes", "is_circular")
 
 
+def assemble(reads: DataFrame, k: int = 31, min_count: int = 2, min_length: int = 200, conf: Simplification = Simplification()) -> DataFrame:
+    """Contigs of reads: count k-mers, drop rare ones, simplify the graph, follow its trails."""
+    return contigs(simplify(build(reads, k, min_count), conf)[0], k, min_length)
+
+
 def length_stats(sequences: DataFrame, column: str = "sequence") -> DataFrame:
     """One row: num_contigs, total_bases, n50, n90, max_length, min_length, avg_length, gc_content.
 

@@ -97,3 +97,24 @@ def test_low_coverage(spark):
     edges = graph(spark, 3, *["ATCGATCG"] * 5, "ATCGGG")
     assert G.low_coverage_edges(edges, 3).count() < edges.count()
     assert G.low_coverage_nodes(edges, 3.0).count() <= edges.count()
+
+
+def test_registered_bubbles_reach_beyond_34_edges(spark, tmp_path):
+    from strandflow import catalog
+
+    rng = random.Random(3)
+    one = [rng.choice("ATCG") for _ in range(120)]
+    two = list(one)
+    for i in (50, 60):
+        two[i] = "A" if one[i] != "A" else "T"
+    rows = [(i, "".join(t)) for i, t in enumerate([one] * 3 + [two] * 2)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert [r["nodes"] for r in catalog.dbg_bubbles(spark, f"file://{tmp_path}").collect()] == [42]
+
+
+def test_assemble_pops_bubbles(spark):
+    rng = random.Random(3)
+    one = "".join(rng.choice("ATCG") for _ in range(60))
+    two = one[:30] + ("A" if one[30] != "A" else "T") + one[31:]
+    reads = spark.createDataFrame([(one,)] * 3 + [(two,)] * 2, "sequence string")
+    assert [r["sequence"] for r in G.assemble(reads, 11, 2, 20).collect()] == [one]
