@@ -1,30 +1,38 @@
 """Exact Jaccard self-join of shingle sets by parity sketches.
 
-A set's shingles are dealt by hash to the blocks of its size band; every shingle turns
-one of a block's 64 bits over. Two sets of a band whose Jaccard index reaches the
-threshold differ in at most d shingles, the band has d + 1 blocks, so by the pigeonhole
-principle some block is equal in both. Sketch blocks are the join keys; a set sends the
-keys of its own band and, as the smaller side, of the next. Sets that share keys form
-candidate clusters, and within a cluster pairs pass first the size bound, then the
-Hamming distance of whole sketches (a lower bound of the symmetric difference), then
-the exact test on the shingle sets.
+A set's shingles are dealt by hash to the blocks of its size band; a block is a parity
+sketch of 2**64 bits, of which every shingle turns one over. It is kept as the number of
+its shingles and the XOR of its bits' hashes. Two sets of a band whose Jaccard index
+reaches the threshold differ in at most d shingles. The band has d + 1 + s blocks, so by
+the pigeonhole principle at least s + 1 blocks are equal in both, and if every set sends
+the d + 1 fullest of its blocks as join keys, the two still share a key (prefix filter;
+nearly empty blocks, which unrelated sets share, are the ones left out). A set sends the
+keys of its own band and, as the smaller side, of the next.
+
+Sets that share a key are tested pair by pair: first the size bound, then the Hamming
+distance of whole sketches, a lower bound of the symmetric difference. Only pairs that
+pass are closed into candidate clusters, whose texts are then compared exactly.
 
 Scale: identical sets are one class from the start, in each slice and again by a grouped
-minimum. Keys travel packed, one row for each slice and bucket; a key held by many sets
-gives a star of edges, never all pairs. A cluster beyond `CELL_ROWS` or `CELL_BYTES` is a
-grid of cells, each one task's work, and a cell returns a spanning forest of the links it
-finds. Nothing is capped or dropped.
+minimum over salted ids. Keys travel packed, one row for each slice and bucket; groups of
+sets with the same holders are one group. A group or cluster beyond `CELL_ROWS` or
+`CELL_BYTES` is dealt out twice: first everyone is compared with its least member, in many
+cells; then only those it did not link are compared with everyone, in a grid of cells. A
+hot group of copies of one text so costs one comparison a copy. Cells return a spanning
+forest of the links they find. Nothing is capped or dropped.
 
 Words: `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Set: distinct shingles of
-`shingle` words (`SHINGLE` and `THRESHOLD` are those of op10); with fewer words, the whole sequence as one. Edge cases: null, empty and wordless texts
-have an empty set and link with nothing; repeated rows link with each other; rows with a
-null id are left out of links and are their own component; extra columns are ignored.
-Shingles are compared as 64-bit hashes.
+`shingle` words (`SHINGLE` and `THRESHOLD` are those of op10); with fewer words, the whole
+sequence as one. Edge cases: null, empty and wordless texts have an empty set and link with
+nothing; repeated rows link with each other; rows of one id with different texts are one
+document where links are followed; rows with a null id are left out of links and are their
+own component; a very long text is one row of a cell; extra columns are ignored. Words and
+shingles are compared by keyed 128-bit hashes: sets that hash alike are taken as equal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -32,43 +40,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.textpack import SPACE, combine, mix, row_starts, slices, word_hashes
+from strandflow.llm.textpack import SPACE, combine, mix, row_starts, slices, word_lanes
 from strandflow.plans.components import connected_components
 from strandflow.session import materialize
 
 SHINGLE = 3
 #: Threshold as a fraction.
-NUMERATOR, DENOMINATOR = 90, 100
-THRESHOLD = (NUMERATOR, DENOMINATOR)
+THRESHOLD = (90, 100)
 #: Bytes of text whose keys make up about one bucket.
 BUCKET_BYTES = 12 << 20
 SLICE_BYTES = 3 << 20
 CELL_ROWS = 1000
 CELL_BYTES = 4 << 20
+#: Salts by which the copies of a class are dealt out.
+SALTS = 256
 
 
-def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each row, sorted in the row, and row starts."""
-    w, rows = word_hashes(column, SPACE)
+def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both halves of the hashes of each row's distinct shingles, sorted in the row, and row starts."""
+    one, two, rows = word_lanes(column, SPACE)
     starts = row_starts(rows, len(column))
     n = np.diff(starts)
-    if not len(w):
-        return w, np.zeros(len(column) + 1, np.int64)
-    long = np.ones(max(len(w) - k + 1, 0), bool) & (rows[: max(len(w) - k + 1, 0)] == rows[k - 1 :][: max(len(w) - k + 1, 0)])
-    at = np.flatnonzero(long)
-    sh, sh_rows = combine(*(w[at + i] for i in range(k))), rows[at]
+    if not len(one):
+        return one, two, np.zeros(len(column) + 1, np.int64)
+    last = max(len(one) - k + 1, 0)
+    at = np.flatnonzero(rows[:last] == rows[k - 1 :][:last])
+    sh_rows = [rows[at]]
+    lanes = [[combine(*(w[at + i] for i in range(k)))] for w in (one, two)]
     for size in range(1, k):
         few = np.flatnonzero(n == size)
         if len(few):
             first = starts[:-1][few]
-            own = mix(combine(*(w[first + i] for i in range(size))) + np.uint64(size))
-            sh, sh_rows = np.concatenate([sh, own]), np.concatenate([sh_rows, few])
+            for w, lane in zip((one, two), lanes):
+                lane.append(mix(combine(*(w[first + i] for i in range(size))) + np.uint64(size)))
+            sh_rows.append(few)
+    sh, sh2, sh_rows = (np.concatenate(x) for x in (*lanes, sh_rows))
     order = np.lexsort((sh, sh_rows))
-    sh, sh_rows = sh[order], sh_rows[order]
+    sh, sh2, sh_rows = sh[order], sh2[order], sh_rows[order]
     new = np.ones(len(sh), bool)
-    new[1:] = (sh[1:] != sh[:-1]) | (sh_rows[1:] != sh_rows[:-1])
-    sh, sh_rows = sh[new], sh_rows[new]
-    return sh, row_starts(sh_rows, len(column))
+    new[1:] = (sh[1:] != sh[:-1]) | (sh2[1:] != sh2[:-1]) | (sh_rows[1:] != sh_rows[:-1])
+    return sh[new], sh2[new], row_starts(sh_rows[new], len(column))
 
 
 def band_edges(most: int, least: tuple[int, int] = THRESHOLD) -> np.ndarray:
@@ -87,161 +98,276 @@ def most_apart(total: np.ndarray, least: tuple[int, int] = THRESHOLD) -> np.ndar
     return total * (den - num) // (den + num)
 
 
-def parity_blocks(sh: np.ndarray, starts: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit parities of every row's blocks, one after the other, and where each row's begin."""
+def block_keys(sh: np.ndarray, starts: np.ndarray, band: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of each row, one row after the other: of `apart` + 1 and a quarter more blocks, the `apart` + 1 fullest."""
+    sent = apart + 1
+    blocks = sent + (sent + 3) // 4
     base = np.concatenate([[0], np.cumsum(blocks)])
     row = np.repeat(np.arange(len(blocks)), np.diff(starts))
-    at = base[row] + ((sh >> np.uint64(32)) % blocks[row].astype(np.uint64)).astype(np.int64)
+    at = base[row] + (mix(sh) % blocks[row].astype(np.uint64)).astype(np.int64)
+    parity = np.zeros(base[-1], np.uint64)
+    np.bitwise_xor.at(parity, at, mix(sh + np.uint64(3)))
+    full = np.bincount(at, minlength=base[-1])
+    owner = np.repeat(np.arange(len(blocks)), blocks)
+    number = np.arange(base[-1]) - base[owner]
+    keys = combine(parity, full.astype(np.uint64), number.astype(np.uint64), band[owner].astype(np.uint64))
+    order = np.lexsort((keys, -full, owner))
+    return keys[order[number < sent[owner]]], sent
+
+
+def sketch_words(n: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """64-bit words of the whole sketches of sets of n elements: a power of two, with about 8 bits for each element apart."""
+    words = np.maximum(most_apart(2 * n, least) / 8, 2)
+    return np.minimum(1 << np.ceil(np.log2(words)).astype(np.int64), 1024)
+
+
+def whole_sketches(sh: np.ndarray, starts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of `words` 64-bit words (powers of two) of each row, and where each begins.
+
+    A sketch folds to one of half its size by XOR of its halves.
+    """
+    base = np.concatenate([[0], np.cumsum(words)])
+    row = np.repeat(np.arange(len(words)), np.diff(starts))
+    bit = (sh >> np.uint64(16)) & (words[row].astype(np.uint64) * np.uint64(64) - np.uint64(1))
     out = np.zeros(base[-1], np.uint64)
-    np.bitwise_xor.at(out, at, np.uint64(1) << (sh & np.uint64(63)))
+    np.bitwise_xor.at(out, base[row] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
     return out, base
 
 
-def _digests(sh: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each row's set."""
+def hamming(sketches: np.ndarray, base: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of the sketches a and b (row numbers), the wider ones folded."""
+    out = np.zeros(len(a), np.int64)
+    words = np.diff(base)
+    shapes = words[a] * 4096 + words[b]
+    for shape in np.unique(shapes):
+        all_of = np.flatnonzero(shapes == shape)
+        step = max((1 << 20) // int(shape // 4096 + shape % 4096), 1)
+        for at in range(0, len(all_of), step):
+            some = all_of[at : at + step]
+            x, y = (sketches[base[i][:, None] + np.arange(w)] for i, w in ((a[some], int(shape // 4096)), (b[some], int(shape % 4096))))
+            x, y = (x, y) if x.shape[1] >= y.shape[1] else (y, x)
+            while x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            out[some] = np.bitwise_count(x ^ y).sum(1)
+    return out
+
+
+def _digests(sh: np.ndarray, sh2: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each row's set, one of each half of the hashes."""
     n = np.diff(starts)
     a, b = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
     some = np.flatnonzero(n)
     if len(some):
         a[some] = np.add.reduceat(mix(sh), starts[:-1][some])
-        b[some] = np.bitwise_xor.reduceat(mix(sh + np.uint64(1)), starts[:-1][some])
+        b[some] = np.add.reduceat(mix(sh2), starts[:-1][some])
     return a, mix(b + n.astype(np.uint64))
 
 
-def node_ids(class_id: np.ndarray, band: np.ndarray) -> np.ndarray:
-    return mix(class_id + band.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)).view(np.int64)
+_PACKED = "bucket int, ids binary, n binary, d1 binary, d2 binary, sketches binary, nodes binary, counts binary, keys binary"
 
 
-_PACKED = "bucket int, ids binary, n binary, d1 binary, d2 binary, nodes binary, counts binary, keys binary"
+def _node(d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    return (d1 ^ d2).view(np.int64)
 
 
 def _sketch(buckets: int, id_col: str, text_col: str, shingle: int, least: tuple[int, int]):
-    """Rows of bucket -1 hold (id, set size, digests) of a slice; the others node ids and their keys."""
+    """Rows of bucket -1 hold (id, set size, digests, sketch) of a slice; the others nodes and their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col, SLICE_BYTES):
-            sh, starts = shingle_sets(part.column(text_col), shingle)
+            sh, sh2, starts = shingle_sets(part.column(text_col), shingle)
             n = np.diff(starts)
-            d1, d2 = _digests(sh, starts)
+            d1, d2 = _digests(sh, sh2, starts)
             ids = part.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = [(-1, ids.tobytes(), n.tobytes(), d1.tobytes(), d2.tobytes(), b"", b"", b"")]
+            sketches, _ = whole_sketches(sh, starts, sketch_words(n, least))
+            rows = [(-1, ids.tobytes(), n.tobytes(), d1.tobytes(), d2.tobytes(), sketches.tobytes(), b"", b"", b"")]
             _, first = np.unique(np.stack([d1, d2], 1), axis=0, return_index=True)
             first = np.sort(first[n[first] > 0])
             if len(first):
-                pick = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in first])
                 size = n[first]
-                own = sh[pick]
                 own_starts = np.concatenate([[0], np.cumsum(size)])
+                own = sh[np.arange(own_starts[-1]) + np.repeat(starts[first] - own_starts[:-1], size)]
                 edges = band_edges(int(size.max()), least)
                 home = np.searchsorted(edges, size, side="right") - 1
-                keys, nodes, counts = [], [], []
-                for band in (home, home + 1):
-                    blocks = most_apart(2 * (edges[band + 1] - 1), least) + 1
-                    values, base = parity_blocks(own, own_starts, blocks)
-                    number = np.arange(len(values)) - np.repeat(base[:-1], blocks)
-                    keys.append(combine(values, number.astype(np.uint64), np.repeat(band, blocks).astype(np.uint64)))
-                    nodes.append(node_ids(d2[first] ^ d1[first], band))
-                    counts.append(blocks)
-                keys, nodes, counts = map(np.concatenate, (keys, nodes, counts))
+                both = [block_keys(own, own_starts, band, most_apart(2 * (edges[band + 1] - 1), least)) for band in (home, home + 1)]
+                keys, counts = (np.concatenate(x) for x in zip(*both))
+                nodes = np.tile(_node(d1[first], d2[first]), 2)
                 owner = np.repeat(np.arange(len(nodes)), counts)
                 bucket = (keys % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for i in range(buckets):
+                for i in np.flatnonzero(np.diff(cut)).tolist():
                     mine = order[cut[i] : cut[i + 1]]
-                    if len(mine):
-                        who, times = np.unique(owner[mine], return_counts=True)  # owners stay in order
-                        rows.append((i, b"", b"", b"", b"", nodes[who].tobytes(), times.astype(np.int32).tobytes(), keys[mine].tobytes()))
+                    who, times = np.unique(owner[mine], return_counts=True)  # owners stay in order
+                    rows.append((i, b"", b"", b"", b"", b"", nodes[who].tobytes(), times.astype(np.int32).tobytes(), keys[mine].tobytes()))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])],
-                                             names=["bucket", "ids", "n", "d1", "d2", "nodes", "counts", "keys"])
+                                             names=["bucket", "ids", "n", "d1", "d2", "sketches", "nodes", "counts", "keys"])
 
     return run
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unpack(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int64) for i in range(4)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "n_shingles", "d1", "d2"])
+        for *numbers, sketches in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            cols = [np.frombuffer(x, np.int64) for x in numbers]
+            ends = np.concatenate([[0], np.cumsum(8 * sketch_words(cols[1], least))]).astype(np.int32)
+            made = pa.BinaryArray.from_buffers(pa.binary(), len(cols[1]), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(sketches)])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(_node(*(x.view(np.uint64) for x in cols[2:]))), made], names=["doc_id", "n_shingles", "d1", "d2", "node", "sketch"])
 
 
-def _stars(table: pa.Table) -> pa.Table:
-    """Edges (node, least node with the same key) of one bucket."""
+def _holders(table: pa.Table) -> pa.Table:
+    """Groups (grp, node) of the nodes that share a key, of one bucket; keys with the same holders give one group."""
     nodes, keys = [], []
     for n, c, k in zip(*(table.column(x).to_pylist() for x in ("nodes", "counts", "keys"))):
         nodes.append(np.repeat(np.frombuffer(n, np.int64), np.frombuffer(c, np.int32)))
         keys.append(np.frombuffer(k, np.uint64))
     nodes, keys = np.concatenate(nodes), np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    alike = keys[order][1:] == keys[order][:-1]
+    many = np.zeros(len(keys), bool)
+    many[1:] |= alike
+    many[:-1] |= alike
+    order = order[many]  # most keys have one holder
+    nodes, keys = nodes[order], keys[order]
     order = np.lexsort((nodes, keys))
     nodes, keys = nodes[order], keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    center = np.repeat(nodes[first], np.diff(np.append(first, len(keys))))
-    far = nodes != center
-    pairs = np.unique(np.stack([nodes[far], center[far]], 1), axis=0) if far.any() else np.zeros((0, 2), np.int64)
-    return pa.table({"src": pa.array(pairs[:, 0]), "dst": pa.array(pairs[:, 1])})
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    nodes, keys = nodes[new], keys[new]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(keys)))
+    group = mix(np.add.reduceat(mix(nodes.view(np.uint64)), first) + size.astype(np.uint64)) if len(keys) else np.zeros(0, np.uint64)
+    _, one = np.unique(group, return_index=True)
+    one = one[size[one] > 1]
+    ends = np.cumsum(size[one])
+    at = np.arange(ends[-1] if len(one) else 0) + np.repeat(first[one] - (ends - size[one]), size[one])
+    return pa.table({"grp": pa.array(np.repeat(group[one], size[one]).view(np.int64)), "node": pa.array(nodes[at])})
+
+
+def _cells(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table, np.ndarray], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """Run `work` on whole cells (grp, i, j); rows come sorted by cell. `work` gets rows and the borders of cells, and gives pairs of row numbers."""
+
+    def done(rows: pa.Table, keys: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+        pairs = np.array(work(rows, cuts), np.int64).reshape(-1, 2)
+        node = rows.column("node").to_numpy()
+        return pa.RecordBatch.from_arrays([*map(pa.array, (keys[pairs[:, 0], 0], keys[pairs[:, 0], 2].astype(np.int32), node[pairs[:, 0]], node[pairs[:, 1]]))], names=["grp", "j", "src", "dst"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        keys = np.stack([held.column(c).to_numpy() for c in ("grp", "i", "j")], 1)
+        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1])
+        if len(cuts) > 1:
+            yield done(held.slice(0, cuts[-1]), keys, cuts)
+            held = held.slice(cuts[-1]).combine_chunks()
+    if held is not None:
+        keys = np.stack([held.column(c).to_numpy() for c in ("grp", "i", "j")], 1)
+        yield done(held, keys, np.array([0, len(keys)]))
+
+
+def _spanning(n: np.ndarray, node: np.ndarray, side: np.ndarray, least: tuple[int, int], near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning links among rows. side: 0 compares with 1, 2 with all; near(i, js): the js to link with i."""
+    num, den = least
+    order = np.argsort(n, kind="stable")
+    root, sizes, out = np.arange(len(n)), n[order], []
+    for at, i in enumerate(order.tolist()):
+        js = order[at + 1 : int(np.searchsorted(sizes, n[i] * den // num, side="right"))]
+        js = js[(root[js] != root[i]) & ((side[js] != side[i]) | (side[i] == 2)) & (node[js] != node[i])]
+        if len(js):
+            for j in near(i, js).tolist():
+                if root[j] != root[i]:
+                    out.append((i, j))
+                    root[root == root[j]] = root[i]
+    return out
 
 
-def links_in_cell(sh: np.ndarray, starts: np.ndarray, side: np.ndarray, least: tuple[int, int] = THRESHOLD) -> list[tuple[int, int]]:
-    """Spanning links among rows of a cell. side: 0 compares with 1; 2 compares with all."""
+def near_in_cells(rows: pa.Table, cuts: np.ndarray, least: tuple[int, int]) -> list[tuple[int, int]]:
+    """Pairs of rows that span what the Hamming distance of whole sketches leaves linked in each cell."""
     num, den = least
-    n = np.diff(starts)
-    m = len(n)
-    words = 4
-    while words * 64 < 8 * int(most_apart(2 * n.max(), least)) and words < 1024:
-        words *= 2
-    flat, _ = parity_blocks(sh, starts, np.full(m, words))
-    sketch = flat.reshape(m, words)
-    order = np.argsort(n, kind="stable")
-    root = np.arange(m)
-    sizes = n[order]
+    n, node, side = (rows.column(c).to_numpy() for c in ("n", "node", "side"))
+    base = np.concatenate([[0], np.cumsum(sketch_words(n, least))])
+    sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64)
+    size = np.diff(cuts)
     out = []
-    for at, i in enumerate(order):
-        end = int(np.searchsorted(sizes, n[i] * den // num, side="right"))
-        js = order[at + 1 : end]
-        js = js[(root[js] != root[i]) & ((side[js] != side[i]) | (side[i] == 2))]
-        if not len(js):
-            continue
-        apart = np.bitwise_count(sketch[js] ^ sketch[i]).sum(1)
-        js = js[apart <= most_apart(n[js] + n[i], least)]
-        a = sh[starts[i] : starts[i + 1]]
-        for j in js.tolist():
-            if root[j] == root[i]:
-                continue
-            b = sh[starts[j] : starts[j + 1]]
-            hit = np.searchsorted(a, b)
-            both = int((a[np.minimum(hit, len(a) - 1)] == b).sum())
-            if den * both >= num * (len(a) + len(b) - both):
-                out.append((int(i), j))
-                root[root == root[j]] = root[i]
+    for m in range(2, 17):  # small cells: all their pairs at once
+        first = cuts[:-1][size == m]
+        if len(first):
+            i, j = np.triu_indices(m, 1)
+            a, b = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+            fit = (np.maximum(n[a], n[b]) * num <= np.minimum(n[a], n[b]) * den) & ((side[a] != side[b]) | (side[a] == 2)) & (node[a] != node[b])
+            a, b = a[fit], b[fit]
+            fit = hamming(sketches, base, a, b) <= most_apart(n[a] + n[b], least)
+            out += zip(a[fit].tolist(), b[fit].tolist())
+    for first, m in zip(cuts[:-1][size > 16].tolist(), size[size > 16].tolist()):
+        part = slice(first, first + m)
+
+        def near(i: int, js: np.ndarray) -> np.ndarray:
+            return js[hamming(sketches, base, np.full(len(js), first + i), first + js) <= most_apart(n[first + i] + n[first + js], least)]
+
+        out += [(first + i, first + j) for i, j in _spanning(n[part], node[part], side[part], least, near)]
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch], shingle: int, least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Links (doc ids) of cells; rows come sorted by cell."""
+def links_in_cells(rows: pa.Table, cuts: np.ndarray, shingle: int, least: tuple[int, int]) -> list[tuple[int, int]]:
+    """Pairs of rows that span the links of each cell, every link tested on the sets themselves."""
+    num, den = least
+    sh, sh2, starts = shingle_sets(rows.column("text"), shingle)
+    n, node, side = np.diff(starts), rows.column("node").to_numpy(), rows.column("side").to_numpy()
+    out = []
+    for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        m = end - first
+        if m < 2:
+            continue
+        words = np.full(m, sketch_words(n[first:end].max(), least))
+        sketches, base = whole_sketches(sh[starts[first] : starts[end]], starts[first : end + 1] - starts[first], words) if m > 4 else (None, None)
+
+        def linked(i: int, j: int) -> bool:
+            a, b = (slice(starts[first + x], starts[first + x + 1]) for x in (i, j))
+            hit = np.minimum(np.searchsorted(sh[a], sh[b]), a.stop - a.start - 1)
+            both = int(((sh[a][hit] == sh[b]) & (sh2[a][hit] == sh2[b])).sum())
+            return den * both >= num * (a.stop - a.start + b.stop - b.start - both)
+
+        def near(i: int, js: np.ndarray) -> np.ndarray:
+            if sketches is not None:
+                js = js[hamming(sketches, base, np.full(len(js), i), js) <= most_apart(n[first + i] + n[first + js], least)]
+            return np.array([j for j in js.tolist() if linked(i, j)], np.int64)
+
+        if n[first:end].min() > 0:
+            out += [(first + i, first + j) for i, j in _spanning(n[first:end], node[first:end], side[first:end], least, near)]
+    return out
 
-    def cell(rows: pa.Table) -> pa.RecordBatch:
-        sh, starts = shingle_sets(rows.column("text"), shingle)
-        ids = rows.column("rep").to_numpy()
-        found = links_in_cell(sh, starts, rows.column("side").to_numpy(), least)
-        pairs = np.array([(ids[i], ids[j]) for i, j in found], np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
 
-    held: list[pa.RecordBatch] = []
-    current = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy() for c in ("cluster", "i", "j")], 1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:]):
-            key = tuple(keys[a].tolist())
-            if held and key != current:
-                yield cell(pa.Table.from_batches(held))
-                held = []
-            current = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield cell(pa.Table.from_batches(held))
+def _linked(members: DataFrame, attach: Callable[[DataFrame], DataFrame], work, name: str) -> DataFrame:
+    """Links (src, dst) that span what `work` finds in each group. members: grp, node, n; attach adds what `work` reads.
+
+    Groups within a cell are compared at once. In wider ones all are compared with the
+    least node, then those that it did not link with all.
+    """
+    pack = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    spread = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    grid = F.greatest(F.ceil(F.col("m") / CELL_ROWS), F.ceil(F.col("weight") * 16 / CELL_BYTES)).cast("int")
+    sizes = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("weight"), F.min("node").alias("center"))
+    wide = materialize(sizes.select("grp", "center", grid.alias("grid")).where("grid > 1"), name + "-wide")
+
+    def run(dealt: DataFrame, places) -> DataFrame:
+        cells = attach(dealt.withColumn("c", F.explode(places)).select("grp", "node", "n", "c.*"))
+        cells = cells.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+        return materialize(cells.mapInArrow(partial(_cells, work=work), "grp long, j int, src long, dst long"), name)
+
+    star = F.when(F.col("node") == F.col("center"), spread(F.col("grid"), lambda k: pack(k, F.lit(-1), 0))).otherwise(F.array(pack(place(F.col("grid")), F.lit(-1), 1)))
+    found = run(members.join(wide, "grp", "left"), F.when(F.col("grid").isNull(), F.array(pack(F.lit(0), F.lit(0), 2))).otherwise(star))
+    if not wide.isEmpty():
+        met = found.where("j = -1").select("grp", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("met", F.lit(True))
+        inside = members.join(wide, "grp").join(met, ["grp", "node"], "left").withColumn("left", F.col("met").isNull() & (F.col("node") != F.col("center")))
+        left = inside.where("left").groupBy("grp").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("rest"))
+        right = spread(F.col("rest"), lambda i: pack(i, place(F.col("grid")), 1))
+        both = F.concat(right, spread(F.col("grid"), lambda j: pack(place(F.col("rest")), j, 0)))
+        found = found.unionByName(run(inside.join(left, "grp"), F.when(F.col("left"), both).otherwise(right)))
+    return found.select("src", "dst")
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -251,48 +377,38 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
     packed = materialize(known.mapInArrow(_sketch(buckets, "doc_id", "text", shingle, threshold), _PACKED), "jaccard-keys")
-    stats = packed.where("bucket = -1").select("ids", "n", "d1", "d2").mapInArrow(_unpack, "doc_id long, n_shingles long, d1 long, d2 long")
-    stats = materialize(stats, "jaccard-sets")
-    classes = stats.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    stars = packed.where("bucket >= 0").select("bucket", "nodes", "counts", "keys").groupBy("bucket").applyInArrow(_stars, "src long, dst long")
-    clusters = connected_components(stars)
-
-    members = classes.mapInArrow(partial(_members, least=threshold), "rep long, n long, node long").join(clusters.withColumnRenamed("component", "cluster"), "node")
-    sized = docs.select(F.col("doc_id").alias("rep"), "text").join(members.select("rep", "cluster"), "rep")
-    counts = materialize(members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("weight")), "jaccard-clusters")
-    grid = F.greatest(F.ceil(F.col("m") / CELL_ROWS), F.ceil(F.col("weight") * 8 / CELL_BYTES)).cast("int")
-    wide = counts.select("cluster", grid.alias("grid")).where("grid > 1")
-    one = sized.join(wide, "cluster", "left").withColumn("grid", F.coalesce("grid", F.lit(1)))
-    mine = F.pmod(F.xxhash64("rep"), F.col("grid")).cast("int")
-    cells = one.select(
-        "cluster", "rep", "text",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("grid") - 1), lambda k: F.struct(
-            F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j"),
-            F.when(k == mine, 2).when(mine < k, 0).otherwise(1).alias("side"),
-        ))).alias("c"),
-    ).select("cluster", "c.i", "c.j", "c.side", "rep", "text")
-    links = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(partial(_verify, shingle=shingle, least=threshold), "src long, dst long")
+    stats = packed.where("bucket = -1").select("ids", "n", "d1", "d2", "sketches")
+    stats = stats.mapInArrow(partial(_unpack, least=threshold), "doc_id long, n_shingles long, d1 long, d2 long, node long, sketch binary")
+    stats = materialize(stats.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))), "jaccard-sets")
+    groups = packed.where("bucket >= 0").select("bucket", "nodes", "counts", "keys").groupBy("bucket").applyInArrow(_holders, "grp long, node long")
+    groups = materialize(groups.distinct(), "jaccard-groups")
+
+    # a class is the documents of one set; its copies are dealt by salt, and named by their least doc_id
+    exact = ["d1", "d2", "n_shingles"]
+    salted = materialize(stats.where("n_shingles > 0").groupBy(*exact, "node", "salt").agg(F.min("doc_id").alias("doc_id")), "jaccard-salted")
+    classes = materialize(salted.groupBy(*exact, "node").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    shared = groups.select("node").distinct()
+    sketched = stats.select("doc_id", *exact, "sketch").join(classes.join(shared, "node", "left_semi").withColumnRenamed("rep", "doc_id"), ["doc_id", *exact])
+    sketched = materialize(sketched.select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node", "n"]), "jaccard-sketches")
+    members = groups.withColumn("n", F.lit(0).cast("long"))
+    near = _linked(members, lambda cells: cells.drop("n").join(sketched, "node"), partial(near_in_cells, least=threshold), "jaccard-near")
+    clusters = connected_components(near)
+
+    members = clusters.join(classes, "node").select(F.col("component").alias("grp"), F.col("rep").alias("node"), F.col("n_shingles").alias("n"))
+    texts = known.select(F.col("doc_id").alias("node"), "text")
+    links = _linked(members, lambda cells: cells.join(texts, "node"), partial(links_in_cells, shingle=shingle, least=threshold), "jaccard-links")
     components = connected_components(links)
 
-    named = stats.join(classes, ["d1", "d2", "n_shingles"], "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    out = named.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    named = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(*exact, F.coalesce("component", "rep").alias("component_id"))
+    spread = salted.join(named, exact).select(*exact, "salt", "component_id")
+    out = stats.join(spread, [*exact, "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     nameless = docs.where("doc_id IS NULL").mapInArrow(partial(_sizes, shingle=shingle), "doc_id long, n_shingles long, component_id long")
     return out.unionByName(nameless)
 
 
-def _members(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """The two nodes (own band and the next) of each class."""
-    for batch in batches:
-        d1, d2, n, rep = (batch.column(c).to_numpy() for c in ("d1", "d2", "n_shingles", "rep"))
-        home = np.searchsorted(band_edges(int(n.max()) if len(n) else 1, least), n, side="right") - 1
-        class_id = d2.view(np.uint64) ^ d1.view(np.uint64)
-        node = np.concatenate([node_ids(class_id, home), node_ids(class_id, home + 1)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.tile(rep, 2)), pa.array(np.tile(n, 2)), pa.array(node)], names=["rep", "n", "node"])
-
-
 def _sizes(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = np.diff(shingle_sets(batch.column("text"), shingle)[1])
+        n = np.diff(shingle_sets(batch.column("text"), shingle)[2])
         nothing = pa.nulls(batch.num_rows, pa.int64())
         yield pa.RecordBatch.from_arrays([nothing, pa.array(n.astype(np.int64)), nothing], names=["doc_id", "n_shingles", "component_id"])
 

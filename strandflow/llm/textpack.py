@@ -1,12 +1,15 @@
-"""Vectorised text work on Arrow batches: byte views, word spans, exact 64-bit word hashes.
+"""Vectorised text work on Arrow batches: byte views, word spans, word hashes.
 
 A text column is looked at as one NumPy byte array plus offsets. Words are found
-with a 256-entry separator table and hashed with a prefix-sum polynomial hash
-modulo 2**64, so there is no Python loop over characters or words.
+with a 256-entry separator table. Each different word of a batch is hashed once, with
+a keyed BLAKE2b of 128 bits, so there is no Python loop over characters or all words.
+Windows of bytes (`window_hashes`) have a polynomial hash modulo 2**64: it serves to
+choose candidates only, since equal hashes do not prove equal bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,10 +45,12 @@ def _mix_in_place(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A random 64-bit value for each byte; upper-case ASCII shares its lower-case letter's.
+#: A random 64-bit value for each byte.
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
-LOWER_VALUES = BYTE_VALUES.copy()
-LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
+#: Bytes with A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_KEY = b"strandflow words"
 
 #: Bytes that separate words: ASCII white space, or everything ASCII but letters and digits.
 SPACE = np.zeros(256, dtype=bool)
@@ -122,13 +127,25 @@ def window_hashes(sums: np.ndarray, size: int) -> np.ndarray:
     return _mix_in_place(x)
 
 
-def word_hashes(column: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash (A-Z as a-z) and row number of every word of a text column."""
+def word_lanes(column: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both halves of the 128-bit hash (A-Z as a-z) of every word of a text column, and its row."""
     data, offsets = text_bytes(column)
     starts, ends, rows = words(data, offsets, separators)
     if not len(starts):
-        return np.zeros(0, np.uint64), rows
-    return span_hashes(prefix_sums(data, LOWER_VALUES), starts, ends), rows
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), rows
+    letters = LOWER[data[~separators[data]]]
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(letters.tobytes())])
+    coded = every.dictionary_encode()
+    lanes = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16, key=_KEY).digest() for w in coded.dictionary.to_pylist()]), np.uint64).reshape(-1, 2)
+    which = coded.indices.to_numpy()
+    return lanes[which, 0], lanes[which, 1], rows
+
+
+def word_hashes(column: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash (A-Z as a-z) and row number of every word of a text column."""
+    first, _, rows = word_lanes(column, separators)
+    return first, rows
 
 
 def row_starts(rows: np.ndarray, n: int) -> np.ndarray:

@@ -115,11 +115,11 @@ def test_run_index_on_its_own():
 # ---- Jaccard join ----
 
 
-def brute_components(rows):
+def brute_components(rows, k=3, least=90):
     sets = {}
     for d, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
-        sets[d] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
     root = {d: d for d in sets}
 
     def find(x):
@@ -130,7 +130,7 @@ def brute_components(rows):
     ids = sorted(sets)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {d: (len(sets[d]), find(d)) for d in ids}
@@ -145,12 +145,25 @@ def test_jaccard_equals_brute_force(spark, monkeypatch):
         for _ in range(rng.randint(0, 4)):
             w[rng.randrange(len(w))] = rng.choice(["x", "y", "z"])
         rows.append((1000 + i, " ".join(w)))
-    want = brute_components(rows)
-    got = {r["doc_id"]: tuple(r[1:3]) for r in jaccard.digest(docs(spark, rows)).collect()}
-    assert got == want
-    monkeypatch.setattr(jaccard, "CELL_ROWS", 9)  # clusters become grids of cells
+    for i in range(40):  # chains of near copies, and a shared passage
+        w = (rows[i % 20][1] or "").split() + ["and"] * (i // 20)
+        rows.append((2000 + i, " ".join(w[: len(w) // 2] + base[:9] + w[len(w) // 2 :])))
+    want, loose = brute_components(rows), brute_components(rows, 5, 80)
+    components = lambda **more: {r["doc_id"]: tuple(r[1:3]) for r in jaccard.jaccard_components(docs(spark, rows), **more).collect()}
+    assert components() == want
+    assert components(shingle=5, threshold=(80, 100)) == loose
+    monkeypatch.setattr(jaccard, "CELL_ROWS", 9)  # groups and clusters become grids of cells
     monkeypatch.setattr(jaccard, "SLICE_BYTES", 3000)
-    assert {r["doc_id"]: tuple(r[1:3]) for r in jaccard.digest(docs(spark, rows)).collect()} == want
+    assert components() == want
+    assert components(shingle=5, threshold=(80, 100)) == loose
+
+
+def test_jaccard_does_not_link_words_with_equal_polynomials(spark):
+    word = "a"
+    for _ in range(11):  # Thue-Morse word of 2048 letters and its complement
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)]
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.digest(docs(spark, rows)).collect()} == {1: 1, 2: 2, 3: 1}
 
 
 def test_jaccard_edge_cases(spark):
@@ -165,8 +178,9 @@ def test_parity_distance_is_a_lower_bound():
         a, b = rng.integers(0, 2**63, 40, dtype=np.uint64), rng.integers(0, 2**63, 40, dtype=np.uint64)
         b[: rng.integers(0, 40)] = a[0]
         a, b = np.unique(a), np.unique(b)
-        sketch, _ = jaccard.parity_blocks(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), np.array([4, 4]))
-        assert np.bitwise_count(sketch[:4] ^ sketch[4:]).sum() <= len(np.setxor1d(a, b))
+        starts = np.array([0, len(a), len(a) + len(b)])
+        sketches, base = jaccard.whole_sketches(np.concatenate([a, b]), starts, np.array([4, 2]))
+        assert jaccard.hamming(sketches, base, np.array([0]), np.array([1]))[0] <= len(np.setxor1d(a, b))
 
 
 # ---- BPE ----
