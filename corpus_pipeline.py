@@ -15,7 +15,7 @@ from strandflow.session import attach, materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language the compressors cannot tell (no letter, or too narrow a margin)."""
+    """Drop documents whose language the compressors cannot tell (null, no letter, or too narrow a margin)."""
     attach(spark)
     found = langid.identify(docs, langid.learn(docs.where(~langid.held_out())))
     return found.where("NOT rejected").select(*docs.columns)
@@ -27,28 +27,32 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of near duplicates, that of the least doc_id (none comes last); rows without words stay."""
+    """Keep one row of each group of near duplicates, that of the least doc_id (null comes last); rows without words stay.
+
+    Rows are told apart by doc_id where it is unique and never null; else they are numbered in a written
+    copy, so that repeated rows and texts of one id are judged each for itself.
+    """
     attach(spark)
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        rows = docs.withColumn("row_key", F.col("doc_id").cast("long"))
+    else:
+        rows = materialize(docs.withColumn("row_key", F.monotonically_increasing_id()), "numbered")
     worded = F.coalesce(F.col("text").rlike(HAS_WORD), F.lit(False))
-    # a key for each row: repeated rows share one and are the same in all columns
-    rows = docs.where(worded).withColumn("row_key", F.xxhash64(*docs.columns))
-    if not rows.groupBy("row_key").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["row_key"])
-    groups = jaccard.jaccard_components(rows, id_col="row_key", shingle=SHINGLE, threshold=NEAR).select(F.col("doc_id").alias("row_key"), "component_id")
-    first = rows.select("row_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key").alias("place"))
-    kept = first.join(groups, "row_key").groupBy("component_id").agg(F.min("place").alias("place")).select("place.row_key")
-    return rows.join(kept, "row_key", "left_semi").select(*docs.columns).unionByName(docs.where(~worded))
+    groups = jaccard.jaccard_components(rows.where(worded), id_col="row_key", shingle=SHINGLE, threshold=NEAR).select(F.col("doc_id").alias("row_key"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key").alias("place")
+    kept = rows.where(worded).select("row_key", place).join(groups, "row_key").groupBy("component_id").agg(F.min("place").alias("place")).select("place.row_key")
+    return rows.where(worded).join(kept, "row_key", "left_semi").unionByName(rows.where(~worded)).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
+    """Drop documents that hold a window of a benchmark item; null and empty texts hold none and stay."""
     attach(spark)
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("hit_words") == 0).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind; n_chars follows the text."""
+    """Replace personal data by its kind; n_chars follows the text. Null and empty texts stay as they are."""
     attach(spark)
     out = pii.redact(docs, pii.learn(docs))
     if "n_chars" in docs.columns:
@@ -57,7 +61,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token_ids (little-endian unsigned 32-bit), n_tokens, and digests of ids and of their decoded text."""
+    """doc_id, token_ids (little-endian unsigned 32-bit), n_tokens, and digests of ids and of their decoded text; a null text is empty."""
     attach(spark)
     both = bpe.encode_documents(docs.select("doc_id", "text"), vocabulary(), decoded_col="decoded")
     return both.select("doc_id", "token_ids", *bpe.digest_columns())
