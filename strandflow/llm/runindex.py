@@ -12,17 +12,18 @@ a smaller doc_id. The method, in Spark stages:
    different segment once, with its least doc_id, to the bucket of its anchor, so all
    occurrences of a window meet in one bucket. Windows of a very frequent anchor (`HOT`
    documents or more) go one by one, by their own hash, so no bucket gathers a hot anchor.
-4. A bucket builds a `RunIndex`: its windows in sorted order, their Burrows-Wheeler
-   transform cut into runs, and for each run the text positions at its ends and the least
-   doc_id of its context. Every segment streams through it; the matching statistics, cut
-   at `LENGTH`, tell which windows start a match in a smaller doc_id.
+4. A bucket builds a `RunIndex` of its different segments: a Burrows-Wheeler transform kept as
+   runs, with the text position at the start of each run. Every segment streams through it from
+   its end, a byte a step, by the last-to-first mapping of runs; each step gives the matching
+   statistic of a window, cut at `LENGTH`, and by the samples of the context's runs the position
+   of the match in the least doc_id. A match in a smaller doc_id than the window's is marked.
 5. The marks go back to the blocks, which cut the documents.
 
 Edge cases: null texts are empty; documents shorter than `LENGTH` stay whole; rows with
 equal doc_id do not count as smaller for each other; rows with a null id stay whole and
-never make others go; kept bytes may split a code point, so they are binary. Extra
-columns are ignored. Windows are compared byte by byte in step 4; anchors, and copies of
-a segment inside a block, by 64-bit hashes.
+never make others go; a text longer than a block is a block; kept bytes may split a code
+point, so they are binary. Extra columns are ignored. Hashes (anchors, places of segments)
+only choose what is compared; windows and segments are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -129,19 +130,19 @@ class _Block:
             size = np.where(np.repeat(single, parts), 1, np.repeat(size, parts))
             code, single = np.repeat(code, parts), np.repeat(single, parts)
         start = self.starts[first]
-        content = span_hashes(self.sums, start, start + size + LENGTH - 1)
-        place = np.where(single, content, mix(code))
+        place = mix(code)
+        if single.any():
+            place = np.where(single, span_hashes(self.sums, start, start + size + LENGTH - 1), place)
         ids = self.ids[self.row[first]]
-        order = np.lexsort((ids, content))
-        sorted_content = content[order]
-        new = np.ones(len(order), bool)
-        new[1:] = sorted_content[1:] != sorted_content[:-1]
-        lead = order[new]
+        order = np.argsort(ids, kind="stable")
+        found = _same_content(self.data, start[order], size[order] + LENGTH - 1)
+        _, lead = np.unique(found, return_index=True)
+        lead = order[lead]  # of least doc_id
         by_place = np.argsort(lead)  # numbers follow the text, which packs ids and numbers well
         rank = np.empty(len(lead), np.int64)
         rank[by_place] = np.arange(len(lead))
         number = np.empty(len(order), np.int64)
-        number[order] = rank[np.cumsum(new) - 1]
+        number[order] = rank[found]
         lead = lead[by_place]
         return first, size, number, lead, ids[lead], place[lead]
 
@@ -221,7 +222,12 @@ def _shared_of(found: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray]
 
 def _bytes_of(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     ends = np.cumsum(size)
-    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+    out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    for a in range(0, len(start), 1 << 14):  # in steps, as places take eight times the bytes
+        part = slice(a, a + (1 << 14))
+        first, last = int(ends[a] - size[a]), int(ends[part][-1])
+        out[first:last] = data[np.arange(first, last) + np.repeat(start[part] - (ends[part] - size[part]), size[part])]
+    return out
 
 
 def _send_segments(buckets: int, index_buckets: int):
@@ -255,53 +261,101 @@ def _equal_groups(keys: list[np.ndarray]) -> np.ndarray:
 
 
 class RunIndex:
-    """Run-compressed Burrows-Wheeler transform of segments, of order `LENGTH`.
-
-    Rows are the windows in the order of their `LENGTH` bytes. A run is a stretch of rows
-    with the same context and the same preceding byte (0 before a segment's first window).
-    `ends` holds the text positions of each run's first and last row, `least` the least
-    doc_id of each context.
+    """Run-compressed Burrows-Wheeler transform, of order `LENGTH`, of segments sorted by doc_id.
+
+    Rows are the windows of `LENGTH` bytes in sorted order, and for each segment the row of the
+    `LENGTH` - 1 bytes that are left after its last window, from which a walk begins. Rows of one
+    context (equal bytes) are ordered by the byte before them, then by doc_id. A run is a stretch of
+    rows with the same context and the same byte before (none before a segment's first window). Of rows
+    only runs are kept: context and byte + 1 (`key`), length, and the text position of its first row
+    (`sample`), which has the least doc_id of the run.
     """
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray):
-        """starts: where each segment begins in the text; sizes: its number of windows; docs: its doc_id."""
+        """starts: where each segment begins in the text; sizes: its number of windows; docs: its doc_id, ascending."""
+        self.text, self.starts, self.sizes, self.docs = text, starts, sizes, docs
         which = np.repeat(np.arange(len(starts)), sizes)
         base = np.concatenate([[0], np.cumsum(sizes)])
-        self.at = starts[which] + np.arange(base[-1]) - base[which]
-        self.base = base
-        padded = np.concatenate([text, np.zeros(8, np.uint8)])
-        eight = np.zeros(len(text), np.uint64)
+        n = int(base[-1])
+        at = np.concatenate([starts[which] + np.arange(n) - base[which], starts + sizes])
+        padded = np.concatenate([text, np.zeros(9, np.uint8)])
+        eight = np.zeros(len(text) + 1, np.uint64)
         for i in range(8):
-            eight = (eight << np.uint64(8)) | padded[i : i + len(text)]
-        keys = [eight[self.at + i] for i in range(0, LENGTH - 7, 8)]
-        keys.append(eight[self.at + LENGTH - 8])  # overlaps the one before; orders and separates the same
+            eight = (eight << np.uint64(8)) | padded[i : i + len(eight)]
+        keys = [eight[at + i] for i in range(0, LENGTH - 8, 8)]
+        last = np.concatenate([eight[at[:n] + LENGTH - 8], eight[at[n:] + LENGTH - 9] << np.uint64(8)])
+        keys.append(last)  # overlaps the one before; orders and separates the same
         same = _equal_groups(keys)
         lead = np.unique(same, return_index=True)[1]
         rank = np.empty(len(lead), np.int64)
         rank[np.lexsort([k[lead] for k in keys[::-1]])] = np.arange(len(lead))
         context = rank[same]
-        order = np.argsort(context, kind="stable")
-        differs = np.ones(len(order), bool)
-        differs[1:] = context[order][1:] != context[order][:-1]
-        before = np.where(self.at == starts[which], 0, text[self.at - 1])[order]
-        run = differs.copy()
-        run[1:] |= before[1:] != before[:-1]
-        heads = np.flatnonzero(run)
-        self.char = before[heads]
-        self.ends = np.stack([self.at[order[heads]], self.at[order[np.append(heads[1:], len(order)) - 1]]], 1) if len(order) else np.zeros((0, 2), np.int64)
+        del keys, eight, same
+        before = text[np.maximum(at - 1, 0)].astype(np.int64) + 1
+        before[:n][at[:n] == starts[which]] = 0
+        key = context << 9 | before
+        order = np.argsort(key, kind="stable")  # rows come by doc_id, and stay so in a run
+        heads = np.flatnonzero(np.diff(key[order], prepend=-1))
+        self.key = key[order[heads]]
         self.length = np.diff(np.append(heads, len(order)))
-        self.context = np.cumsum(differs[heads]) - 1
-        contexts = np.flatnonzero(differs)
-        self.least = np.minimum.reduceat(docs[which][order], contexts) if len(order) else np.zeros(0, np.int64)
-        self.row_context = context
-
-    def matches(self, segment: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each window of the given indexed segments, one after the other: whether its first
-        `LENGTH` bytes also start in a doc_id smaller than the given; and windows per segment."""
-        n = self.base[segment + 1] - self.base[segment]
-        ends = np.cumsum(n)
-        rows = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.base[segment] - (ends - n), n)
-        return self.least[self.row_context[rows]] < np.repeat(doc, n), n
+        first = order[heads]
+        # of the rows that stand for windows, the first of each run; a run of walk rows alone has none
+        window_rows = np.add.reduceat((order < n).astype(np.int64), heads) if len(heads) else heads
+        self.sample = np.where(first < n, at[first], -1)
+        self.contexts = len(lead)
+        self.begin = context[n:]  # context of the row where each segment's walk begins
+        # LF: the rows before which c stands are, in order, the windows that begin with c
+        byte = self.key & 511
+        step = np.argsort(byte, kind="stable")
+        count = np.cumsum(self.length[step])
+        target = np.empty(len(step), np.int64)
+        target[step] = count - self.length[step] - int(self.length[byte == 0].sum())
+        windows = np.bincount(self.key >> 9, weights=window_rows, minlength=self.contexts).astype(np.int64)
+        first_window = np.cumsum(windows) - windows  # windows before each context
+        filled = np.flatnonzero(windows)
+        at_context = np.searchsorted(first_window[filled], target, side="right") - 1
+        self.to = filled[np.maximum(at_context, 0)] if len(filled) else np.zeros(len(target), np.int64)
+
+    def least(self) -> np.ndarray:
+        """For each context the text position of an occurrence in the least doc_id, from the samples of its runs; -1 without any."""
+        some = np.flatnonzero(self.sample >= 0)
+        where = self.key[some] >> 9
+        out = np.full(self.contexts, -1, np.int64)
+        order = np.lexsort((self.sample[some], where))  # positions ascend with doc_id
+        where, sample = where[order], self.sample[some][order]
+        new = np.diff(where, prepend=-1) != 0
+        out[where[new]] = sample[new]
+        return out
+
+    def matches(self) -> tuple[np.ndarray, np.ndarray]:
+        """Stream all segments, each from its end: (position, windows' offsets).
+
+        A step goes from the context of a window, by the byte c before it, along LF of the run of c in
+        that context to the context of the window before. The matching statistic of each window, cut at
+        `LENGTH`, is its context's; position is that of its match in the least doc_id.
+        """
+        base = np.concatenate([[0], np.cumsum(self.sizes)])
+        least, out = self.least(), np.empty(base[-1], np.int64)
+        order = np.argsort(-self.sizes, kind="stable")
+        at, left, place = self.starts[order] + self.sizes[order], self.sizes[order], base[1:][order]
+        context = self.begin[order]
+        for step in range(1, int(left[0]) + 1 if len(left) else 1):
+            n = int(np.searchsorted(-left, -step, side="right"))  # segments that still have windows
+            c = self.text[at[:n] - step].astype(np.int64) + 1
+            context = self.to[np.searchsorted(self.key, context[:n] << 9 | c)]
+            out[place[:n] - step] = least[context]
+        return out, base
+
+    def doc_of(self, position: np.ndarray) -> np.ndarray:
+        return self.docs[np.searchsorted(self.starts, position, side="right") - 1]
+
+
+def _same_content(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Number of each stretch's group of equal bytes."""
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    blob = _bytes_of(text, start, size)
+    every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(blob.tobytes())])
+    return every.dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
 def _match_bucket(table: pa.Table) -> pa.Table:
@@ -316,19 +370,23 @@ def _match_bucket(table: pa.Table) -> pa.Table:
     text, doc, size = np.concatenate(blobs), np.concatenate(docs), np.concatenate(sizes)
     start = np.concatenate([[0], np.cumsum(size + LENGTH - 1)[:-1]])
     # equal segments of different blocks are indexed once, with their least doc_id
-    content = span_hashes(prefix_sums(text, BYTE_VALUES), start, start + size + LENGTH - 1)
-    order = np.lexsort((doc, content))
-    new = np.ones(len(order), bool)
-    new[1:] = content[order][1:] != content[order][:-1]
-    same = np.empty(len(order), np.int64)
-    same[order] = np.cumsum(new) - 1
-    lead = order[new]
-    index = RunIndex(text, start[lead], size[lead], doc[lead])
+    order = np.argsort(doc, kind="stable")
+    found = _same_content(text, start[order], size[order] + LENGTH - 1)  # numbers in order of first, so least, doc_id
+    _, lead = np.unique(found, return_index=True)
+    lead, same = order[lead], np.empty(len(order), np.int64)
+    same[order] = found
+    length = size[lead]
+    text = _bytes_of(text, start[lead], length + LENGTH - 1)
+    index = RunIndex(text, np.concatenate([[0], np.cumsum(length + LENGTH - 1)[:-1]]), length, doc[lead])
+    position, base = index.matches()
+    matched = index.doc_of(position)
     rows, at = [], 0
     for block, a in zip(table.column("block").to_pylist(), numbers):
         mine = slice(at, at + len(a))
         at += len(a)
-        hit, n = index.matches(same[mine], doc[mine])
+        n = length[same[mine]]
+        ends = np.cumsum(n)
+        hit = matched[np.arange(ends[-1]) + np.repeat(base[same[mine]] - (ends - n), n)] < np.repeat(doc[mine], n)
         rows.append((block, _pack_ints(a), _pack_ints(n), zstandard.compress(np.packbits(hit).tobytes(), 1)))
     return pa.table({c: pa.array(v, t) for c, v, t in zip(("block", "numbers", "sizes", "hits"), zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))})
 

@@ -104,12 +104,26 @@ def test_repeats_edge_cases(spark):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in rows) == [(0, 0), (3, 0), (3, 0), (5, 70)]
 
 
-def test_run_index_on_its_own():
-    text = np.frombuffer(b"a" * 60 + b"b" * 10 + b"a" * 55, np.uint8)
-    index = runindex.RunIndex(text, np.array([0, 70]), np.array([21, 6]), np.array([7, 2]))
-    assert index.length.sum() == 27 and len(index.length) < 27  # runs are compressed
-    hit, n = index.matches(np.array([0, 1]), np.array([7, 2]))
-    assert n.tolist() == [21, 6] and hit[:11].all() and not hit[11:].any()
+def test_run_index_equals_brute_force():
+    rng = random.Random(4)
+    words = [bytes(rng.choice(b"ab\x00z") for _ in range(rng.randint(1, 40))) for _ in range(6)]
+    texts = [b"a" * 55, b"a" * 60 + b"b" * 10] + [b"".join(rng.choice(words) for _ in range(rng.randint(20, 60)))[: rng.randint(50, 300)].ljust(50, b"a") for _ in range(40)]
+    ids = sorted(rng.randint(0, 30) for _ in texts)
+    sizes = np.array([len(t) - 49 for t in texts])
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])
+    index = runindex.RunIndex(np.frombuffer(b"".join(texts), np.uint8), starts, sizes, np.array(ids))
+    assert index.length.sum() == sizes.sum() + len(texts) > len(index.length)  # rows are compressed to runs
+    least = {}
+    for d, t in zip(ids, texts):
+        for i in range(len(t) - 49):
+            least[t[i : i + 50]] = min(d, least.get(t[i : i + 50], d))
+    position, base = index.matches()
+    assert index.doc_of(position).tolist() == [least[t[i : i + 50]] for t in texts for i in range(len(t) - 49)]
+    whole = b"".join(texts)
+    assert all(whole[p : p + 50] == t[i : i + 50] for p, (t, i) in zip(position, ((t, i) for t in texts for i in range(len(t) - 49))))
+    # what the walk reads are the runs: without their bytes it goes nowhere
+    index.to = np.zeros_like(index.to)
+    assert index.matches()[0].tolist() != position.tolist()
 
 
 # ---- Jaccard join ----
