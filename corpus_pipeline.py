@@ -33,15 +33,19 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copy, so that repeated rows and texts of one id are judged each for itself.
     """
     attach(spark)
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
     if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
-        rows = docs.withColumn("row_key", F.col("doc_id").cast("long"))
+        rows = docs.withColumn(key, F.col("doc_id").cast("long"))
     else:
-        rows = materialize(docs.withColumn("row_key", F.monotonically_increasing_id()), "numbered")
+        rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
     worded = F.coalesce(F.col("text").rlike(HAS_WORD), F.lit(False))
-    groups = jaccard.jaccard_components(rows.where(worded), id_col="row_key", shingle=SHINGLE, threshold=NEAR).select(F.col("doc_id").alias("row_key"), "component_id")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key").alias("place")
-    kept = rows.where(worded).select("row_key", place).join(groups, "row_key").groupBy("component_id").agg(F.min("place").alias("place")).select("place.row_key")
-    return rows.where(worded).join(kept, "row_key", "left_semi").unionByName(rows.where(~worded)).select(*docs.columns)
+    groups = jaccard.jaccard_components(rows.where(worded), id_col=key, shingle=SHINGLE, threshold=NEAR).select(F.col("doc_id").alias(key), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("row")).alias("place")
+    first = rows.where(worded).select(key, place).join(groups, key).groupBy("component_id").agg(F.min("place").alias("place"))
+    kept = first.select(F.col("place.row").alias(key))
+    return rows.where(worded).join(kept, key, "left_semi").unionByName(rows.where(~worded)).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
