@@ -2,23 +2,26 @@
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, A-Z lower-cased, kept as 64-bit hashes.
 For each class c the interpolated model (modified Kneser-Ney discounts D) is
-  P_c(w | v) = (n_c(v, w) - D) / n_c(v) + rest_c(v) * P_c(w)
+  P_c(w | v) = (N_c(. v w) - D) / N_c(. v .) + rest_c(v) * Q_c(w | v)
+  Q_c(w | v) = (N(. v w) - D) / N(. v .) + rest(v) * P_c(w)
   P_c(w)     = (N_c(. w) - D) / N_c(. .) + rest_c * P(w)
-with N_c(. w) the number of distinct words before w, the rests what the discounts free, and P(w) the backoff shared by both classes.
-A text's evidence is log P_1 - log P_0 normalised by length: over the whole text, and over
-the strongest window and word of the lower order (less their standard errors), since a toxic phrase may stand in a long text; a logistic
-curve fitted on labelled rows kept out of the counts turns these into the score.
-
-Class counts come from a bounded sample of labelled rows (`FIT_DOCS` documents of each
-class, chosen by a hash of their id). The shared backoff counts are
-gathered from all documents of the corpus: in each slice of it, how many distinct words
-precede each word. A word that neither class knows after a known or unknown word has the
-same backoff in both, so only the sample's words need it, which bounds the model that
-is broadcast.
+with N_c(. x) the number of distinct words before x (so copied passages weigh once), N that of
+both classes together, the rests what the discounts free, and P(w) the backoff that all documents share.
+A text's evidence is log P_1 - log P_0 normalised by length, of the whole text and of its
+most toxic window of `SPAN` words, since a toxic phrase may stand in a long text; a
+logistic curve, fitted on labelled rows kept out of the counts, turns the two into the score.
+
+Class counts come from whole texts of a bounded sample of labelled rows (`FIT_DOCS`
+documents of each class, chosen by a hash of their id). The shared backoff counts are
+gathered from all documents of the corpus: how many distinct words precede each word. A
+word that neither class knows has the same backoff in both, so only the sample's words
+need it, which bounds the model that is broadcast.
 
 Edge cases: null and wordless texts have evidence 0 and so the score of an average text;
-null labels are left out; with only one labelled class, or none, every score is its
-smoothed share. Input columns pass through, but for columns named like an output.
+very long texts are scanned whole, in one slice; repeated rows score alike; repeated labels of a
+document count as 1 if one of them is; null labels are left out; with only one labelled class,
+or none, every score is its smoothed share. Rows with a null id are not held out and have no label.
+Input columns pass through, but for columns named like an output.
 """
 
 from __future__ import annotations
@@ -32,14 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandflow.llm.textpack import NOT_WORD, combine, row_starts, slices, word_hashes
+from strandflow.session import materialize
 
-#: Bounds of the training sample: documents of each class for the counts and for the curve, characters of each.
-FIT_DOCS = 1500
-CURVE_DOCS = 1200
-SAMPLE_CHARS = 20_000
+#: Bounds of the training sample: documents of each class for the counts and for the curve.
+FIT_DOCS = 2000
+CURVE_DOCS = 2500
 #: Words of the windows whose evidence is compared.
-SPAN = 4
-CONFIDENCE = 2.0
+SPAN = 2
+#: Standard errors of a count that its discount takes at least.
+ERRORS = 2.0
 START = np.uint64(0x5BF03635A1D3C9E7)
 
 
@@ -73,79 +77,84 @@ def _spread(keys: np.ndarray, values: np.ndarray, table: np.ndarray) -> np.ndarr
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discount of each count, from the counts of counts."""
+    """Discount of each count: the modified Kneser-Ney one from the counts of counts, or `ERRORS` standard errors if that is more.
+
+    What a few occurrences in a sample say about a rare expression is so left to the shared backoff.
+    """
     n = [max(int((counts == k).sum()), 1) for k in (1, 2, 3, 4)]
     y = n[0] / (n[0] + 2 * n[1])
     d = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k - 0.02) for k in (1, 2, 3)]
-    return np.array([0.0, *d])[np.minimum(counts, 3)]
+    return np.minimum(np.maximum(np.array([0.0, *d])[np.minimum(counts, 3)], ERRORS * np.sqrt(counts)), counts)
 
 
 class Model:
     """Log-ratio tables: of known pairs, of known words, and of words before an unknown one."""
 
-    def __init__(self, classes: list[tuple[np.ndarray, np.ndarray]], words: np.ndarray, backoff: np.ndarray):
-        """classes: (words before, words) of both classes; words: sorted; backoff: their shared probability."""
+    def __init__(self, classes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], words: np.ndarray, backoff: np.ndarray):
+        """classes: different (word before, word) and their counts, of both classes; words: sorted; backoff: their shared probability."""
         self.words = words
-        pair = [combine(v, w) for v, w in classes]
-        self.pairs, first = np.unique(np.concatenate(pair), return_index=True)
         every_v, every_w = (np.concatenate([c[i] for c in classes]) for i in (0, 1))
-        pair_v, pair_w = every_v[first], every_w[first]
+        self.pairs, first = np.unique(combine(every_v, every_w), return_index=True)
         self.contexts = np.unique(every_v)
-        word_log, pair_log, context_log, support = [], [], [], []
-        for (v, w), p in zip(classes, pair):
-            bi, bi_first, bi_n = np.unique(p, return_index=True, return_counts=True)
-            bi_v, bi_w = v[bi_first], w[bi_first]
-            kept = bi_n - _discounts(bi_n)
-            # lower order: distinct words before each word, so that copied passages weigh once
-            word, before = _counts(bi_w)
-            n = max(before.sum(), 1)
-            own = before - _discounts(before)
-            rest_of_words = 1 - own.sum() / n
-            unigram = _spread(word, own, words) / n + rest_of_words * backoff
-            support.append(np.append(_spread(word, before, words), 0))
-            context, context_n = _counts(v)
-            c_n = _spread(context, context_n, self.contexts)
-            mass = np.bincount(_look(self.contexts, bi_v), weights=kept, minlength=len(self.contexts))
-            rest = np.where(c_n > 0, 1 - mass / np.maximum(c_n, 1), 1.0)
-            cv, cw = _look(self.contexts, pair_v), _look(words, pair_w)
-            pair_log.append(np.log(_spread(bi, kept, self.pairs) / np.maximum(c_n[cv], 1) + rest[cv] * unigram[cw]))
-            word_log.append(np.log(np.append(unigram, rest_of_words)))  # the last: words that the models lack
-            context_log.append(np.log(rest))
-        self.pair_ratio = (pair_log[1] - pair_log[0]).astype(np.float32)
-        self.word_ratio = (word_log[1] - word_log[0]).astype(np.float32)
-        # a word's evidence less twice its standard error, for the strongest word and window
-        error = CONFIDENCE / np.sqrt(np.maximum(np.where(self.word_ratio > 0, support[1], support[0]), 1))
-        self.sure_ratio = (np.sign(self.word_ratio) * np.maximum(np.abs(self.word_ratio) - error, 0)).astype(np.float32)
-        self.context_ratio = (context_log[1] - context_log[0]).astype(np.float32)
+        cv, cw = _look(self.contexts, every_v[first]), _look(words, every_w[first])
+        both = sum(_spread(combine(v, w), n, self.pairs) for v, w, n in classes).astype(np.int64)
+        shared = context_parts(every_v[first], both, self.contexts)
+        pair_log, word_log, context_log = [], [], []
+        for v, w, n in classes:
+            own = class_words(w, words, backoff) | context_parts(v, n, self.contexts)
+            below = shared["kept"] / shared["seen"][cv] + shared["rest"][cv] * own["word"][cw]
+            pair_log.append(np.log(_spread(combine(v, w), own["kept"], self.pairs) / np.maximum(own["seen"][cv], 1) + own["rest"][cv] * below))
+            word_log.append(np.log(np.append(own["word"], own["word_rest"])))  # the last: words that the models lack
+            context_log.append(np.log(own["rest"]))
+        self.pair_ratio, self.word_ratio, self.context_ratio = ((x[1] - x[0]).astype(np.float32) for x in (pair_log, word_log, context_log))
+
+    def ratios(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """log P_1(word | word before) - log P_0 of every word, and row starts."""
+        w, v, starts = tokens(column)
+        at = _look(self.contexts, v)
+        ratio = self.word_ratio[_look(self.words, w)] + np.where(at >= 0, self.context_ratio[at], 0)  # -1 picks the last word
+        at = _look(self.pairs, combine(v, w)) if len(w) else at
+        return np.where(at >= 0, self.pair_ratio[at], ratio).astype(np.float64), starts
 
     def evidence(self, column: pa.Array) -> np.ndarray:
-        """For each row: mean log ratio of a word, of its strongest window of `SPAN` words and of its
-        strongest word, and the number of words."""
-        w, v, starts = tokens(column)
-        out = np.zeros((len(column), 4))
+        """For each row the difference of the length-normalised log-likelihoods of the whole text, and of
+        its most toxic window of `SPAN` words (of the whole text, if it is shorter)."""
+        ratio, starts = self.ratios(column)
+        out = np.zeros((len(column), 2))
         n = np.diff(starts)
-        out[:, 3] = n
-        if len(w):
-            known = _look(self.words, w)  # -1 picks the last entry
-            word = self.sure_ratio[known].astype(np.float64)
-            at = _look(self.contexts, v)
-            ratio = self.word_ratio[known] + np.where(at >= 0, self.context_ratio[at], 0)
-            at = _look(self.pairs, combine(v, w))
-            ratio = np.where(at >= 0, self.pair_ratio[at], ratio)
-            some = np.flatnonzero(n)
+        some = np.flatnonzero(n)
+        if len(some):
             first, end = starts[:-1][some], starts[1:][some]
             out[some, 0] = np.add.reduceat(ratio, first) / n[some]
-            sums = np.concatenate([[0], np.cumsum(word)])
-            to = np.minimum(np.arange(len(w)) + SPAN, np.repeat(end, n[some]))
-            out[some, 1] = np.maximum.reduceat((sums[to] - sums[:-1]) / SPAN, first)
-            out[some, 2] = np.maximum.reduceat(word, first)
+            sums = np.concatenate([[0], np.cumsum(ratio)])
+            at, stop = np.arange(len(ratio)), np.repeat(end, n[some])
+            begin = np.minimum(at, np.maximum(stop - SPAN, np.repeat(first, n[some])))  # the last windows are whole ones
+            to = np.minimum(begin + SPAN, stop)
+            out[some, 1] = np.maximum.reduceat((sums[to] - sums[begin]) / (to - begin), first)
         return out
 
 
+def context_parts(v: np.ndarray, n: np.ndarray, contexts: np.ndarray) -> dict[str, np.ndarray]:
+    """kept: discounted counts n of different pairs with the contexts v; seen, rest: for each context its count and what its discounts free."""
+    kept = n - _discounts(n)
+    at = _look(contexts, v)
+    seen = np.bincount(at, weights=n, minlength=len(contexts))
+    mass = np.bincount(at, weights=kept, minlength=len(contexts))
+    return {"kept": kept, "seen": seen, "rest": np.where(seen > 0, 1 - mass / np.maximum(seen, 1), 1.0)}
+
+
+def class_words(w: np.ndarray, words: np.ndarray, backoff: np.ndarray) -> dict[str, np.ndarray]:
+    """Lower order of a class from its different pairs (., w): word, P_c(w); word_rest, the factor of the shared backoff in it."""
+    word, before = _counts(w)
+    total = max(before.sum(), 1)
+    own = before - _discounts(before)
+    rest = 1 - own.sum() / total
+    return {"word": _spread(word, own, words) / total + rest * backoff, "word_rest": rest}
+
+
 def features(evidence: np.ndarray) -> np.ndarray:
-    """Inputs of the curve, of similar size, and a constant."""
-    mean, window, word, n = evidence.T
-    return np.stack([mean, window, word, np.log1p(n) / 3, np.ones(len(n))], 1)
+    """Inputs of the curve: both differences, and a constant."""
+    return np.column_stack([evidence, np.ones(len(evidence))])
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, share: float = 0.5, ridge: float = 1e-2) -> np.ndarray:
@@ -163,11 +172,11 @@ def fit_curve(x: np.ndarray, y: np.ndarray, share: float = 0.5, ridge: float = 1
     return beta
 
 
-def _sample(docs: DataFrame, labels: DataFrame, counts: dict[int, int]) -> dict[tuple[int, str], list[str]]:
-    """Texts of (class, part), part `fit` or `curve`, of documents chosen by a hash of their id.
+def _sample(docs: DataFrame, labels: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Different texts (label, part, text), part `fit` or `curve`, of documents chosen by a hash of their id.
 
     The choice is made on the labels alone; it holds about `FIT_DOCS` + `CURVE_DOCS` ids a
-    class, which bounds what is broadcast to find their texts, so no text is shuffled.
+    class, which bounds what is broadcast to find their texts, so no other text is shuffled.
     """
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / F.lit(1 << 30)
     chosen = []
@@ -176,26 +185,34 @@ def _sample(docs: DataFrame, labels: DataFrame, counts: dict[int, int]) -> dict[
         curve = min(0.25, CURVE_DOCS / n)
         fit = min(1.0, curve + FIT_DOCS / n)
         part = F.when(place < curve, "curve").otherwise("fit").alias("part")
-        chosen.append(labels.where((F.col("label") == c) & (place < fit)).select("doc_id", "label", part).limit(2 * (FIT_DOCS + CURVE_DOCS)))
+        chosen.append(labels.where((F.col("label") == c) & (place < fit)).select("doc_id", "label", part))
     known = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").where("text IS NOT NULL")
-    out: dict[tuple[int, str], set] = {}
-    for r in known.select("label", "part", F.substring("text", 1, SAMPLE_CHARS)).toLocalIterator():
-        out.setdefault((r[0], r[1]), set()).add(r[2])
-    return {k: sorted(v) for k, v in out.items()}
+    return materialize(known.select("label", "part", "text").distinct(), "toxicity-sample")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different (label, u, v, w) of each batch: a word and the two before it."""
+    for batch in batches:
+        label = batch.column("label").to_numpy()
+        for c in np.unique(label):
+            w, v, starts = tokens(batch.column("text").filter(pa.array(label == c)))
+            u = np.empty_like(v)
+            u[1:] = v[:-1]
+            u[starts[:-1][starts[:-1] < len(w)]] = START
+            _, first = np.unique(combine(u, v, w), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), c, np.int32)), *(pa.array(x[first].view(np.int64)) for x in (u, v, w))], names=["label", "u", "v", "w"])
 
 
 def shared_backoff(corpus: DataFrame, words: np.ndarray, *, text_col: str = "text") -> np.ndarray:
-    """For each of the sorted word hashes: distinct predecessors, summed over slices of all documents.
+    """For each of the sorted word hashes: its distinct predecessors in all documents.
 
-    A task counts over the slices of its partition and sends one count vector in chunks,
-    which are added by chunk number; the driver gets one number per word.
+    Pairs of a word of the model and the word before it are made distinct in slices, then
+    over the corpus by Spark; the driver gets one number per word, and the sample bounds the words.
     """
-    chunk = 1 << 15
     shared = corpus.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        total = np.zeros(len(table), np.int64)
         for part in slices(batches, text_col, 8 << 20):
             w, v, _ = tokens(part.column(text_col))
             at = _look(table, w)
@@ -204,44 +221,43 @@ def shared_backoff(corpus: DataFrame, words: np.ndarray, *, text_col: str = "tex
             a, b = at[known][order], v[known][order]
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            total += np.bincount(a[new], minlength=len(table))
-        numbers = list(range(0, len(table), chunk))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(numbers, pa.int64()), pa.array([total[i : i + chunk].tolist() for i in numbers], pa.list_(pa.int64()))], names=["at", "counts"]
-        )
-
-    parts = corpus.select(text_col).mapInArrow(run, "at long, counts array<long>")
-    summed = parts.select("at", F.posexplode("counts").alias("k", "n")).groupBy("at", "k").agg(F.sum("n").alias("n"))
-    packed = summed.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("counts"))
+            yield pa.RecordBatch.from_arrays([pa.array(a[new].astype(np.int32)), pa.array(b[new].view(np.int64))], names=["k", "v"])
+
+    found = corpus.select(text_col).mapInArrow(run, "k int, v long").groupBy("k").agg(F.count_distinct("v").alias("n")).toArrow()
     out = np.zeros(len(words), np.int64)
-    for r in packed.select("at", "counts.n").toLocalIterator():
-        out[r[0] : r[0] + len(r[1])] = r[1]
+    out[found.column("k").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict:
     """Model and curve. docs: doc_id and text of all documents; labels: doc_id (once each), label (0/1)."""
-    labels = labels.where("label IN (0, 1)")
+    labels = labels.where("label IN (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    found = _sample(docs, labels, counts)
+    sample = _sample(docs, labels, counts)
+    have = {(r[0], r[1]): r[2] for r in sample.groupBy("label", "part").count().collect()}
     odds = (counts.get(1, 0) / max(counts.get(0, 0), 1)) ** 0.5  # halfway between equal and true odds
     share = odds / (1 + odds)
-    texts = [found.get((c, "fit"), []) for c in (0, 1)]
-    held = [found.get((c, "curve"), []) for c in (0, 1)]
-    if not (texts[0] and texts[1] and held[0] and held[1]):
-        ones = len(texts[1]) + len(held[1])
-        return {"constant": (ones + 0.5) / (ones + len(texts[0]) + len(held[0]) + 1.0)}
-    classes = []
-    for t in texts:
-        parts = [tokens(pa.array(t[i : i + 500], pa.large_string())) for i in range(0, len(t), 500)]
-        classes.append(tuple(np.concatenate([p[i] for p in parts]) for i in (1, 0)))
+    found = sample.where("part = 'fit'").mapInArrow(_pairs, "label int, u long, v long, w long").groupBy("label", "v", "w").agg(F.count_distinct("u").alias("n")).toArrow()
+    found = found.sort_by([("label", "ascending"), ("v", "ascending"), ("w", "ascending")])
+    label, v, w, n = (found.column(i).to_numpy() for i in range(4))
+    classes = [(v[label == c].view(np.uint64), w[label == c].view(np.uint64), n[label == c]) for c in (0, 1)]
+    if not (len(classes[0][0]) and len(classes[1][0]) and have.get((0, "curve")) and have.get((1, "curve"))):
+        ones = have.get((1, "fit"), 0) + have.get((1, "curve"), 0)
+        return {"constant": (ones + 0.5) / (sum(have.values()) + 1.0)}
     words = np.unique(np.concatenate([c[1] for c in classes]))
-    counts = shared_backoff(docs, words)
-    backoff = (counts + 0.5) / (counts.sum() + 0.5 * len(words) + 1)
+    before = shared_backoff(docs, words)
+    backoff = (before + 0.5) / (before.sum() + 0.5 * len(words) + 1)
     model = Model(classes, words, backoff)
-    y = np.concatenate([np.full(len(t), c) for c, t in enumerate(held)])
-    x = features(np.concatenate([model.evidence(pa.array(t[i : i + 500], pa.large_string())) for t in held for i in range(0, len(t), 500)]))
-    return {"model": model, "curve": fit_curve(x, y, share)}
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *map(pa.array, shared.value.evidence(batch.column("text")).T)], names=["label", "whole", "window"])
+
+    held = sample.where("part = 'curve'").mapInArrow(weigh, "label int, whole double, window double").toArrow()
+    y, *x = (held.column(i).to_numpy() for i in range(3))
+    order = np.lexsort((x[1], x[0], y))  # sums do not depend on the order of rows
+    return {"model": model, "curve": fit_curve(features(np.column_stack(x)[order]), y[order], share)}
 
 
 def score(docs: DataFrame, learned: dict, *, text_col: str = "text") -> DataFrame:
@@ -268,7 +284,7 @@ def score(docs: DataFrame, learned: dict, *, text_col: str = "text") -> DataFram
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,17 +106,64 @@ def test_toxicity_held_out_accuracy(spark):
     assert toxicity.digest(df.limit(0), lab).count() == 0
 
 
-def test_model_probabilities_sum_to_one():
-    rng = np.random.default_rng(2)
-    words = np.unique(rng.integers(1, 2**60, 30, dtype=np.uint64))
-    pick = lambda n: (rng.choice(words, n), rng.choice(words, n))
-    classes = [pick(300), pick(200)]
+def test_model_equals_kneser_ney_by_hand(spark):
+    rng = random.Random(2)
+    words = "ab cd ef gh ij kl mn".split()
+    texts = [[" ".join(rng.choice(words[c : c + 6]) for _ in range(rng.randint(1, 90))) for _ in range(12)] for c in (0, 1)]
+    corpus_texts = texts[0] + texts[1] + ["op ab zz cd", "zz ab"]
+    found = [r for c in (0, 1) for b in toxicity._pairs([pa.RecordBatch.from_pydict({"label": [c] * 12, "text": texts[c]})]) for r in b.to_pylist()]
+    counts = [Counter((r["v"], r["w"]) for r in found if r["label"] == c) for c in (0, 1)]
+    classes = [(*(np.array([k[i] for k in n], np.int64).view(np.uint64) for i in (0, 1)), np.array(list(n.values()))) for n in counts]
     known = np.unique(np.concatenate([c[1] for c in classes]))
-    backoff = np.full(len(known), 1 / len(known))
-    m = toxicity.Model(classes, known, backoff)
-    total = [0.0, 0.0]
-    bi, n = np.unique(toxicity.combine(*classes[0]), return_counts=True)
-    assert (toxicity._discounts(n) <= n).all() and np.isfinite(m.pair_ratio).all() and np.isfinite(m.word_ratio).all()
+    name = {int(toxicity.tokens(pa.array([x]))[0][0]): x for x in words}
+    before = toxicity.shared_backoff(spark.createDataFrame([(t,) for t in corpus_texts], "text string").repartition(5), known)
+    pairs = {(v, w) for t in corpus_texts for v, w in zip(["<s>", *t.split()], t.split())}
+    assert before.tolist() == [sum(w == name[int(k)] for _, w in pairs) for k in known]
+    share = {name[int(k)]: (b + 0.5) / (before.sum() + 0.5 * len(known) + 1) for k, b in zip(known, before)}
+    model = toxicity.Model(classes, known, np.array([share[name[int(k)]] for k in known]))
+
+    def discount(counts):
+        n = [max(sum(x == k for x in counts), 1) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [0.0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k - 0.02) for k in (1, 2, 3)]
+
+    def triples(c):
+        return {(u, v, w) for t in texts[c] for u, v, w in zip(["<s>", "<s>", *t.split()], ["<s>", *t.split()], t.split())}
+
+    seen = [Counter((v, w) for _, v, w in triples(c)) for c in (0, 1)]
+    both = seen[0] + seen[1]
+    d = [discount(list(n.values())) for n in (*seen, both)]
+    taken = lambda n, d: min(max(d[min(n, 3)], toxicity.ERRORS * n**0.5), n)
+
+    def step(n, d, v, w, below):
+        total = sum(x for (a, _), x in n.items() if a == v)
+        if not total:
+            return below
+        return (n[v, w] - taken(n[v, w], d)) / total + sum(taken(x, d) for (a, _), x in n.items() if a == v) / total * below
+
+    def by_hand(c):
+        lower = Counter(w for _, w in seen[c])
+        dl, total = discount(list(lower.values())), sum(lower.values())
+        free = sum(taken(x, dl) for x in lower.values()) / total
+        first = lambda w: (lower[w] - taken(lower[w], dl)) / total + free * (share.get(w) or 1 / (before.sum() + 0.5 * len(known) + 1))
+        return lambda w, v: step(seen[c], d[c], v, w, step(both, d[2], v, w, first(w)))
+
+    p = [by_hand(0), by_hand(1)]
+    for v in ["<s>", *words, "never"]:
+        for c in (0, 1):
+            assert abs(sum(p[c](w, v) for w in [*words, "unknown"]) - 1) < 1e-9
+    text = "ab op never kl cd unknown ij gh gh"
+    ratio, _ = model.ratios(pa.array([text]))
+    want = [np.log(p[1](w, v) / p[0](w, v)) for v, w in zip(["<s>", *text.split()], text.split())]
+    assert np.allclose(ratio, want, atol=1e-5)
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randint(3, 60)) + (" vile" if i % 3 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(3, 0), (3, 1)], "doc_id long, toxic int")
+    one, many = (sorted((r["doc_id"], r["score"]) for r in toxicity.digest(docs(spark, rows).repartition(n), labels).collect()) for n in (1, 16))
+    assert one == many
 
 
 # ---- chat ----
