@@ -21,16 +21,22 @@ def best_labels(lp: Column) -> Column:
     return F.transform(lp, lambda row: (F.array_position(row, F.array_max(row)) - 1).cast("int"))
 
 
+def cut(lp: Column, length: Column | None) -> Column:
+    """The first `length` steps; all of them for a null length."""
+    return lp if length is None else F.slice(lp, F.lit(1), F.greatest(F.coalesce(length, F.size(lp)), F.lit(0)))
+
+
 def runs(lp: Column, blank: int = BLANK) -> Column:
     """Maximal runs of one label but blank: array of (label, start, end), the end inclusive."""
-    labels = best_labels(lp)
-    n = F.size(labels)
-    starts = F.filter(
-        F.transform(labels, lambda x, i: F.struct(x.alias("label"), i.alias("start"))),
-        lambda r: (r["label"] != blank) & ((r["start"] == 0) | (F.element_at(labels, F.greatest(r["start"], F.lit(1))) != r["label"])),
-    )
-    changes = F.filter(F.transform(labels, lambda x, i: F.when((i == n - 1) | (F.element_at(labels, F.least(i + 2, n)) != x), i).otherwise(-1)), lambda i: i >= 0)
-    return F.transform(starts, lambda r: F.struct(r["label"].alias("label"), r["start"].alias("start"), F.array_min(F.filter(changes, lambda e: e >= r["start"])).alias("end")))
+
+    def of(labels: Column) -> Column:
+        marked = F.transform(labels, lambda x, i: F.when((i == 0) | (F.element_at(labels, F.greatest(i, F.lit(1))) != x), i).otherwise(-1))
+        return F.element_at(F.transform(F.array(F.filter(marked, lambda i: i >= 0)), lambda starts: F.zip_with(
+            starts, F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(labels))),
+            lambda s, e: F.struct(F.element_at(labels, s + 1).alias("label"), s.alias("start"), (e - 1).alias("end")))), 1)
+
+    # of an empty matrix the borders give one run without a label, which the comparison drops
+    return F.filter(F.element_at(F.transform(F.array(best_labels(lp)), of), 1), lambda r: (r["label"] != blank) & r["start"].isNotNull())
 
 
 def sequence(run: Column, alphabet: str = BASES) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions import signal as S
+from strandflow.plans.numbering import number_rows
+from strandflow.session import materialize
 
 
 def long_form(signals: DataFrame, column: str = "signal") -> DataFrame:
@@ -17,21 +21,26 @@ def _by_read(before: int | None = None, after: int | None = None):
     return w if before is None else w.rowsBetween(-before, after)
 
 
+def _windowed(signals: DataFrame, window: int, step: int, clip: float | None) -> DataFrame:
+    """(row, read_id, pos, value): `row` tells rows of one read_id apart; an empty signal has one row, of null pos."""
+    n = F.size("signal")
+    last = F.greatest(n - window, F.lit(0))
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(step)), F.array(last)))
+    parts = F.transform(starts, lambda s: F.struct(s.alias("start"), S.normalize(F.slice("signal", s + 1, F.lit(window)), clip)["norm"].alias("x")))
+    every = F.array(F.struct(F.lit(0).alias("start"), F.array_repeat(F.lit(None).cast("double"), n).alias("x")))  # positions in gaps
+    rows = signals.where(n >= 0).select(F.monotonically_increasing_id().alias("row"), "read_id", "signal")
+    rows = rows.select("row", "read_id", F.explode(F.concat(every, parts)).alias("w"))
+    one = rows.select("row", "read_id", "w.start", F.posexplode_outer("w.x").alias("k", "x"))
+    return one.groupBy("row", "read_id", (F.col("start") + F.col("k")).alias("pos")).agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("value"))
+
+
 def normalize_windowed(signals: DataFrame, window: int = 5000, step: int = 1000, clip: float | None = 5.0) -> DataFrame:
     """(read_id, pos, value): each window normalised alone, overlaps averaged, gaps 0.
 
     Windows start at 0, step, ... and one ends with the signal; shorter signals are one window.
+    Rows of one read_id are signals of their own.
     """
-    n = F.size("signal")
-    last = F.greatest(n - window, F.lit(0))
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(step)), F.array(last)))
-    parts = signals.where(n > 0).select("read_id", "signal", F.explode(starts).alias("start"))
-    one = parts.select("read_id", "start", F.posexplode(S.normalize(F.slice("signal", F.col("start") + 1, F.lit(window)), clip)["norm"]).alias("k", "x"))
-    sums = one.groupBy("read_id", (F.col("start") + F.col("k")).alias("pos")).agg(F.avg("x").alias("x"))
-    if step <= window:
-        return sums.withColumnRenamed("x", "value")
-    every = long_form(signals).select("read_id", "pos")
-    return every.join(sums, ["read_id", "pos"], "left").select("read_id", "pos", F.coalesce("x", F.lit(0.0)).alias("value"))
+    return _windowed(signals, window, step, clip).where("pos IS NOT NULL").select("read_id", "pos", "value")
 
 
 def repair_spikes(points: DataFrame, threshold: float = 5.0, max_length: int = 50) -> DataFrame:
@@ -80,32 +89,66 @@ def stats(points: DataFrame) -> DataFrame:
     return first.join(spread, "read_id").select("read_id", "median", mad.alias("mad"), (mad * S.MAD_SCALE).alias("std_equivalent"), "mean", "std", "min", "max", "length")
 
 
+@dataclass(frozen=True)
+class Denoiser:
+    median_filter_size: int = 5
+    spike_threshold: float = 5.0
+    max_spike_length: int = 50
+    apply_median_filter: bool = True
+    remove_spikes: bool = True
+
+
+def denoise(signals: DataFrame, conf: Denoiser = Denoiser()) -> DataFrame:
+    """(read_id, signal, stats): median filter, then runs of spikes of the filtered signal become lines.
+
+    stats: median_filter_applied, spikes_removed (whether any sample is a spike), n_spike_samples and
+    spike_fraction (null without spike removal). Empty signals stay empty, null ones null.
+    """
+    filtered = conf.apply_median_filter and conf.median_filter_size > 1
+    some = F.size("signal") > 0
+    rows = signals.select(F.monotonically_increasing_id().alias("row"), "read_id", (S.median_filter(F.col("signal"), conf.median_filter_size) if filtered else F.col("signal")).alias("signal"))
+    if conf.remove_spikes:
+        # reads without a spike stay arrays; the others go point by point
+        marks = F.size(F.filter(S.spikes(F.col("signal"), conf.spike_threshold), lambda x: x))
+        rows = materialize(rows.withColumn("n_spikes", F.when(some, marks).otherwise(0)), "denoise")
+        spiky = rows.where("n_spikes > 0").select(F.col("row").alias("read_id"), "signal")
+        points = repair_spikes(long_form(spiky), conf.spike_threshold, conf.max_spike_length)
+        fixed = points.groupBy(F.col("read_id").alias("row")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]).alias("fixed"))
+        rows = rows.join(fixed, "row", "left").withColumn("signal", F.coalesce("fixed", "signal"))
+    n = F.col("n_spikes") if conf.remove_spikes else F.lit(None).cast("int")
+    stats = F.struct(
+        (some & F.lit(filtered)).alias("median_filter_applied"), F.coalesce(n > 0, F.lit(False)).alias("spikes_removed"), n.alias("n_spike_samples"),
+        F.when(some, n / F.size("signal")).otherwise(n.cast("double")).alias("spike_fraction"),
+    )
+    return rows.select("read_id", "signal", stats.alias("stats"))
+
+
 def preprocess(signals: DataFrame, mode: str = "global", *, chunk: int = 10000, window: int = 5000, step: int = 1000, trim_window: int = 200,
-               trim_threshold: float = 2.0, min_trim: int = 100, kernel: int = 5) -> DataFrame:
-    """(read_id, signal): normalise, cut the adapter, median-filter.
+               trim_threshold: float = 2.0, min_trim: int = 100, clip: float | None = 5.0, conf: Denoiser = Denoiser()) -> DataFrame:
+    """(read_id, signal): normalise, cut the adapter, denoise.
 
-    Spike repair after clipping at the spike threshold never changes a sample (nothing exceeds it), so it is left out here.
+    Spikes are looked for only where there can be any: not in signals clipped at or below the spike threshold.
     """
     if mode == "global":
-        norm = signals.select("read_id", S.normalize(F.col("signal"))["norm"].alias("signal"))
+        norm = signals.select("read_id", S.normalize(F.col("signal"), clip)["norm"].alias("signal"))
     elif mode == "chunks":
-        norm = signals.select("read_id", S.normalize_chunks(F.col("signal"), chunk).alias("signal"))
+        norm = signals.select("read_id", S.normalize_chunks(F.col("signal"), chunk, clip).alias("signal"))
     elif mode == "windowed":
-        points = normalize_windowed(signals, window, step)
-        norm = points.groupBy("read_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]).alias("signal"))
+        order = F.array_sort(F.filter(F.collect_list(F.struct("pos", "value")), lambda p: p["pos"].isNotNull()))
+        norm = _windowed(signals, window, step, clip).groupBy("row", "read_id").agg(F.transform(order, lambda p: p["value"]).alias("signal"))
     else:
         raise ValueError(f"mode must be global, windowed or chunks, not {mode!r}")
-    return norm.select("read_id", S.median_filter(S.trim(F.col("signal"), trim_window, trim_threshold, min_trim), kernel).alias("signal"))
+    norm = norm.select("read_id", S.trim(F.col("signal"), trim_window, trim_threshold, min_trim).alias("signal"))
+    if clip is None or clip > conf.spike_threshold:
+        return denoise(norm, conf).select("read_id", "signal")
+    size = conf.median_filter_size if conf.apply_median_filter else 1
+    return norm.select("read_id", S.median_filter(F.col("signal"), size).alias("signal"))
 
 
 def _batches(rows: DataFrame, batch_size: int) -> DataFrame:
-    """`rows` with batch_id: by read_id, batch_size rows each. Numbers come from counts of read_id ranges, so reads are not gathered to number them."""
-    spread = rows.repartitionByRange("read_id").sortWithinPartitions("read_id").withColumn("part", F.spark_partition_id())
-    part = Window.partitionBy("part").orderBy("read_id")
-    numbered = spread.withColumn("k", F.row_number().over(part) - 1)
-    sizes = numbered.groupBy("part").agg(F.count("*").alias("n"))
-    first = sizes.withColumn("first", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    return numbered.join(F.broadcast(first.select("part", "first")), "part").withColumn("batch_id", F.floor((F.col("first") + F.col("k")) / batch_size))
+    """`rows` with batch_id: by read_id, batch_size rows each."""
+    numbered = number_rows(rows, "read_id", name="batch_id")
+    return numbered.withColumn("batch_id", F.floor(F.col("batch_id") / batch_size))
 
 
 def batch_lengths(lengths: DataFrame, batch_size: int = 32) -> DataFrame:

@@ -1,4 +1,4 @@
-"""FASTA and FASTQ files as tables."""
+"""FASTA files as tables, and record strings as files."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, description, sequence): records are split by the text source, wrapped lines joined."""
-    records = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
+    """(read_id, description, sequence): records begin with a `>` at the start of a line, wrapped lines are joined."""
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^\\s*>", "").alias("value")).where("trim(value) <> ''")
     head = F.regexp_extract("value", "^([^\n]*)", 1)
     return records.select(
         F.regexp_extract(head, r"^(\S*)", 1).alias("read_id"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("description"),

@@ -60,3 +60,15 @@ def test_summary(spark):
     calls = spark.createDataFrame([(4, 10, 0.5), (0, 5, 0.0)], "num_bases int, signal_length int, mean_confidence double")
     assert tuple(basecall.summary(calls).first()) == (2, 4, 15, 2.0, 0.5)
     assert tuple(basecall.summary(calls.limit(0)).first()) == (0, 0, 0, 0.0, 0.0)
+
+
+def test_lengths_blank_and_padding(spark):
+    rows = [("a", matrix((0, 10), (4, 90)), 15), ("b", matrix((1, 5), (4, 2), (2, 5)), 6), ("c", matrix((1, 5), (4, 2), (2, 5)), None), ("d", matrix((2, 4)), 0)]
+    df = spark.createDataFrame(rows, "read_id string, lp array<array<double>>, n int")
+    got = {r["read_id"]: r["sequence"] for r in basecall.decode(df, length="n").collect()}
+    assert got == {"a": "A", "b": "T", "c": "TC", "d": ""}
+    padded = basecall.decode_padded(df, length="n")
+    assert {r["read_id"]: (r["labels"], r["n_labels"]) for r in padded.collect()} == {"a": ([0, 4], 1), "b": ([1, 4], 1), "c": ([1, 2], 2), "d": ([4, 4], 0)}
+    assert {r["read_id"]: r["sequence"] for r in basecall.padded_to_sequence(padded).collect()} == got
+    other = basecall.GreedyDecoder(blank=0, alphabet="-ACGT")
+    assert {r["read_id"]: r["sequence"] for r in basecall.decode(df, other, "n").collect()}["a"] == "T"

@@ -33,3 +33,32 @@ def test_basecalls_of_a_table(spark):
     assert rows["b"]["sequence"] == "" and rows["b"]["mean_confidence"] == 0.0
     assert rows["a"]["signal_length"] == 700 and set(rows["a"]["sequence"]) <= set("ATCG")
     assert len(rows["a"]["quality_scores"]) == rows["a"]["num_bases"]
+
+
+def test_signals_of_one_length_run_together():
+    small = network.NetConfig((4, 8), (5, 5), (2, 2), 8, 2)
+    w = network.random_weights(small, 3)
+    x = np.random.default_rng(0).normal(size=(3, 101)).astype(np.float32)
+    np.testing.assert_allclose(network.forward(x, w, small), [network.forward(r, w, small) for r in x], atol=1e-5)
+    assert [len(lp) for lp in network._log_probs([x[0], x[1][:50], np.zeros(0, np.float32)], w, small)] == [small.output_length(101), small.output_length(50), 0]
+    z = np.linspace(-4, 4, 200)
+    np.testing.assert_allclose(network._erf(z), np.vectorize(__import__("math").erf)(z), atol=2e-7)
+    block = {f"r{s}.{k}": v for s in "ab" for k, v in (("w", np.zeros((4, 4, 3))), ("scale", np.ones(4)), ("shift", np.zeros(4)))}
+    np.testing.assert_allclose(network.residual_block(np.ones((2, 4, 9)), block, "r"), 1)
+
+
+def test_repeated_and_null_ids_are_calls_of_their_own(spark):
+    small = network.NetConfig((4,), (5,), (2,), 8, 1)
+    rows = [("a", [float(i % 7) for i in range(600)]), ("a", [float(i % 5) for i in range(700)]), (None, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "read_id string, signal array<double>")
+    out = basecall.basecall(df, network.random_weights(small), small).collect()
+    assert sorted(r["signal_length"] for r in out) == [2, 600, 700]
+    assert basecall.summary(spark.createDataFrame(out, "read_id string, sequence string, quality_scores array<double>, mean_confidence double, signal_length int, sequence_length int, num_bases int"), 2.0).first()["bases_per_second"] == sum(r["num_bases"] for r in out) / 2
+
+
+def test_a_file_is_called_and_written(spark, tmp_path):
+    small = network.NetConfig((4,), (5,), (2,), 8, 1)
+    spark.createDataFrame([(i, [float((i * j) % 11) for j in range(300)]) for i in range(5)], "read_id long, signal array<double>").write.parquet(f"file://{tmp_path}/in")
+    calls = basecall.basecall_file(spark, f"file://{tmp_path}/in", network.random_weights(small), small, source="parquet", max_reads=3, fastq=f"file://{tmp_path}/q", fasta=f"file://{tmp_path}/a")
+    assert sorted(r["read_id"] for r in calls.collect()) == [0, 1, 2]
+    assert spark.read.text(f"file://{tmp_path}/q").where("value LIKE '@%'").count() >= 3 and spark.read.text(f"file://{tmp_path}/a").where("value LIKE '>%'").count() == 3

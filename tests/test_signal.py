@@ -94,7 +94,7 @@ def test_preprocessing_modes(spark):
     df = frame(spark, np.random.default_rng(3).normal(90, 4, 600), [])
     for mode in ("global", "chunks", "windowed"):
         out = {r["read_id"]: r["signal"] for r in signals.preprocess(df, mode, chunk=200, window=200, step=100).collect()}
-        assert len(out[0]) == 500 and not out.get(1)
+        assert len(out[0]) == 500 and out[1] == []
     with pytest.raises(ValueError):
         signals.preprocess(df, "other")
 
@@ -111,3 +111,31 @@ def test_batches_keep_whole_lengths_unless_cut(spark):
     assert sorted(map(tuple, whole.collect())) == want
     cut = signals.padded_batches(df, 4, 50).selectExpr("read_id", "length", "size(signal) AS padded").collect()
     assert sorted(map(tuple, cut)) == [(i, min(i * 20 + 1, 50), 50) for i in range(10)]
+
+
+def test_no_read_is_lost_from_wide_batches(spark):
+    df = spark.range(20_000).selectExpr("(id * 7919) % 20011 AS read_id", "transform(sequence(0, 63), i -> double(i)) AS signal").repartition(16)
+    rows = signals.padded_batches(df, 32)
+    assert rows.count() == rows.select("signal").count() == 20_000
+    sizes = rows.groupBy("batch_id").count().collect()
+    assert len(sizes) == 625 and {r["count"] for r in sizes} == {32}
+
+
+def test_rows_of_one_read_id_stay_apart(spark):
+    df = spark.createDataFrame([(1, [float(i) for i in range(30)]), (1, [float(-i * i) for i in range(40)])], "read_id long, signal array<double>")
+    assert signals.normalize_windowed(df, 10, 5).count() == 70
+    assert sorted(len(r["signal"]) for r in signals.preprocess(df, "windowed", window=10, step=5, trim_window=100).collect()) == [30, 40]
+
+
+def test_denoising_reports_what_it_did(spark):
+    x = np.zeros(300)
+    x[100:104] = 9.0
+    x[200:290] = 9.0
+    df = frame(spark, x, [], np.ones(20))
+    got = {r["read_id"]: r for r in signals.denoise(df).collect()}
+    assert got[0]["stats"].asDict() == {"median_filter_applied": True, "spikes_removed": True, "n_spike_samples": 94, "spike_fraction": 94 / 300}
+    assert max(got[0]["signal"][:150]) == 0.0 and max(got[0]["signal"]) == 9.0  # the long run stays
+    assert got[1]["signal"] == [] and got[1]["stats"].asDict() == {"median_filter_applied": False, "spikes_removed": False, "n_spike_samples": 0, "spike_fraction": 0.0}
+    assert got[2]["stats"]["spikes_removed"] is False and got[2]["signal"] == [1.0] * 20
+    plain = signals.denoise(df, signals.Denoiser(apply_median_filter=False, remove_spikes=False)).collect()
+    assert sorted(r["read_id"] for r in plain) == [0, 1, 2] and all(r["stats"]["n_spike_samples"] is None for r in plain)

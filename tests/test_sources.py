@@ -32,3 +32,11 @@ def test_stream_equals_batch(spark, tmp_path):
     step = lambda d: d.select("id", (F.col("x") + 1).alias("y"))
     out = run_available(spark, f"file://{tmp_path}/in", step, max_files=2)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, step(df).collect()))
+
+
+def test_fasta_headers_may_hold_the_sign(spark, tmp_path):
+    from strandflow.sources import fasta
+
+    (tmp_path / "x.fa").write_text(">r1 A>G variant\nACGT\nAC\n>r2\nTT\n")
+    got = sorted(tuple(r) for r in fasta.read_fasta(spark, f"file://{tmp_path}/x.fa").collect())
+    assert got == [("r1", "A>G variant", "ACGTAC"), ("r2", "", "TT")]
