@@ -15,7 +15,7 @@ from strandflow.functions import signal as S
 from strandflow.operators import basecall, debruijn, network, signals
 from strandflow.operators.kmers import count_kmers
 from strandflow.session import materialize, table
-from strandflow.streaming.signals import run_available
+from strandflow.streaming.signals import basecall_available, run_available
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -196,6 +196,59 @@ def dbg_components(spark, sf):
     return debruijn.components(graph(spark, sf, 31, 3))
 
 
+@_register(f"""WITH RECURSIVE {edges_sql(K, LEAST)}, step AS (SELECT dst, min(src) AS src FROM edges GROUP BY dst HAVING count(*) = 1),
+walk AS (SELECT dst AS id, src AS node, 1 AS n FROM step UNION ALL SELECT id, step.src, n + 1 FROM walk JOIN step ON walk.node = dst WHERE n < 5)
+SELECT DISTINCT id FROM walk WHERE node NOT IN (SELECT dst FROM edges)""")
+def dbg_tip_ends(spark, sf):
+    return debruijn.tip_ends(materialize(graph(spark, sf), "graph"))
+
+
+@_register(f"WITH {edges_sql(K, LEAST)} SELECT dst AS id, count(*) AS n_before, CAST(sum(cnt) AS BIGINT) AS weight, min(src) AS least_before FROM edges GROUP BY dst")
+def dbg_in_neighbors(spark, sf):
+    found = debruijn.neighbors(graph(spark, sf), "in")
+    total = F.aggregate(F.map_values("neighbors"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("id", F.size("neighbors").cast("long").alias("n_before"), total.alias("weight"), F.array_min(F.map_keys("neighbors")).alias("least_before"))
+
+
+@_register(f"WITH {edges_sql(K, LEAST)} SELECT e.dst AS src, e.src AS dst, coalesce(b.cnt, 0) AS cnt FROM edges e LEFT JOIN edges b ON b.src = e.dst AND b.dst = e.src")
+def dbg_edge_counts(spark, sf):
+    edges = materialize(graph(spark, sf), "graph")
+    return debruijn.edge_counts(edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+@_register(f"""WITH {edges_sql(K, LEAST)}, {DEGREES}, gone AS (SELECT id FROM deg WHERE out_degree + in_degree >= 5), kept AS (SELECT src, dst FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone))
+SELECT id, id NOT IN (SELECT src FROM kept UNION SELECT dst FROM kept) AS isolated FROM ends WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT -1, true""")
+def dbg_node_table(spark, sf):
+    edges = materialize(graph(spark, sf), "graph")
+    gone = materialize(debruijn.degrees(edges).where(F.col("out_degree") + F.col("in_degree") >= 5).select("id"), "gone")
+    known = debruijn.add_nodes(debruijn.drop_nodes(debruijn.nodes(edges), gone), spark.range(1).select(F.lit(-1).cast("long").alias("id")))
+    tied = debruijn.nodes(debruijn.remove_nodes(edges, gone)).withColumn("tied", F.lit(True))
+    return known.join(tied, "id", "left").select("id", F.col("tied").isNull().alias("isolated"))
+
+
+def paths_sql(here: str, there: str, starts: str) -> str:
+    return f"""WITH RECURSIVE {edges_sql(K, LEAST)}, {DEGREES}, sole AS (SELECT {here} AS a, min({there}) AS b, min(cnt) AS cnt FROM edges GROUP BY {here} HAVING count(*) = 1),
+walk AS (SELECT id, id AS node, 0 AS n, CAST(0 AS BIGINT) AS weight FROM deg WHERE {starts} UNION ALL SELECT id, b, n + 1, weight + cnt FROM walk JOIN sole ON node = a WHERE n < 1000 AND (n = 0 OR node <> id))
+SELECT id, CAST(max(n) + 1 AS INTEGER) AS n_nodes, arg_max(node, n) AS far_end, max(weight) AS weight FROM walk GROUP BY id"""
+
+
+def _path_summary(found: DataFrame, far: int) -> DataFrame:
+    return found.select("id", F.size("path").alias("n_nodes"), F.element_at("path", far).alias("far_end"), F.aggregate("weights", F.lit(0).cast("long"), lambda a, x: a + x).alias("weight"))
+
+
+@_register(paths_sql("src", "dst", "out_degree > in_degree"))
+def dbg_paths_forward(spark, sf):
+    edges = materialize(graph(spark, sf), "graph")
+    return _path_summary(debruijn.paths_forward(edges, debruijn.start_nodes(edges)), -1)
+
+
+@_register(paths_sql("dst", "src", "in_degree > out_degree"))
+def dbg_paths_backward(spark, sf):
+    edges = materialize(graph(spark, sf), "graph")
+    ends = debruijn.degrees(edges).where("in_degree > out_degree").select("id")
+    return _path_summary(debruijn.paths_backward(edges, ends), 1)
+
+
 @_register()
 def dbg_trim_tips(spark, sf):
     return debruijn.trim_tips(materialize(graph(spark, sf, 31, 2), "graph"))[0]
@@ -343,7 +396,29 @@ def sig_batch_lengths(spark, sf):
     return signals.batch_lengths(whole, 32)
 
 
-@_register()
+DENOISED = f"""{SHORT}, f AS (SELECT read_id, pos, list_sort(w)[len(w) // 2 + 1] AS value FROM (SELECT read_id, pos, list(value) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS w FROM points)),
+m AS (SELECT *, abs(value) > 0.15 AS s FROM f), r AS (SELECT *, sum(CASE WHEN s THEN 0 ELSE 1 END) OVER (PARTITION BY read_id ORDER BY pos) AS run FROM m),
+z AS (SELECT *, count(*) OVER (PARTITION BY read_id, run, s) AS size, pos - min(pos) OVER (PARTITION BY read_id, run, s) + 1 AS place,
+ last_value(CASE WHEN NOT s THEN value END IGNORE NULLS) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l,
+ first_value(CASE WHEN NOT s THEN value END IGNORE NULLS) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM r)"""
+DENOISER = signals.Denoiser(5, 0.15, 3)
+
+
+@_register(f"WITH {DENOISED} SELECT read_id, CAST(pos AS INTEGER) AS pos, round(CASE WHEN s AND size <= 3 AND coalesce(l, r) IS NOT NULL THEN coalesce(l, r) + (coalesce(r, l) - coalesce(l, r)) * place / (size + 1) ELSE value END, 6) AS value FROM z")
+def sig_denoise(spark, sf):
+    return signals.long_form(signals.denoise(short_signals(spark, sf), DENOISER)).withColumn("value", F.round("value", 6))
+
+
+@_register(f"WITH {DENOISED} SELECT read_id, true AS median_filter_applied, bool_or(s) AS spikes_removed, CAST(count(*) FILTER (s) AS INTEGER) AS n_spike_samples, round(avg(CASE WHEN s THEN 1.0 ELSE 0.0 END), 9) AS spike_fraction FROM z GROUP BY read_id")
+def sig_denoise_stats(spark, sf):
+    return signals.denoise(short_signals(spark, sf), DENOISER).select("read_id", "stats.*").withColumn("spike_fraction", F.round("spike_fraction", 9))
+
+
+@_register(f"""WITH {SHORT}, {MEDIANS}, n AS (SELECT read_id, pos, greatest(-5.0, least(5.0, (value - m) / (d * 1.4826))) AS value FROM points JOIN spread USING (read_id)),
+j AS (SELECT a.read_id, a.pos, abs(b.value - a.value) / 8 AS d FROM n a JOIN n b ON a.read_id = b.read_id AND b.pos = a.pos + 8), best AS (SELECT read_id, max(d) AS d FROM j GROUP BY read_id),
+place AS (SELECT j.read_id, min(j.pos) AS p, any_value(best.d) AS d FROM j JOIN best ON j.read_id = best.read_id AND j.d = best.d GROUP BY j.read_id),
+c AS (SELECT n.read_id, pos - p AS pos, value FROM n JOIN (SELECT read_id, CASE WHEN d < 0.05 THEN 4 ELSE greatest(p + 4, 4) END AS p FROM place) q USING (read_id) WHERE pos >= p)
+SELECT read_id, CAST(pos AS INTEGER) AS pos, round(list_sort(w)[len(w) // 2 + 1], 6) AS value FROM (SELECT read_id, pos, list(value) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS w FROM c)""")
 def sig_preprocess(spark, sf):
     out = signals.preprocess(short_signals(spark, sf), trim_window=8, trim_threshold=0.05, min_trim=4)
     return signals.long_form(out).withColumn("value", F.round("value", 6))
@@ -364,6 +439,20 @@ def ctc_greedy(spark, sf):
     return out.select("read_id", "sequence", F.round("peak_confidence", 6).alias("confidence"))
 
 
+@_register(f"""WITH {SIGNALS}, z AS (SELECT read_id, t, list_transform(signal[t * 4 + 1:t * 4 + 4], lambda x: x * 10) AS row FROM signals, (SELECT unnest(range(16)) AS t) WHERE t < read_id % 17),
+best AS (SELECT read_id, t, list_position(row, list_max(row)) - 1 AS label, exp(-ln(list_sum(list_transform(row, lambda x: exp(x - list_max(row)))))) AS p FROM z),
+flag AS (SELECT *, label <> 3 AND (t = 0 OR label <> lag(label) OVER (PARTITION BY read_id ORDER BY t)) AS new FROM best),
+found AS (SELECT read_id, count(*) AS n, avg(p) AS p, string_agg(CAST(label AS VARCHAR), '' ORDER BY t) AS labels, string_agg(substr('ATC', CAST(label AS INTEGER) + 1, 1), '' ORDER BY t) AS sequence FROM flag WHERE new GROUP BY read_id)
+SELECT v.vec_id AS read_id, CAST(coalesce(n, 0) AS INTEGER) AS n_labels, rpad(coalesce(labels, ''), CAST((SELECT max(n) FROM found) AS INTEGER), '3') AS labels, coalesce(sequence, '') AS sequence, round(coalesce(p, 0.0), 6) AS confidence
+FROM embeddings v LEFT JOIN found ON found.read_id = v.vec_id""")
+def ctc_padded(spark, sf):
+    rows = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: ctc.log_softmax(F.transform(F.slice("signal", t * 4 + 1, F.lit(4)), lambda x: x * 10)))
+    lp = short_signals(spark, sf).select("read_id", rows.alias("lp"), (F.col("read_id") % 17).cast("int").alias("steps"))
+    padded = materialize(basecall.decode_padded(lp, basecall.GreedyDecoder(3, "ATC"), "steps"), "padded")
+    out = padded.join(basecall.padded_to_sequence(padded, "ATC"), "read_id")
+    return out.select("read_id", "n_labels", F.array_join(F.col("labels").cast("array<string>"), "").alias("labels"), "sequence", F.round("confidence", 6).alias("confidence"))
+
+
 @_register(f"WITH {LP} SELECT read_id, CAST(label AS INTEGER) AS label, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\" FROM runs")
 def ctc_timesteps(spark, sf):
     return log_probs(spark, sf).select("read_id", F.explode(ctc.runs(F.col("lp"))).alias("r")).select("read_id", "r.label", "r.start", "r.end")
@@ -429,6 +518,14 @@ def basecall_summary(spark, sf):
     return basecall.summary(_calls(spark, sf)).select("num_reads", "total_bases", "total_samples", F.round("avg_length", 4).alias("avg_length"), F.round("avg_confidence", 4).alias("avg_confidence"))
 
 
+@_register()
+def stream_basecalls(spark, sf):
+    as_reads = lambda rows: rows.select(F.col("vec_id").alias("read_id"), F.col("embedding").cast("array<double>").alias("signal"))
+    table(spark, sf, "embeddings")
+    out = basecall_available(spark, f"{sf}/embeddings*.parquet", network.random_weights(SMALL_NET), SMALL_NET, reads=as_reads, trim_window=8, trim_threshold=0.05, min_trim=4)
+    return out.select("read_id", "sequence", F.round("mean_confidence", 4).alias("mean_confidence"), "signal_length", "num_bases")
+
+
 @_register(f"WITH {SHORT}, {MEDIANS} SELECT read_id, round(m, 6) AS median, round(d, 6) AS mad FROM spread")
 def stream_signal_summary(spark, sf):
     def step(rows: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.functions import dna
+from strandflow.functions import dna, records
 from strandflow.operators.kmers import count_kmers
 from strandflow.plans.components import connected_components
+from strandflow.plans.numbering import number_rows
 from strandflow.session import materialize
+from strandflow.sources.fasta import write_records
 
 
 def edges_of_kmers(kmers: DataFrame, k: int) -> DataFrame:
@@ -27,6 +29,26 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
 
 
+def add_nodes(known: DataFrame, more: DataFrame) -> DataFrame:
+    """Node table (id) with the ids of `more`; a node table also holds nodes without edges."""
+    return known.select("id").unionByName(more.select("id")).distinct()
+
+
+def drop_nodes(known: DataFrame, gone: DataFrame) -> DataFrame:
+    return known.join(gone.select("id"), "id", "left_anti")
+
+
+def edge_counts(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst, cnt) of the pairs (src, dst); 0 where there is no edge."""
+    return pairs.select("src", "dst").join(edges, ["src", "dst"], "left").select("src", "dst", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
+
+
+def neighbors(edges: DataFrame, side: str = "out") -> DataFrame:
+    """(id, neighbors): map from each node that follows (side `out`) or comes before (`in`) to the edge's weight."""
+    here, there = ("src", "dst") if side == "out" else ("dst", "src")
+    return edges.groupBy(F.col(here).alias("id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col(there), F.col("cnt")))).alias("neighbors"))
+
+
 def add_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
     return edges.unionByName(more).groupBy("src", "dst").agg(F.sum("cnt").alias("cnt"))
 
@@ -97,6 +119,39 @@ def tip_starts(edges: DataFrame, max_depth: int = 5) -> DataFrame:
     return done.distinct()
 
 
+def tip_ends(edges: DataFrame, max_depth: int = 5) -> DataFrame:
+    """(id) of nodes whose only way back reaches a beginning within max_depth steps."""
+    return tip_starts(_reversed(edges), max_depth)
+
+
+def paths_forward(edges: DataFrame, starts: DataFrame, max_length: int = 1000) -> DataFrame:
+    """(id, path, weights): from each start (id) along only ways on, at most max_length edges, to a fork or end or back at the start.
+
+    Jumps of 1, 2, 4, ... edges are joined from themselves, and each start's positions unfold from
+    them, so the rounds grow with the logarithm of max_length.
+    """
+    only = edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst"), F.min("cnt").alias("cnt")).where("n = 1")
+    only = materialize(only.select(F.col("src").alias("node"), "dst", "cnt"), "only-on")
+    jumps = [only.select("node", "dst")]
+    while 2 ** len(jumps) <= max_length:
+        half = jumps[-1]
+        jumps.append(materialize(half.select("node", F.col("dst").alias("mid")).join(half.withColumnRenamed("node", "mid"), "mid").select("node", "dst"), "jumps"))
+    places = starts.select("id", F.lit(0).alias("place"), F.col("id").alias("node"))
+    for k in reversed(range(len(jumps))):
+        further = places.join(jumps[k], "node").select("id", (F.col("place") + 2**k).alias("place"), F.col("dst").alias("node"))
+        places = materialize(places.unionByName(further.where(F.col("place") <= max_length)), "path-places")
+    closed = places.where("place > 0 AND node = id").groupBy("id").agg(F.min("place").alias("last"))
+    kept = places.join(closed, "id", "left").where("last IS NULL OR place <= last").join(only, "node", "left")
+    steps = F.sort_array(F.collect_list(F.struct("place", "node", "cnt")))
+    found = kept.groupBy("id").agg(steps.alias("steps"))
+    return found.select("id", F.col("steps.node").alias("path"), F.slice(F.col("steps.cnt"), F.lit(1), F.size("steps") - 1).alias("weights"))
+
+
+def paths_backward(edges: DataFrame, ends: DataFrame, max_length: int = 1000) -> DataFrame:
+    """(id, path, weights): as `paths_forward` on only ways back; nodes in forward order, weights in the order of the walk."""
+    return paths_forward(_reversed(edges), ends, max_length).withColumn("path", F.reverse("path"))
+
+
 @dataclass(frozen=True)
 class Simplification:
     tip_max_length: int = 10
@@ -193,17 +248,18 @@ def simplify(edges: DataFrame, conf: Simplification = Simplification()) -> tuple
     return edges, done
 
 
-def trails(edges: DataFrame) -> DataFrame:
+def trails(edges: DataFrame, prefer_high_depth: bool = True) -> DataFrame:
     """(src, dst, cnt, trail, rank): every edge in exactly one trail.
 
-    At each node the edges in and out are paired by weight, heaviest with heaviest, so a
-    trail goes on along the heaviest way left. Pairing is local; trails are the chains of
+    At each node the edges in and out are paired by weight, heaviest with heaviest (or by their other
+    ends alone), so a trail goes on along the heaviest way left. Edges are named by their k-mer. Pairing is local; trails are the chains of
     paired edges, found as components and ranked by pointer doubling, so no component is
     ever gathered. A closed chain starts at its least edge.
     """
-    e = materialize(edges.withColumn("edge", F.xxhash64("src", "dst")), "trail-edges")
-    into = e.select(F.col("dst").alias("node"), F.col("edge").alias("prev"), F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("cnt"), "src")).alias("place"))
-    out = e.select(F.col("src").alias("node"), F.col("edge").alias("next"), F.row_number().over(Window.partitionBy("src").orderBy(F.desc("cnt"), "dst")).alias("place"))
+    e = materialize(edges.withColumn("edge", dna.edge_code(F.col("src"), F.col("dst"))), "trail-edges")
+    heavy = [F.desc("cnt")] if prefer_high_depth else []
+    into = e.select(F.col("dst").alias("node"), F.col("edge").alias("prev"), F.row_number().over(Window.partitionBy("dst").orderBy(*heavy, "src")).alias("place"))
+    out = e.select(F.col("src").alias("node"), F.col("edge").alias("next"), F.row_number().over(Window.partitionBy("src").orderBy(*heavy, "dst")).alias("place"))
     links = materialize(into.join(out, ["node", "place"]).select("prev", "next"), "trail-links")
     chain = connected_components(links.where("prev <> next"), "prev", "next")
     named = e.join(chain.withColumnRenamed("node", "edge"), "edge", "left").withColumn("trail", F.coalesce("component", "edge")).drop("component")
@@ -220,22 +276,24 @@ def trails(edges: DataFrame) -> DataFrame:
     return named.join(now.select("edge", "rank"), "edge").select("src", "dst", "cnt", "trail", "rank")
 
 
-def contigs(edges: DataFrame, k: int, min_length: int = 200) -> DataFrame:
+def path_sequence(path, k: int):
+    """Text of an array of nodes: the first, then the last base of each other; empty for an empty path."""
+    ends = F.transform(F.slice(path, F.lit(2), F.size(path)), lambda n: F.substr(F.lit(dna.BASES), (n.bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)))
+    return F.when(F.size(path) > 0, F.concat(dna.decode(F.try_element_at(path, F.lit(1)), k - 1), F.array_join(ends, ""))).otherwise("")
+
+
+def contigs(edges: DataFrame, k: int, min_length: int = 200, prefer_high_depth: bool = True) -> DataFrame:
     """(name, sequence, length, num_kmers, avg_depth, path_nodes, is_circular) of trails of min_length bases or more, longest first."""
     steps = F.sort_array(F.collect_list(F.struct("rank", "src", "dst", "cnt")))
-    whole = trails(edges).groupBy("trail").agg(steps.alias("steps"))
-    first = F.col("steps")[0]["src"]
-    ends = F.transform("steps", lambda s: F.substr(F.lit(dna.BASES), (s["dst"].bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)))
+    whole = trails(edges, prefer_high_depth).groupBy("trail").agg(steps.alias("steps"))
     made = whole.select(
-        F.concat(dna.decode(first, k - 1), F.array_join(ends, "")).alias("sequence"), F.size("steps").alias("num_kmers"),
-        F.aggregate("steps", F.lit(0.0), lambda a, s: a + s["cnt"]).alias("total"),
-        F.concat(F.array(first), F.transform("steps", lambda s: s["dst"])).alias("path_nodes"),
-    )
-    made = made.withColumn("length", F.length("sequence")).where(F.col("length") >= min_length)
-    made = made.select("sequence", "length", "num_kmers", (F.col("total") / F.col("num_kmers")).alias("avg_depth"), "path_nodes", (F.element_at("path_nodes", 1) == F.element_at("path_nodes", -1)).alias("is_circular"))
-    made = materialize(made.withColumn("h", F.xxhash64("sequence", "path_nodes")), "contigs")
-    names = made.select("h", F.format_string("contig_%04d", F.row_number().over(Window.orderBy(F.desc("length"), "sequence")) - 1).alias("name"))
-    return made.join(names, "h").select("name", "sequence", "length", "num_kmers", "avg_depth", "path_nodes", "is_circular")
+        "trail", F.size("steps").alias("num_kmers"), F.aggregate("steps", F.lit(0.0), lambda a, s: a + s["cnt"]).alias("total"),
+        F.concat(F.array(F.col("steps")[0]["src"]), F.col("steps.dst")).alias("path_nodes"),
+    ).where(F.size("path_nodes") + (k - 2) >= min_length)
+    made = made.withColumn("sequence", path_sequence(F.col("path_nodes"), k)).withColumn("length", F.length("sequence"))
+    named = number_rows(made, F.desc("length"), "sequence", "trail").withColumn("name", F.format_string("contig_%04d", "row_number"))
+    circular = F.element_at("path_nodes", 1) == F.element_at("path_nodes", -1)
+    return named.select("name", "sequence", "length", "num_kmers", (F.col("total") / F.col("num_kmers")).alias("avg_depth"), "path_nodes", circular.alias("is_circular"))
 
 
 def assemble(reads: DataFrame, k: int = 31, min_count: int = 2, min_length: int = 200, conf: Simplification = Simplification()) -> DataFrame:
@@ -243,6 +301,44 @@ def assemble(reads: DataFrame, k: int = 31, min_count: int = 2, min_length: int
     return contigs(simplify(build(reads, k, min_count), conf)[0], k, min_length)
 
 
+@dataclass(frozen=True)
+class Assembly:
+    """What an `Assembler` made: contigs, one-row tables of graph and contig statistics, counts of what went."""
+
+    contigs: DataFrame
+    before: DataFrame
+    after: DataFrame
+    removed: dict
+    stats: DataFrame
+
+
+@dataclass(frozen=True)
+class Assembler:
+    k: int = 31
+    min_kmer_count: int = 2
+    min_contig_length: int = 200
+    tip_max_length: int = 10
+    tip_min_depth: float = 2.0
+    bubble_max_length: int = 100
+    simplify_iterations: int = 5
+    prefer_high_depth: bool = True
+
+    @classmethod
+    def default(cls) -> Assembler:
+        return cls()
+
+    def assemble(self, reads: DataFrame, output_fasta: str | None = None) -> Assembly:
+        """Count, filter, graph, simplify and contigs of (read_id, sequence), with statistics; contigs go to a FASTA folder if one is named."""
+        conf = Simplification(self.tip_max_length, self.tip_min_depth, self.bubble_max_length, self.simplify_iterations)
+        graph = materialize(build(reads, self.k, self.min_kmer_count), "graph")
+        simple, removed = simplify(graph, conf)
+        made = materialize(contigs(simple, self.k, self.min_contig_length, self.prefer_high_depth), "contigs")
+        if output_fasta:
+            text = records.contig_fasta(F.col("name"), F.col("sequence"), F.col("avg_depth"), F.col("is_circular"))
+            write_records(made.select("name", text.alias("record")), output_fasta, order_by="name")
+        return Assembly(made, stats(graph, self.k), stats(simple, self.k), removed, length_stats(made))
+
+
 def length_stats(sequences: DataFrame, column: str = "sequence") -> DataFrame:
     """One row: num_contigs, total_bases, n50, n90, max_length, min_length, avg_length, gc_content.
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandflow.operators import basecall, network
 from strandflow.session import shared_dir
 
 
@@ -23,3 +24,9 @@ def run_available(spark: SparkSession, path: str, transform: Callable[[DataFrame
     query = out.writeStream.format("parquet").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start(f"{base}/out")
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+def basecall_available(spark: SparkSession, path: str, weights: dict, config: network.NetConfig = network.NetConfig(), *, reads: Callable[[DataFrame], DataFrame] | None = None, **preprocessing) -> DataFrame:
+    """Basecalls of all signal files below `path`, as a stream. reads: makes (read_id, signal) of the files' columns. Each signal is normalised as a whole."""
+    as_reads = reads or (lambda rows: rows.select("read_id", "signal"))
+    return run_available(spark, path, lambda rows: basecall.basecall(as_reads(rows), weights, config, **preprocessing))

@@ -1,7 +1,7 @@
 import random
 
-from pyspark.sql import functions as F
 import pytest
+from pyspark.sql import functions as F
 
 from strandflow.functions import dna
 from strandflow.operators import debruijn as G
@@ -118,3 +118,31 @@ def test_assemble_pops_bubbles(spark):
     two = one[:30] + ("A" if one[30] != "A" else "T") + one[31:]
     reads = spark.createDataFrame([(one,)] * 3 + [(two,)] * 2, "sequence string")
     assert [r["sequence"] for r in G.assemble(reads, 11, 2, 20).collect()] == [one]
+
+
+def test_walks_isolated_nodes_and_counts(spark):
+    edges = spark.createDataFrame([(1, 2, 5), (2, 3, 6), (3, 4, 7), (3, 5, 1), (10, 11, 1), (11, 12, 2), (12, 10, 3), (20, 21, 1), (21, 22, 1), (22, 21, 1)], "src long, dst long, cnt long")
+    starts = spark.createDataFrame([(1,), (10,), (20,), (4,)], "id long")
+    got = {r["id"]: (r["path"], r["weights"]) for r in G.paths_forward(edges, starts, 5).collect()}
+    assert got == {1: ([1, 2, 3], [5, 6]), 10: ([10, 11, 12, 10], [1, 2, 3]), 20: ([20, 21, 22, 21, 22, 21], [1] * 5), 4: ([4], [])}
+    back = {r["id"]: (r["path"], r["weights"]) for r in G.paths_backward(edges, spark.createDataFrame([(4,), (10,)], "id long")).collect()}
+    assert back == {4: ([1, 2, 3, 4], [7, 6, 5]), 10: ([10, 11, 12, 10], [3, 2, 1])}
+    assert {r["id"] for r in G.tip_ends(edges, 2).collect()} == {2, 3}
+    pairs = spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long")
+    assert sorted(map(tuple, G.edge_counts(edges, pairs).collect())) == [(1, 2, 5), (2, 1, 0)]
+    known = G.add_nodes(G.drop_nodes(G.nodes(edges), starts.where("id = 1")), spark.createDataFrame([(99,)], "id long"))
+    assert {r["id"] for r in known.collect()} == {2, 3, 4, 5, 10, 11, 12, 20, 21, 22, 99}
+    assert {r["id"]: r["neighbors"] for r in G.neighbors(edges, "in").collect()}[21] == {20: 1, 22: 1}
+
+
+def test_assembler_runs_from_reads_to_file(spark, tmp_path):
+    rng = random.Random(42)
+    genome = "".join(rng.choice("ATCG") for _ in range(300))
+    snp = genome[:150] + ("A" if genome[150] != "A" else "C") + genome[151:]
+    rows = [(i, genome[i : i + 50]) for i in range(0, 251, 5)] * 2 + [(1000 + i, snp[i : i + 50]) for i in range(110, 150, 5)]
+    reads = spark.createDataFrame(rows, "read_id long, sequence string")
+    made = G.Assembler(k=15, min_kmer_count=1, min_contig_length=30, bubble_max_length=20).assemble(reads, f"file://{tmp_path}/fa")
+    assert made.removed["bubbles_removed"] >= 1 and made.before.first()["num_edges"] > made.after.first()["num_edges"]
+    assert [r["sequence"] for r in made.contigs.collect()] == [genome]
+    assert made.stats.first()["n50"] == 300 and spark.read.text(f"file://{tmp_path}/fa").where("value LIKE '>%'").count() == 1
+    assert G.Assembler.default() == G.Assembler(31, 2, 200, 10, 2.0, 100, 5)
