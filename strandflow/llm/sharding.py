@@ -5,19 +5,22 @@ table (16-byte key and size of each row) is written once. Each round counts, in
 partition, bytes and rows between the probes and brings one line per interval to the
 driver: its bytes, rows and extreme keys. Every splitter's interval is probed again
 between its extremes until the splitter is off by no more than `tolerance` of a shard,
-or exact. Then rows go to their ranges in one exchange and are numbered there. A shard
-of more than `RANGE_BYTES` is several ranges, each one task; the counts give every
-range the slot that it starts with, so slots stay gapless in a shard.
-
-Edge cases: null texts have 0 bytes and sort like empty ones; rows that agree in text
-and doc_id keep together; an empty table gives no rows; a row's size is the UTF-8
-length of its text plus `ROW_BYTES`. Input columns pass through, but for columns named
-like an output.
+or exact. Then rows go to their ranges in one exchange, a partition each, and are numbered
+there. A shard of more than `RANGE_BYTES` is several ranges, `MAX_RANGES` over all: beyond
+4 TB ranges grow, not what the driver holds. The counts give every range the number of its
+first row, so slots stay gapless in a shard. Shards are cut by row numbers: rows that agree
+in text and doc_id, and so in size, may be cut anywhere between them.
+
+Edge cases: null texts have 0 bytes and sort like empty ones; null ids sort like 0; a very long
+text is one row of one range; all rows that agree in text and doc_id are numbered in one range;
+an empty table gives no rows; a row's size is the UTF-8 length of its text plus `ROW_BYTES`.
+Input columns pass through, but for columns named like an output.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,9 @@ from strandflow.session import materialize
 SHARDS = 40
 ROW_BYTES = 16
 RANGE_BYTES = 64 << 20
-#: Probes in each open interval of a round.
-PROBES = 32
+MAX_RANGES = 1 << 16
+#: Probes in each open interval of a round, and in all of them together.
+PROBES, MAX_PROBES = 32, 1 << 19
 
 
 def _size(text_col: str) -> F.Column:
@@ -82,15 +86,15 @@ def _between(lo: bytes, hi: bytes, n: int) -> list[bytes]:
     return sorted({(a + 1 + (b - a - 1) * k // max(n - 1, 1)).to_bytes(16, "big") for k in range(n)}) if b > a else []
 
 
-def splitters(keys: DataFrame, cuts: int, tolerance: float = 0.0) -> tuple[list[bytes], list[int]]:
-    """Keys that cut the rows into `cuts` ranges of near equal bytes, and the rows below each.
+def splitters(keys: DataFrame, cuts: int, tolerance: float = 0.0) -> tuple[list[bytes], list[int], list[int]]:
+    """For each of cuts - 1 cuts into near equal bytes: a key, the rows below it, and the number of the cut's first row.
 
-    Range k starts with the first row whose preceding bytes reach k / cuts of all bytes,
-    or with one within `tolerance` of a range's bytes of that point.
+    Part k starts with the first row whose preceding bytes reach k / cuts of all bytes, or with one within
+    `tolerance` of a part's bytes of that point. It has the key, or is a later one of the rows that share it.
     """
     (_, rows, total, least, greatest), *_ = _histogram(keys, []) or [(0, 0, 0, b"", b"")]
     if not rows:
-        return [], []
+        return [], [], []
     # by the least key of each known interval: rows and bytes below it; extremes, rows and bytes in it
     below = {least: (0, 0)}
     spans = {least: (least, greatest, rows, total)}
@@ -107,7 +111,8 @@ def splitters(keys: DataFrame, cuts: int, tolerance: float = 0.0) -> tuple[list[
                 open_spans.add(starts[at])
         if not open_spans:
             break
-        probes = sorted({q for p in open_spans for q in _between(*spans[p][:2], PROBES)})
+        each = max(2, min(PROBES, MAX_PROBES // len(open_spans)))
+        probes = sorted({q for p in open_spans for q in _between(*spans[p][:2], each)})
         low, high = min(spans[p][0] for p in open_spans), max(spans[p][1] for p in open_spans)
         edges = sorted({*open_spans, *probes, *(q for p, q in zip(starts, starts[1:]) if p in open_spans)})
         part = keys.where((F.col("key") >= F.lit(bytearray(low))) & (F.col("key") <= F.lit(bytearray(high))))
@@ -127,14 +132,21 @@ def splitters(keys: DataFrame, cuts: int, tolerance: float = 0.0) -> tuple[list[
                 below.pop(p), spans.pop(p)
     starts = sorted(below)
     base = [below[p][1] for p in starts]
-    out = []
+    out, first, cut = [], [], []
     for g in goal:
         at = bisect.bisect_left(base, g)
-        near = [k for k in (at - 1, at) if 0 <= k < len(starts)]
-        if tolerance and near:
-            at = min(near, key=lambda k: abs(base[k] - g))
-        out.append(starts[at] if at < len(starts) else b"\xff" * 16)
-    return out, [below[k][0] if k in below else rows for k in out]
+        if tolerance:
+            at = min((k for k in (at - 1, at) if 0 <= k < len(starts)), key=lambda k: abs(base[k] - g), default=at)
+        inside = spans[starts[at - 1]] if at else None
+        if not tolerance and inside and inside[0] == inside[1] and base[at - 1] + inside[3] > g:  # rows that share a key
+            out.append(inside[0])
+            first.append(below[inside[0]][0])
+            cut.append(first[-1] + math.ceil((g - base[at - 1]) * inside[2] / inside[3]))
+        else:
+            out.append(starts[at] if at < len(starts) else b"\xff" * 16)
+            first.append(below[starts[at]][0] if at < len(starts) else rows)
+            cut.append(first[-1])
+    return out, first, cut
 
 
 def shard_documents(docs: DataFrame, n_shards: int = SHARDS, *, text_col: str = "text", id_col: str = "doc_id", tolerance: float = 0.0) -> DataFrame:
@@ -143,27 +155,33 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, *, text_col: str =
     keyed = docs.withColumn("_key", _key(text_col, id_col)).withColumn("size", _size(text_col))
     keys = materialize(keyed.select(F.col("_key").alias("key"), "size"), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    per = max(1, -(-total // (n_shards * RANGE_BYTES)))
-    cut, rows = splitters(keys, n_shards * per, tolerance)
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(cut)
+    per = max(1, min(-(-total // (n_shards * RANGE_BYTES)), MAX_RANGES // n_shards))
+    edges, first, cut = splitters(keys, n_shards * per, tolerance)
+    firsts, cuts = np.array([0, *first], np.int64), np.array([0, *cut[per - 1 :: per]], np.int64)  # of ranges, of shards
+    shared = docs.sparkSession.sparkContext.broadcast((np.array(edges, "S16"), firsts, cuts))
+    added = [("_range", T.IntegerType()), ("_first", T.LongType()), ("_shard", T.IntegerType()), ("_cuts", T.ArrayType(T.LongType()))]
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array(shared.value, "S16")
+        edges, firsts, cuts = shared.value
+        ends = np.append(firsts[1:], np.iinfo(np.int64).max)
         for batch in batches:
             key = np.frombuffer(b"".join(batch.column("_key").to_pylist()), "S16")
             at = np.searchsorted(edges, key, side="right") if len(edges) else np.zeros(len(key), np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=[*batch.schema.names, "_range"])
-
-    dealt = keyed.mapInArrow(ranges, T.StructType([*keyed.schema, T.StructField("_range", T.IntegerType())]))
-    starts = [0, *rows]
-    base = [n - starts[i // per * per] for i, n in enumerate(starts)] if cut else [0]
-    first = F.element_at(F.array(*(F.lit(n).cast("long") for n in base)), F.col("_range") + 1)
-    place = F.row_number().over(Window.partitionBy("_range").orderBy("_key")) - 1
+            shard = np.searchsorted(cuts, firsts[at], side="right") - 1
+            last = np.searchsorted(cuts, ends[at], side="left")  # shards that begin within the range
+            inner = [cuts[a:b].tolist() for a, b in zip(shard + 1, last)] if (last > shard + 1).any() else [[]] * len(at)
+            new = [pa.array(at.astype(np.int32)), pa.array(firsts[at]), pa.array(shard.astype(np.int32)), pa.array(inner, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(n for n, _ in added)])
+
+    dealt = keyed.mapInArrow(ranges, T.StructType([*keyed.schema, *(T.StructField(*x) for x in added)]))
+    dealt = dealt.repartitionById(len(edges) + 1, F.col("_range"))
+    place = F.col("_first") + F.row_number().over(Window.partitionBy("_range").orderBy("_key")) - 1
+    begun = F.filter("_cuts", lambda c: c <= F.col("_row"))
+    start = F.coalesce(F.array_max(begun), F.element_at(F.array(*(F.lit(int(c)) for c in cuts)), F.col("_shard") + 1))  # a number for each shard
+    numbered = dealt.withColumn("_row", place)
     return (
-        dealt.withColumn("slot", first + place)
-        .withColumn("shard", F.floor(F.col("_range") / per).cast("int"))
-        .drop("_key", "_range")
+        numbered.withColumn("shard", (F.col("_shard") + F.size(begun)).cast("int")).withColumn("slot", F.col("_row") - start)
+        .drop("_key", "_row", *(n for n, _ in added)).select(*docs.columns, "size", "slot", "shard")
     )
 
 
