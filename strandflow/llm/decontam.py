@@ -1,21 +1,26 @@
 """Benchmark decontamination with Aho-Corasick automata over normalised benchmark windows.
 
-A text is normalised to its words (`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, A-Z lower-cased)
-joined by single blanks. Every run of `window` words of an item (an item of fewer
-words, but not none, is one window) is a key of the automaton. Each text is scanned
-once; hits come back as word numbers and, through the words' byte spans, as
-code-point offsets of the original text.
+A text is normalised to its words (`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, A-Z lower-cased), and
+each word that the benchmark has is one symbol. Every run of `window` words of an item (an item
+of fewer words, but not none, is one window) is a key of the automaton. Each text is scanned
+once; hits come back as word numbers and, through the words' byte spans, as code-point offsets
+of the original text.
+
+Scale: documents are not shuffled. An automaton holds at most about `MAX_NODES` nodes; a larger
+benchmark is cut into blocks of windows (long items in pieces), collected one at a time, and the
+documents are scanned block after block, each pass written. A worker builds a block's automaton once.
 
 Edge cases: null texts and texts without words have no words and no hits; null or
-wordless items have no windows; repeated items and rows are each handled alone (item
-ids form a set); an empty benchmark hits nothing. Input columns pass through, but for
-columns named like an output, which the output replaces.
+wordless items have no windows; the windows of items with a null id hit words, but no item;
+repeated items and rows are each handled alone (item ids form a set); rows with a null doc_id are
+rows like others; very long texts are scanned whole; an empty benchmark hits nothing. Input columns
+pass through, but for columns named like an output, which the output replaces.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,58 +29,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandflow.session import materialize
+
 WINDOW = 10
-#: An automaton is built from at most so many bytes of items; a larger benchmark is scanned in blocks.
-BLOCK_BYTES = 16 << 20
+#: Nodes of an automaton, about 100 bytes each: a word of an item makes up to `window` of them.
+MAX_NODES = 1 << 20
+#: Words of a piece of an item.
+PIECE_WORDS = 2000
 
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
 _WORD = re.compile(rb"[^ \t-\r]+")
+_OTHER = "\x01"
 
 
 def normalized_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def item_windows(text: str | None, window: int) -> set[bytes]:
+def item_pieces(text: str | None, window: int) -> list[list[bytes]]:
+    """Words of an item in pieces that overlap by window - 1, so that each of its windows is in one of them."""
     words = normalized_words(text)
-    return {b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))} if words else set()
-
-
-def build_automaton(items: list[tuple], window: int):
-    """Automaton whose values are (number of words, length, ids of the items)."""
-    import ahocorasick
-
-    owners: dict[bytes, set] = {}
-    for item_id, text in items:
-        for w in item_windows(text, window):
-            owners.setdefault(w, set()).add(item_id)
-    automaton = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        key = f" {w.decode('latin-1')} "
-        automaton.add_word(key, (w.count(b" ") + 1, len(key), tuple(ids)))
-    if owners:
-        automaton.make_automaton()
-    return automaton if owners else None
-
-
-def scan(text: str | None, automaton) -> tuple[int, np.ndarray, set, list[tuple[int, int]]]:
+    return [words[i : i + PIECE_WORDS + window - 1] for i in range(0, max(len(words) - window + 1, min(len(words), 1)), PIECE_WORDS)]
+
+
+def _symbol(n: int) -> str:
+    return chr(n + 2 if n + 2 < 0xD800 else n + 2 + 0x800)
+
+
+class Automaton:
+    """Aho-Corasick automaton over word symbols; the value of a key is the number of its window."""
+
+    def __init__(self, pieces: list[tuple], window: int):
+        """pieces: (item id, words joined by blanks)."""
+        import ahocorasick
+
+        self.symbols: dict[bytes, str] = {}
+        numbers: dict[str, int] = {}
+        self.size: list[int] = []
+        self.owners: list[tuple] = []
+        for item, text in pieces:
+            line = "".join([self.symbols.setdefault(w, _symbol(len(self.symbols))) for w in text.split(b" ")]) if text else ""
+            own = (item,) if item is not None else ()
+            for i in range(max(1, len(line) - window + 1) if line else 0):
+                key = line[i : i + window]
+                n = numbers.setdefault(key, len(numbers))
+                if n == len(self.size):
+                    self.size.append(len(key))
+                    self.owners.append(own)
+                elif own and item not in self.owners[n]:
+                    self.owners[n] += own
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS) if numbers else None
+        for key, n in numbers.items():
+            self.found.add_word(key, n)
+        if numbers:
+            self.found.make_automaton()
+
+    def hits(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """(last word, window) of every occurrence."""
+        get = self.symbols.get
+        return list(self.found.iter("".join([get(w, _OTHER) for w in words]))) if words and self.found is not None else []
+
+
+def scan(text: str | None, automaton: Automaton) -> tuple[int, np.ndarray, set, list[tuple[int, int]]]:
     """Number of words, sorted numbers of the words hit, items hit, original spans."""
     words = normalized_words(text)
-    if not words or automaton is None:
-        return len(words), np.zeros(0, np.int64), set(), []
-    line = f" {b' '.join(words).decode('latin-1')} "
-    found = [(end, value) for end, value in automaton.iter(line)]
+    found = automaton.hits(words)
     if not found:
         return len(words), np.zeros(0, np.int64), set(), []
-    first = np.cumsum([0, *(len(w) + 1 for w in words)])
     hit, ids, runs = np.zeros(len(words), bool), set(), []
-    for end, (n, length, items) in found:
-        at = int(np.searchsorted(first, end - length + 1))
-        hit[at : at + n] = True
-        ids.update(items)
-        runs.append((at, at + n))
+    for end, n in found:
+        at = end - automaton.size[n] + 1
+        hit[at : end + 1] = True
+        ids.update(automaton.owners[n])
+        runs.append((at, end + 1))
     raw = text.encode()
     spans = [m.span() for m in _WORD.finditer(raw.translate(_TABLE))]
     chars = np.cumsum([0, *((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])  # code points before each byte
@@ -83,15 +111,23 @@ def scan(text: str | None, automaton) -> tuple[int, np.ndarray, set, list[tuple[
     return len(words), np.flatnonzero(hit), ids, original
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple]]:
-    """Items in blocks of bounded size; each block is collected alone and checked."""
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 16
-    total = benchmark.agg(F.sum(size)).first()[0] or 0
-    n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    part = F.pmod(F.xxhash64(item_col), F.lit(n))
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_nodes: int) -> Iterator[list[tuple]]:
+    """Pieces of items in blocks of bounded size; each block is collected alone."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, p, len(words), b" ".join(words)) for i, t in zip(*(c.to_pylist() for c in batch.columns)) for p, words in enumerate(item_pieces(t, window))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=["item", "piece", "n", "words"])
+
+    source = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    pieces = source.mapInArrow(cut, "item string, piece int, n long, words binary")
+    total = (pieces.agg(F.sum("n")).first()[0] or 0) * window
+    n = max(1, -(-total // max_nodes))
+    part = F.pmod(F.xxhash64("item", "piece", "words"), F.lit(n))
+    pieces = pieces if n == 1 else materialize(pieces.withColumn("part", part), "benchmark-pieces")
     for i in range(n):
-        rows = benchmark.select(item_col, text_col) if n == 1 else benchmark.where(part == i).select(item_col, text_col)
-        yield [tuple(r) for r in rows.collect()]
+        block = pieces if n == 1 else pieces.where(F.col("part") == i)
+        yield [(r[0], bytes(r[1])) for r in block.select("item", "words").collect()]
 
 
 def decontaminate(
@@ -102,12 +138,12 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    block_bytes: int = BLOCK_BYTES,
+    max_nodes: int = MAX_NODES,
 ) -> DataFrame:
     """Add n_words, hit_words (sorted word numbers), hit_items (sorted strings), hit_spans.
 
     hit_spans are (start, end) code points of each occurrence in the original text.
-    Blocks of the benchmark are scanned one after the other in the same pass; nothing is shuffled.
+    Blocks of the benchmark are scanned one after the other; nothing is shuffled.
     """
     added = T.StructType(
         [
@@ -123,14 +159,30 @@ def decontaminate(
     empty = [F.lit(0).cast("long"), *(F.array().cast(f.dataType) for f in added[1:])]
     out = docs.select("*", *(e.alias(f.name) for e, f in zip(empty, added)))
     sc = docs.sparkSession.sparkContext
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        out = out.mapInArrow(_scanner(sc.broadcast(items), text_col, window), schema)
-    return out
+    scanned = None
+    for pieces in _blocks(benchmark, item_col, item_text_col, window, max_nodes):
+        if scanned is not None:
+            out = materialize(scanned, "scanned")
+        scanned = out.mapInArrow(_scanner(sc.broadcast(pieces), text_col, window), schema)
+    return scanned
+
+
+#: The automaton a worker built last, by the name of its block.
+_built: dict[str, Automaton] = {}
+
+
+def _automaton(name: str, pieces: list[tuple], window: int) -> Automaton:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Automaton(pieces, window)
+    return _built[name]
+
 
+def _scanner(pieces, text_col: str, window: int):
+    name = uuid.uuid4().hex
 
-def _scanner(items, text_col: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(items.value, window)
+        automaton = _automaton(name, pieces.value, window)
         for batch in batches:
             n, hits, ids, spans = [], [], [], []
             old = [batch.column(c).to_pylist() for c in ("hit_words", "hit_items", "hit_spans")]
@@ -138,7 +190,7 @@ def _scanner(items, text_col: str, window: int):
                 count, hit, found, original = scan(text.as_py(), automaton)
                 n.append(count)
                 hits.append(sorted({*h0, *hit.tolist()}) if h0 else hit.tolist())
-                ids.append(sorted({*i0, *map(str, found)}))
+                ids.append(sorted({*i0, *found}))
                 spans.append(sorted({*((s["start"], s["end"]) for s in s0), *original}))
             new = {"n_words": n, "hit_words": hits, "hit_items": ids, "hit_spans": [[{"start": a, "end": b} for a, b in s] for s in spans]}
             yield pa.RecordBatch.from_arrays(
