@@ -7,8 +7,9 @@ weighting each language with 2**-(size - smallest) and normalising; a score belo
 `MIN_SCORE` (the best two within about a byte) marks the text as rejected.
 
 Edge cases: null texts and texts without a letter get `und`, score 0, rejected; with
-no labelled language all texts do; ties go to the first language in sorted order.
-Input columns pass through, but for columns named like an output.
+no labelled language all texts do; ties go to the first language in sorted order; repeated rows
+get the same answer and count once in a dictionary; very long texts are compressed whole; rows with
+a null doc_id are not held out and not learned from. Input columns pass through, but for columns named like an output.
 """
 
 from __future__ import annotations
@@ -36,20 +37,28 @@ _OTHER = re.compile(r"[\W\d_]+")
 def learn(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary for each non-null language of `train`.
 
-    Rows are counted by language, then about `SAMPLE_DOCS` of each are chosen by a hash
-    of their text (copies count once) and cut at `SAMPLE_CHARS`; only these reach the driver.
+    About `SAMPLE_DOCS` different texts of each language are chosen by a hash of the text. A stretch
+    of at most `SAMPLE_CHARS` characters, from a place in the text that the hash gives, reaches the driver,
+    and each text of a language has an equal share of its dictionary.
     """
     train = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, SAMPLE_DOCS / n)))])
+    share = train.groupBy("lang").agg((F.lit(SAMPLE_DOCS) / F.greatest(F.approx_count_distinct(F.xxhash64("text")), F.lit(1))).alias("share"))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(1 << 30)
-    rows = train.where(place < share[F.col("lang")]).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct()
+    start = F.pmod(F.xxhash64("text", F.lit("start")), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
+    rows = train.join(share, "lang").where(place < F.col("share")).select("lang", F.substr("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).distinct()
     texts: dict[str, list[bytes]] = {}
     for r in rows.orderBy(F.xxhash64("text"), "text").collect():
         texts.setdefault(r["lang"], []).append(letters(r["text"]).encode())
-    return {lang: b"\n".join(t)[:DICT_BYTES] for lang, t in sorted(texts.items())}
+    return {lang: _dictionary(t) for lang, t in sorted(texts.items())}
+
+
+def _dictionary(texts: list[bytes]) -> bytes:
+    """Equal shares of the texts; what short ones leave goes to the others."""
+    left, out = DICT_BYTES, []
+    for i, t in enumerate(sorted(texts, key=lambda t: (len(t), t))):
+        out.append(t[: max(left // (len(texts) - i) - 1, 0)])
+        left -= len(out[-1]) + 1
+    return b"\n".join(out)
 
 
 def _compressors(dictionaries: dict[str, bytes]) -> list:
@@ -108,10 +117,10 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str =
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, rejected."""
-    dictionaries = learn(docs.where(~held_out()))
+    dictionaries = learn(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), dictionaries).drop("text")
