@@ -146,9 +146,9 @@ def _counts(texts: list[str]) -> tuple[dict, np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, *, text_col: str = "text") -> dict:
     """Potentials from about `SAMPLE_DOCS` documents that hold a digit or an `@`, chosen by a hash of their text."""
     has = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9]{3}|@"))
-    n = has.count()
+    n = has.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(1 << 30)
-    rows = has.where(place < min(1.0, SAMPLE_DOCS / max(n, 1)))
+    rows = has.where(place < min(1.0, SAMPLE_DOCS / max(n, 1))).distinct()  # copies count once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes, near, skip = _counts([t.as_py() for b in batches for t in b.column(0)])

@@ -48,7 +48,16 @@ def test_sharding_in_ranges_and_edge_cases(spark, monkeypatch):
         assert sorted(v[1] for v in cut.values() if v[0] == s) == list(range(sum(v[0] == s for v in cut.values())))
     assert sharding.digest(docs(spark, [])).count() == 0
     one = sharding.digest(docs(spark, [(1, None), (1, None)])).collect()
-    assert sorted(r["slot"] for r in one) == [0, 1] and {r["size"] for r in one} == {16} and {r["text_crc32"] for r in one} == {0}
+    assert sorted((r["shard"], r["slot"]) for r in one) == [(0, 0), (20, 0)]  # 0 and 16 of 32 bytes come before them
+    assert {r["size"] for r in one} == {16} and {r["text_crc32"] for r in one} == {0}
+
+
+def test_equal_rows_are_cut_between_shards(spark):
+    rows = [(7, "same text")] * 400 + [(None, "none")] * 100 + [(i, f"t{i}") for i in range(300)]
+    got = sharding.shard_documents(docs(spark, rows), 40).groupBy("shard").agg(F.sum("size"), F.count("*"), F.min("slot"), F.max("slot")).collect()
+    mean = sum(r[1] for r in got) / 40
+    assert len(got) == 40 and max(abs(r[1] - mean) for r in got) < 26
+    assert all(r[3] == 0 and r[4] == r[2] - 1 for r in got)
 
 
 def test_tolerance_bounds_the_splitters(spark):
@@ -82,6 +91,27 @@ def test_language_held_out_accuracy(spark):
     assert {r["lang_pred"] for r in langid.digest(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_is_the_least_compressed_size(spark):
+    zstandard = pytest.importorskip("zstandard")
+    rng = random.Random(6)
+    rows = [(i, tongue(rng, lang, rng.randint(1, 600)), lang) for i in range(120) for lang in [rng.choice(list(TONGUES))]]
+    df = spark.createDataFrame([(i, t, lang, 0.5, True) for i, t, lang in rows] + [(None, rows[0][1], "aa", 0.5, True)] * 2, "doc_id long, text string, lang string, score double, rejected boolean")
+    dictionaries = langid.learn(df.where("doc_id IS NOT NULL").where(~langid.held_out()))
+    assert sorted(dictionaries) == sorted(TONGUES) and all(len(d) <= langid.DICT_BYTES for d in dictionaries.values())
+    got = langid.digest(df).collect()
+    assert all(r["held_out"] is False for r in got if r["doc_id"] is None) and len(got) == 122
+    for r in got:
+        text = next(t for i, t, _ in rows if i == (r["doc_id"] or 0))
+        data, size = "".join(c if c.isalpha() else " " for c in text.lower()), {}
+        for lang, content in dictionaries.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            pieces = [data.encode()[k : k + langid.PIECE] for k in range(0, len(data), langid.PIECE)]
+            size[lang] = sum(len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(p)) for p in pieces)
+        best = min(size.values())
+        assert size[r["lang_pred"]] == best
+        assert abs(r["score"] - 1 / sum(2.0 ** -(n - best) for n in size.values())) < 1e-9
+
+
 # ---- toxicity ----
 
 

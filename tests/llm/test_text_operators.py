@@ -55,7 +55,7 @@ def test_decontamination_equals_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: tuple(r[1:6]) for r in decontam.digest(docs(spark, rows), bench).collect()}
     assert got == brute_decontaminate(rows, items)
-    small = decontam.decontaminate(docs(spark, rows), bench, block_bytes=200)  # several automata
+    small = decontam.decontaminate(docs(spark, rows), bench, max_nodes=200)  # several automata
     assert {r["doc_id"]: len(r["hit_words"]) for r in small.collect()} == {d: v[1] for d, v in got.items()}
 
 
