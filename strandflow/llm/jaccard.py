@@ -27,7 +27,7 @@ sequence as one. Edge cases: null, empty and wordless texts have an empty set an
 nothing; repeated rows link with each other; rows of one id with different texts are one
 document where links are followed; rows with a null id are left out of links and are their
 own component; a very long text is one row of a cell; extra columns are ignored. Words and
-shingles are compared by keyed 128-bit hashes: sets that hash alike are taken as equal.
+shingles are compared by seeded 128-bit hashes: sets that hash alike are taken as equal.
 """
 
 from __future__ import annotations

@@ -30,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandflow.llm.textpack import NOT_WORD, combine, row_starts, slices, word_hashes
+from strandflow.llm.textpack import NOT_WORD, combine, mix, row_starts, slices, word_hashes
 from strandflow.session import materialize
 
 #: Bounds of the training sample: documents of each class for the counts and for the curve.
@@ -44,6 +45,9 @@ CURVE_DOCS = 2500
 SPAN = 2
 #: Standard errors of a count that its discount takes at least.
 ERRORS = 2.0
+#: Bytes of a predecessor's hash that are compared, and of text whose pairs make about one bucket.
+PREFIX = 5
+BUCKET_BYTES = 24 << 20
 START = np.uint64(0x5BF03635A1D3C9E7)
 
 
@@ -203,27 +207,83 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), c, np.int32)), *(pa.array(x[first].view(np.int64)) for x in (u, v, w))], names=["label", "u", "v", "w"])
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    """Compressed differences of ascending numbers, or of small ones."""
+    import zstandard
+
+    return zstandard.compress(np.diff(x.astype(np.int32), prepend=np.int32(0)).tobytes(), 1)
+
+
+def _expand(b: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.cumsum(np.frombuffer(zstandard.decompress(b), np.int32))
+
+
+def _send_pairs(table: np.ndarray, buckets: int, batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """Different (word of the table, word before it) of each slice, dealt to buckets by the word before.
+
+    A row: bucket, bytes of a word before (its number, if the table has it; else `PREFIX` bytes of hash), numbers of the words,
+    how many words are before each, and these.
+    """
+    number = 3 if len(table) < 1 << 24 else 4
+    for part in slices(batches, text_col, 12 << 20):
+        w, v, _ = tokens(part.column(text_col))
+        at = _look(table, w)
+        v, at = v[at >= 0], at[at >= 0]
+        named = _look(table, v)
+        for width, some in ((number, named >= 0), (PREFIX, named < 0)):
+            low = named[some].astype(np.uint64) if width == number else v[some] & np.uint64((1 << 8 * PREFIX) - 1)
+            bucket = (mix(low) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((low, at[some], bucket))
+            a, low, bucket = at[some][order], low[order], bucket[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (low[1:] != low[:-1]) | (bucket[1:] != bucket[:-1])
+            a, low, bucket = a[new], low[new], bucket[new]
+            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            for i in np.flatnonzero(np.diff(cut)).tolist():
+                mine = slice(cut[i], cut[i + 1])
+                k, n = np.unique(a[mine], return_counts=True)
+                packed = low[mine].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (i, width)), *(pa.array([x], pa.binary()) for x in (_squeeze(k), _squeeze(n), packed))], names=["bucket", "width", "k", "n", "v"])
+
+
+def _merge_pairs(table: pa.Table) -> pa.Table:
+    """(k, n): different words before each word, of those of one bucket."""
+    found = []
+    for width in set(table.column("width").to_pylist()):
+        keys, before = [], []
+        for k, n, v in zip(*(table.filter(pc.equal(table.column("width"), width)).column(c).to_pylist() for c in ("k", "n", "v"))):
+            keys.append(np.repeat(_expand(k), _expand(n)).astype(np.int32))
+            wide = np.zeros((len(v) // width, 8), np.uint8)
+            wide[:, :width] = np.frombuffer(v, np.uint8).reshape(-1, width)
+            before.append(wide.reshape(-1).view(np.uint64))
+        keys, before = np.concatenate(keys), np.concatenate(before)
+        order = np.lexsort((before, keys))
+        keys, before = keys[order], before[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (before[1:] != before[:-1])
+        found.append(keys[new])
+    k, n = np.unique(np.concatenate(found), return_counts=True)
+    return pa.table({"k": k, "n": n})
+
+
 def shared_backoff(corpus: DataFrame, words: np.ndarray, *, text_col: str = "text") -> np.ndarray:
     """For each of the sorted word hashes: its distinct predecessors in all documents.
 
-    Pairs of a word of the model and the word before it are made distinct in slices, then
-    over the corpus by Spark; the driver gets one number per word, and the sample bounds the words.
+    Pairs of a word of the model and the word before it are made distinct in slices, then over the
+    corpus in buckets of the words before, so a frequent word is no group of its own; the driver gets
+    one number per word, and the sample bounds the words. Words before that the model lacks are told apart by `PREFIX` bytes of hash.
     """
+    total = corpus.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(8, -(-total // BUCKET_BYTES))
     shared = corpus.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for part in slices(batches, text_col, 8 << 20):
-            w, v, _ = tokens(part.column(text_col))
-            at = _look(table, w)
-            known = at >= 0
-            order = np.lexsort((v[known], at[known]))
-            a, b = at[known][order], v[known][order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(a[new].astype(np.int32)), pa.array(b[new].view(np.int64))], names=["k", "v"])
+        return _send_pairs(shared.value, buckets, batches, text_col)
 
-    found = corpus.select(text_col).mapInArrow(run, "k int, v long").groupBy("k").agg(F.count_distinct("v").alias("n")).toArrow()
+    sent = corpus.select(text_col).mapInArrow(run, "bucket int, width int, k binary, n binary, v binary")
+    found = sent.groupBy("bucket").applyInArrow(_merge_pairs, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(words), np.int64)
     out[found.column("k").to_numpy()] = found.column("n").to_numpy()
     return out
