@@ -103,22 +103,29 @@ class Model:
         cv, cw = _look(self.contexts, every_v[first]), _look(words, every_w[first])
         both = sum(_spread(combine(v, w), n, self.pairs) for v, w, n in classes).astype(np.int64)
         shared = context_parts(every_v[first], both, self.contexts)
-        pair_log, word_log, context_log = [], [], []
+        pair_log, word_log, context_log, told = [], [], [], shared["kept"] > 0
         for v, w, n in classes:
             own = class_words(w, words, backoff) | context_parts(v, n, self.contexts)
+            told = told | (_spread(combine(v, w), own["kept"], self.pairs) > 0)
             below = shared["kept"] / shared["seen"][cv] + shared["rest"][cv] * own["word"][cw]
             pair_log.append(np.log(_spread(combine(v, w), own["kept"], self.pairs) / np.maximum(own["seen"][cv], 1) + own["rest"][cv] * below))
             word_log.append(np.log(np.append(own["word"], own["word_rest"])))  # the last: words that the models lack
             context_log.append(np.log(own["rest"]))
         self.pair_ratio, self.word_ratio, self.context_ratio = ((x[1] - x[0]).astype(np.float32) for x in (pair_log, word_log, context_log))
+        # pairs of which nothing is left after the discounts have the ratio of unknown ones
+        self.pairs, self.pair_ratio = self.pairs[told], self.pair_ratio[told]
+        known = self.context_ratio != 0
+        self.contexts, self.context_ratio = self.contexts[known], self.context_ratio[known]
 
     def ratios(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """log P_1(word | word before) - log P_0 of every word, and row starts."""
         w, v, starts = tokens(column)
+        ratio = self.word_ratio[_look(self.words, w)].astype(np.float64)  # -1 picks the last word
         at = _look(self.contexts, v)
-        ratio = self.word_ratio[_look(self.words, w)] + np.where(at >= 0, self.context_ratio[at], 0)  # -1 picks the last word
+        ratio[at >= 0] += self.context_ratio[at[at >= 0]]
         at = _look(self.pairs, combine(v, w)) if len(w) else at
-        return np.where(at >= 0, self.pair_ratio[at], ratio).astype(np.float64), starts
+        ratio[at >= 0] = self.pair_ratio[at[at >= 0]]
+        return ratio, starts
 
     def evidence(self, column: pa.Array) -> np.ndarray:
         """For each row the difference of the length-normalised log-likelihoods of the whole text, and of
@@ -304,10 +311,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     if not (len(classes[0][0]) and len(classes[1][0]) and have.get((0, "curve")) and have.get((1, "curve"))):
         ones = have.get((1, "fit"), 0) + have.get((1, "curve"), 0)
         return {"constant": (ones + 0.5) / (sum(have.values()) + 1.0)}
+    del found, label, v, w, n
     words = np.unique(np.concatenate([c[1] for c in classes]))
     before = shared_backoff(docs, words)
     backoff = (before + 0.5) / (before.sum() + 0.5 * len(words) + 1)
     model = Model(classes, words, backoff)
+    del classes, before, backoff
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
