@@ -23,11 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandflow.session import materialize
+
 #: Bounds of the training sample: documents of a language, and bytes of a dictionary.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 2000
 DICT_BYTES = 64 << 10
 PIECE = 2 << 10
+#: Labels up to which their counts are broadcast.
+BROADCAST_LANGS = 100_000
 LEVEL = 6
 MIN_SCORE = 0.6
 
@@ -45,6 +49,8 @@ def learn(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -
     share = train.groupBy("lang").agg((F.lit(SAMPLE_DOCS) / F.greatest(F.approx_count_distinct(F.xxhash64("text")), F.lit(1))).alias("share"))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(1 << 30)
     start = F.pmod(F.xxhash64("text", F.lit("start")), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
+    share = materialize(share, "languages")
+    share = F.broadcast(share) if share.count() <= BROADCAST_LANGS else share  # so that texts are not shuffled
     rows = train.join(share, "lang").where(place < F.col("share")).select("lang", F.substr("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).distinct()
     texts: dict[str, list[bytes]] = {}
     for r in rows.orderBy(F.xxhash64("text"), "text").collect():
