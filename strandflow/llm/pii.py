@@ -10,8 +10,15 @@ phone-like separators, and blank-free strings holding an `@`. Its potentials are
 Mentions that hold a base span are clamped to its kind; loopy sum-product passes
 spread their labels along the edges, so that "+1 (743) 555-3824" also marks a later
 "743 555 3824". A mention whose posterior for a kind reaches `MIN_POSTERIOR` becomes
-a further span. The potentials are smoothed log counts from base-labelled mentions of
-a bounded sample of documents (`SAMPLE_DOCS`).
+a further span.
+
+The potentials are fitted by pseudo-likelihood to the base labels of a bounded sample of
+documents (`SAMPLE_DOCS`), under Gaussian priors, of which only that of skip edges expects
+something: equal labels. A mention with a base span is an example as it is; where a skip
+edge ties it to another, it is one more with the marks hidden by which its pattern knows it
+(plus, three dots, Luhn digits, a dotted domain), so that the field learns what such
+neighbours say of mentions the patterns miss. A mention without a base span is `other`, unless a skip edge ties it to a base span: those are
+unknown, neither examples nor neighbours.
 
 Edge cases: null texts are empty; spans are code points, end exclusive; added spans
 never overlap base spans; very long texts are scanned by patterns that take linear
@@ -20,9 +27,8 @@ time. Input columns pass through, but for columns named like an output.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +42,15 @@ from strandflow.llm.textpack import slices
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 SAMPLE_DOCS = 2000
-SWEEPS = 8
+#: Message passing ends when no message moves by more than this, or after so many passes.
+SETTLED, SWEEPS = 1e-6, 200
 MIN_POSTERIOR = 0.9
 #: Code points between mentions that count as neighbours in the chain.
 NEAR = 40
-#: Prior counts of label pairs on skip edges: equal labels are expected.
-AGREE, DISAGREE = 100.0, 0.5
+#: Precision of the Gaussian priors of all weights, and the prior mean of a skip edge's weight for equal labels.
+PRECISION, AGREE = 1.0, 6.0
+#: Steps of the fit, whose objective is convex.
+STEPS = 600
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]++@?")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -129,18 +138,68 @@ class Mentions:
         self.near = [(i, i + 1) for i in range(len(self.spans) - 1) if self.spans[i + 1][0] - self.spans[i][1] <= NEAR and (i, i + 1) not in edges]
 
 
-def _counts(texts: list[str]) -> tuple[dict, np.ndarray, np.ndarray]:
-    shapes: dict = defaultdict(lambda: np.zeros(len(LABELS)))
-    near, skip = np.zeros((len(LABELS),) * 2), np.zeros((len(LABELS),) * 2)
-    for text in texts:
-        m = Mentions(text, base_spans(text))
-        label = [max(x, 0) for x in m.label]
-        for s, x in zip(m.shapes, label):
-            shapes[s][x] += 1
-        for edges, table in ((m.near, near), (m.skip, skip)):
-            for i, j in edges:
-                table[label[i], label[j]] += 1
-    return dict(shapes), near, skip
+def features(shape: tuple) -> tuple[str, ...]:
+    """Names of the features that a mention's shape has."""
+    if shape[0] == "at":
+        return ("at", *(["one at"] if shape[1] == 1 else []), *(["dotted domain"] if shape[2] else []))
+    _, digits, plus, dots, blank, valid = shape
+    return ("number", f"{digits} digits", *(name for name, has in (("plus", plus), ("three dots", dots), ("blank", blank), ("luhn", valid)) if has))
+
+
+def hidden(shape: tuple) -> tuple:
+    """The shape without the marks by which a base pattern knows it."""
+    return ("at", shape[1], False) if shape[0] == "at" else ("number", shape[1], False, False, shape[4], False)
+
+
+def examples(text: str) -> Iterator[tuple[tuple, tuple, tuple, int]]:
+    """(features, numbers of near neighbours by label, of skip neighbours, label) of a text's mentions of known label."""
+    m = Mentions(text, base_spans(text))
+    known = [max(x, 0) for x in m.label]
+    for i, j in m.skip:
+        for one, other in ((i, j), (j, i)):
+            if m.label[one] < 0 and m.label[other] > 0:
+                known[one] = -1
+    around = np.zeros((2, len(known), len(LABELS)), np.int64)
+    for table, edges in zip(around, (m.near, m.skip)):
+        for i, j in edges:
+            if known[j] >= 0:
+                table[i, known[j]] += 1
+            if known[i] >= 0:
+                table[j, known[i]] += 1
+    for i, (shape, label) in enumerate(zip(m.shapes, known)):
+        if label >= 0:
+            for s in (shape, hidden(shape)) if label > 0 and around[1, i].any() else (shape,):
+                yield features(s), tuple(around[0, i].tolist()), tuple(around[1, i].tolist()), label
+
+
+def fit(rows: list[tuple[tuple, tuple, tuple, int, float]]) -> dict:
+    """Potentials of greatest penalised pseudo-likelihood for (features, near, skip, label, number of times)."""
+    k = len(LABELS)
+    names = sorted({name for r in rows for name in r[0]})
+    at = {name: i for i, name in enumerate(names)}
+    x = np.zeros((len(rows), len(names) + 2 * k))
+    for r, (has, near, skip, _, _) in enumerate(rows):
+        x[r, [at[name] for name in has]] = 1
+        x[r, len(names):] = near + skip
+    label = np.array([r[3] for r in rows], np.int64)
+    times = np.array([r[4] for r in rows], np.float64)
+    near, skip = slice(len(names), len(names) + k), slice(len(names) + k, None)
+    mean = np.zeros((x.shape[1], k))
+    mean[skip] = AGREE * np.eye(k)
+    w, step, square = mean.copy(), np.zeros_like(mean), np.zeros_like(mean)
+    for t in range(1, STEPS + 1):
+        score = x @ w
+        p = np.exp(score - score.max(1, keepdims=True)) if len(rows) else score
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(rows)), label] -= 1
+        slope = x.T @ (p * times[:, None]) + PRECISION * (w - mean)
+        for edge in (near, skip):  # edges have no direction
+            slope[edge] = (slope[edge] + slope[edge].T) / 2
+        step = 0.9 * step + 0.1 * slope
+        square = 0.99 * square + 0.01 * slope * slope
+        rate = 0.1 * (1 - t / (STEPS + 1))
+        w -= rate * (step / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-9)
+    return {"unary": {name: w[i] for name, i in at.items()}, "near": w[near], "skip": w[skip]}
 
 
 def learn(docs: DataFrame, *, text_col: str = "text") -> dict:
@@ -151,61 +210,50 @@ def learn(docs: DataFrame, *, text_col: str = "text") -> dict:
     rows = has.where(place < min(1.0, SAMPLE_DOCS / max(n, 1))).distinct()  # copies count once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes, near, skip = _counts([t.as_py() for b in batches for t in b.column(0)])
-        out = [("shape", repr(s), i, 0, v) for s, c in shapes.items() for i, v in enumerate(c) if v]
-        for name, t in (("near", near), ("skip", skip)):
-            out += [(name, "", i, j, t[i, j]) for i in range(len(LABELS)) for j in range(len(LABELS)) if t[i, j]]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)] if out else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64())], names=["part", "shape", "i", "j", "n"])
-
-    found = rows.mapInArrow(run, "part string, shape string, i long, j long, n double").groupBy("part", "shape", "i", "j").agg(F.sum("n").alias("n")).collect()
-    shapes, near, skip = {}, np.full((len(LABELS),) * 2, 1.0), np.full((len(LABELS),) * 2, DISAGREE)
-    np.fill_diagonal(skip, AGREE)
-    skip[0, 0] += AGREE
-    for r in sorted(found):
-        if r["part"] == "shape":
-            shapes.setdefault(r["shape"], np.full(len(LABELS), 0.1))[r["i"]] += r["n"]
-        else:
-            # a base label next to an equal text without one is what the patterns miss, not evidence against agreement
-            if r["part"] == "near" or (r["i"] > 0) == (r["j"] > 0):
-                (near if r["part"] == "near" else skip)[r["i"], r["j"]] += r["n"]
-    prior = sum(shapes.values(), np.full(len(LABELS), 1.0))
-    norm = lambda t: (t + t.T) / np.sqrt(np.outer((t + t.T).sum(1), (t + t.T).sum(1)))
-    return {
-        "shapes": {s: np.log(c / c.sum()) for s, c in shapes.items()},
-        "unseen": np.log(prior / prior.sum()),
-        "near": np.log(norm(near)) * 0.25,
-        "skip": np.log(norm(skip)),
-    }
+        for batch in batches:
+            found = Counter(e for text in batch.column(0) for e in examples(text.as_py()))
+            has, near, skip, label = ([e[c] for e in found] for c in range(4))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(has, pa.list_(pa.string())), pa.array(near, longs), pa.array(skip, longs), pa.array(label, pa.int64()), pa.array(list(found.values()), pa.int64())],
+                names=["has", "near", "skip", "label", "times"])
 
+    found = rows.mapInArrow(run, "has array<string>, near array<long>, skip array<long>, label long, times long").groupBy("has", "near", "skip", "label").agg(F.sum("times").alias("times"))
+    return fit(sorted((tuple(r[0]), tuple(r[1]), tuple(r[2]), r[3], float(r[4])) for r in found.collect()))
 
-def infer(m: Mentions, model: dict) -> np.ndarray:
-    """Posterior of each mention's labels by loopy sum-product passes."""
-    n, k = len(m.spans), len(LABELS)
-    unary = np.array([model["shapes"].get(repr(s), model["unseen"]) for s in m.shapes])
-    # a shape is weak evidence against a kind where the patterns cannot see it; clamped labels are certain
-    unary = np.maximum(unary, math.log(0.05))
+
+def potentials(m: Mentions, model: dict) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
+    """Log potentials of a text's mentions and of its edges; mentions with a base span are clamped to its kind."""
+    none = np.zeros(len(LABELS))
+    unary = np.array([sum((model["unary"].get(name, none) for name in features(s)), none) for s in m.shapes]).reshape(-1, len(LABELS))
     for i, x in enumerate(m.label):
         if x > 0:
-            unary[i] = -50.0
+            unary[i] = -1e4
             unary[i, x] = 0.0
-    pairs = [(i, j, model["skip"]) for i, j in m.skip] + [(i, j, model["near"]) for i, j in m.near]
-    if not pairs:
-        p = np.exp(unary - unary.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
-    src = np.array([i for i, _, _ in pairs] + [j for _, j, _ in pairs])
-    dst = np.array([j for _, j, _ in pairs] + [i for i, _, _ in pairs])
-    table = np.array([t for _, _, t in pairs] + [t.T for _, _, t in pairs])
-    back = np.concatenate([np.arange(len(pairs), 2 * len(pairs)), np.arange(len(pairs))])
-    messages = np.zeros((len(src), k))
+    return unary, [(i, j, model["skip"]) for i, j in m.skip] + [(i, j, model["near"]) for i, j in m.near]
+
+
+def infer(m: Mentions, model: dict) -> np.ndarray:
+    """Posterior of each mention's labels by loopy sum-product passes."""
+    unary, pairs = potentials(m, model)
     belief = unary.copy()
-    for _ in range(SWEEPS):
-        out = (belief[src] - messages[back])[:, :, None] + table
-        top = out.max(1, keepdims=True)
-        new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
-        new -= new.max(1, keepdims=True)
-        messages = 0.5 * messages + 0.5 * new
-        belief = unary.copy()
-        np.add.at(belief, dst, messages)
+    if pairs:
+        src = np.array([i for i, _, _ in pairs] + [j for _, j, _ in pairs])
+        dst = np.array([j for _, j, _ in pairs] + [i for i, _, _ in pairs])
+        table = np.array([t for _, _, t in pairs] + [t.T for _, _, t in pairs])
+        back = np.concatenate([np.arange(len(pairs), 2 * len(pairs)), np.arange(len(pairs))])
+        messages = np.zeros((len(src), len(LABELS)))
+        for _ in range(SWEEPS):
+            out = (belief[src] - messages[back])[:, :, None] + table
+            top = out.max(1, keepdims=True)
+            new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
+            new -= new.max(1, keepdims=True)
+            moved = np.abs(new - messages).max()
+            messages = 0.5 * messages + 0.5 * new
+            belief = unary.copy()
+            np.add.at(belief, dst, messages)
+            if moved < SETTLED:
+                break
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 

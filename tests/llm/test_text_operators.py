@@ -1,9 +1,10 @@
 """Decontamination, repeats, Jaccard join, BPE, PII against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -281,6 +282,72 @@ def test_field_spreads_labels_and_leaves_clean_texts(spark):
     assert pii.digest(docs(spark, [])).count() == 0
 
 
+def exact_posteriors(m, model):
+    """Posteriors of all mentions by adding up every labelling of a small text."""
+    unary, pairs = pii.potentials(m, model)
+    n, k = unary.shape
+    out = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        p = np.exp(sum(unary[i, x] for i, x in enumerate(labels)) + sum(t[labels[i], labels[j]] for i, j, t in pairs))
+        out[np.arange(n), labels] += p
+    return out / out.sum(1, keepdims=True)
+
+
+REPEATED = [
+    "call +1 (743) 555-3824 now. Later: 1 743 555 3824 again.", "743 555 3824, 743 555 3824", "a@b.example.com and A@b.example.com or c@d",
+    "ring +44 20 7946 0958, write to x@y.example.org, pay 4111 1111 1111 1111 from 10.20.30.40", "20 7946 0958 and then 1234567 and 7654321 and 442079460958",
+    "no. 1234567890 +1234567890 1234567890 x@y z@w", "1234567890 " * 4,
+]
+
+
+def test_loopy_posteriors_against_exact_enumeration():
+    rows = Counter(e for t in REPEATED for e in pii.examples(t))
+    model = pii.fit(sorted((*e, float(n)) for e, n in rows.items()))
+    assert np.allclose(model["skip"], model["skip"].T) and np.allclose(model["near"], model["near"].T)
+    trees = 0
+    for t in REPEATED:
+        m = pii.Mentions(t, pii.base_spans(t))
+        got, want = pii.infer(m, model), exact_posteriors(m, model)
+        tree = len(m.skip) + len(m.near) < len(m.spans)
+        trees += tree
+        assert np.abs(got - want).max() < (1e-5 if tree else 0.1), t
+        assert (got.argmax(1) == want.argmax(1)).all(), t
+    assert trees >= 4
+
+
+def test_the_fit_is_a_maximum_and_learns_what_the_sample_says():
+    rows = [(*e, float(n)) for e, n in Counter(e for t in REPEATED * 3 for e in pii.examples(t)).items()]
+    model = pii.fit(rows)
+
+    def objective(model):
+        total = 0.0
+        for has, near, skip, label, n in rows:
+            score = sum(model["unary"][x] for x in has) + np.array(near) @ model["near"] + np.array(skip) @ model["skip"]
+            total += n * (score[label] - np.log(np.exp(score - score.max()).sum()) - score.max())
+        far = sum((w**2).sum() for w in model["unary"].values()) + (model["near"] ** 2).sum() + ((model["skip"] - pii.AGREE * np.eye(5)) ** 2).sum()
+        return total - pii.PRECISION * far / 2
+
+    best, rng = objective(model), np.random.default_rng(0)
+    for _ in range(50):
+        bump = rng.normal(0, 0.02, (5, 5))
+        other = {"unary": {x: w + rng.normal(0, 0.02, 5) for x, w in model["unary"].items()}, "near": model["near"] + bump + bump.T, "skip": model["skip"] + bump + bump.T}
+        assert objective(other) < best + 1e-3
+    # where equal numbers are seen with other labels, agreement weakens; unary weights take their share
+    apart = pii.fit([(("number",), (0,) * 5, (0, 0, 0, 0, 1), 0, 500.0)])
+    assert apart["skip"][4, 4] - apart["skip"][4, 0] < pii.AGREE / 2
+    score = apart["unary"]["number"] + apart["skip"][4]
+    assert score[0] > score[4]
+    assert pii.fit([])["unary"] == {}
+
+
+def test_pii_of_repeated_rows_and_clashing_columns(spark):
+    text = "call +1 (743) 555-3824"
+    rows = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (None, text, None), (2, None, "y")], "doc_id long, text string, pii_spans string")
+    found = pii.find_pii(rows, pii.learn(rows)).collect()
+    assert sorted((len(r["pii_spans"]), r["doc_id"] or 0) for r in found) == [(0, 2), (1, 0), (1, 1), (1, 1)]
+    assert pii.redact(rows, pii.learn(rows)).where("text = 'call <PHONE>'").count() == 3
+
+
 def test_long_texts_take_linear_time():
     for t in ("1" * 200_000, "a" * 200_000 + "@", "1.2.3." * 50_000, "+1 " * 60_000, "@" * 100_000):
         pii.base_spans(t)
