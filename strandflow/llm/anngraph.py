@@ -376,11 +376,9 @@ def _of_length(units: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     classes = materialize(units.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "ann-classes")
     n = classes.count()
     k = min(MAX_CLUSTERS, max(1, round(n / PER_CLUSTER)))
-    place = F.pmod(F.xxhash64("unit"), F.lit(1 << 30)) / F.lit(1 << 30)
-    sample = [bytes(r[0]) for r in classes.where(place < k / max(n, 1)).select("unit").limit(2 * MAX_CLUSTERS).collect()]
-    sample = sorted(sample) or [bytes(classes.select("unit").orderBy(F.xxhash64("unit")).first()[0])]
+    sample = sorted(bytes(r[0]) for r in classes.select("unit").orderBy(F.xxhash64("unit"), "unit").limit(k).collect())
     centres = np.frombuffer(b"".join(sample), np.float64).reshape(len(sample), -1)
-    shared = sc.broadcast(centres)  # at most 2 * MAX_CLUSTERS vectors
+    shared = sc.broadcast(centres)  # at most MAX_CLUSTERS vectors
     overlap = min(OVERLAP, len(centres))
     assigned = materialize(classes.mapInArrow(_assign(shared, threshold, overlap), _ASSIGNED), "ann-assigned")
 
@@ -390,12 +388,18 @@ def _of_length(units: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     extra = decided.where("kind = 'w'").groupBy(F.col("a").cast("int").alias("home")).agg(F.sum("b").alias("n"))
     for_members = assigned.where("tight").join(F.broadcast(extra), "home").select("rep", "n")
 
-    salts = F.greatest(F.lit(1), F.ceil(F.col("m") / CELL_ROWS)).cast("int")
-    sizes = assigned.where("tight").groupBy("home").agg(F.count("*").alias("m")).select(F.col("home").alias("ball"), salts.alias("salts"))
-    members = assigned.where("tight").select(F.col("home").alias("ball"), "rep", "unit", "weight").join(sizes, "ball").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
-    routed = decided.where("kind = 'r'").select(F.col("a").alias("rep"), F.col("b").cast("int").alias("ball")).join(sizes, "ball").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    queries = routed.join(assigned.select("rep", "unit", "weight", "tight"), "rep").select("ball", "salt", "rep", "unit", "weight", "tight")
-    checked = queries.groupBy("ball", "salt").cogroup(members.select("ball", "salt", "rep", "unit", "weight").groupBy("ball", "salt")).applyInArrow(_check_ball(threshold), "kind string, a long, b long")
+    # a grid of cells for each ball: members and queries are dealt to its two sides
+    routed = decided.where("kind = 'r'").select(F.col("a").alias("rep"), F.col("b").cast("int").alias("ball"))
+    side = lambda rows, name: rows.groupBy("ball").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(name))
+    balled = assigned.where("tight").select(F.col("home").alias("ball"), "rep", "unit", "weight")
+    sizes = side(balled, "m_cells").join(side(routed, "q_cells"), "ball")
+    dealt = lambda cells: F.pmod(F.xxhash64("rep"), F.col(cells)).cast("int")
+    every = lambda cells: F.explode(F.sequence(F.lit(0), F.col(cells) - 1))
+    members = balled.join(sizes, "ball").withColumn("m_cell", dealt("m_cells")).withColumn("q_cell", every("q_cells"))
+    queries = routed.join(sizes, "ball").withColumn("q_cell", dealt("q_cells")).withColumn("m_cell", every("m_cells"))
+    queries = queries.join(assigned.select("rep", "unit", "weight", "tight"), "rep")
+    cell = ["ball", "m_cell", "q_cell"]
+    checked = queries.select(*cell, "rep", "unit", "weight", "tight").groupBy(*cell).cogroup(members.select(*cell, "rep", "unit", "weight").groupBy(*cell)).applyInArrow(_check_ball(threshold), "kind string, a long, b long")
 
     by_balls = materialize(decided.where("kind IN ('n', 'e')").unionByName(checked), "ann-balls-found")
     exact = by_balls.where("kind = 'n'").select(F.col("a").alias("rep"), F.col("b").alias("n")).unionByName(for_members)

@@ -245,9 +245,10 @@ def brute_links(rows):
     return {i: (len(links[i]), root[i], root[i] == i) for i in ids}
 
 
-@pytest.mark.parametrize("per", [250, 20])
-def test_embedding_links(spark, per, monkeypatch):
+@pytest.mark.parametrize("per, cell", [(250, 3000), (20, 3000), (60, 30)])
+def test_embedding_links(spark, per, cell, monkeypatch):
     monkeypatch.setattr(anngraph, "PER_CLUSTER", per)
+    monkeypatch.setattr(anngraph, "CELL_ROWS", cell)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(220, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
