@@ -27,11 +27,11 @@ def clean(sequence: Column) -> Column:
 
 
 def _code_of_clean(sequence: Column) -> Column:
-    return F.conv(F.translate(sequence, BASES, "0123"), 4, 10).cast("long")
+    return F.conv(F.translate(sequence, BASES, "0123"), 4, -10).cast("long")  # base -10 is signed decimal
 
 
 def encode(kmer: Column) -> Column:
-    """Code of a string of at most 31 bases; other letters count as A."""
+    """Code of a string of at most 32 bases, the 64 bits of 32 as a signed number; other letters count as A."""
     return _code_of_clean(clean(kmer))
 
 
@@ -46,11 +46,13 @@ def reverse_complement(sequence: Column) -> Column:
 
 def reverse_complement_code(code: Column, k: int) -> Column:
     digits = F.reverse(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"))
-    return F.conv(F.translate(digits, "0123", "1032"), 4, 10).cast("long")
+    return F.conv(F.translate(digits, "0123", "1032"), 4, -10).cast("long")
 
 
 def canonical(code: Column, k: int) -> Column:
-    return F.least(code, reverse_complement_code(code, k))
+    """The lesser of a code and its reverse complement, as unsigned numbers."""
+    sign = F.lit(-(1 << 63) if k == 32 else 0).cast("long")
+    return F.least(code.bitwiseXOR(sign), reverse_complement_code(code, k).bitwiseXOR(sign)).bitwiseXOR(sign)
 
 
 def prefix(code: Column) -> Column:

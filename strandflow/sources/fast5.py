@@ -2,15 +2,22 @@
 
 h5py is optional: without it a read fails with a clear message; a table of the same schema
 in Parquet serves all operators as well. A task opens the files of its partition itself.
+
+Options: `path` (files, folders and patterns, comma-separated, visible to driver and executors),
+`readIds` (comma-separated ids; others are not opened), `maxReads` (the first so many of each file, by
+id), `signals` = false (signals stay null, only their lengths are read). Equality and `IN` on read_id are
+pushed down where `spark.sql.python.filterPushdown.enabled` is on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import glob
+import os
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 SCHEMA = (
     "read_id string, signal array<float>, channel struct<digitisation: double, offset: double, range: double, sampling_rate: double, channel_number: string>, "
@@ -26,14 +33,48 @@ class _File(InputPartition):
         self.path = path
 
 
+def _list(value: str | None) -> list[str]:
+    return [p.strip() for p in (value or "").split(",") if p.strip()]
+
+
+def _files(paths: list[str]) -> list[str]:
+    """Files that are named, lie in a named folder, or match a pattern; what is missing is an error."""
+    out = []
+    for path in paths:
+        if os.path.isdir(path):
+            found = glob.glob(os.path.join(glob.escape(path), "**", "*.fast5"), recursive=True)
+        else:
+            found = [path] if os.path.exists(path) else glob.glob(path)
+            if not found:
+                raise FileNotFoundError(f"no such file: {path}")
+        out += sorted(found)
+    return list(dict.fromkeys(out))
+
+
+def _text(value) -> str:
+    return value.decode() if isinstance(value, bytes) else str(value)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.paths = [p for p in options.get("path", "").split(",") if p]
+        self.paths = _list(options.get("path"))
         if not self.paths:
             raise ValueError("fast5 needs a path")
+        ids = options.get("readIds")
+        self.ids = None if ids is None else set(_list(ids))
+        self.most = int(options["maxReads"]) if "maxReads" in options else None
+        self.signals = str(options.get("signals", "true")).lower() != "false"
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if self.most is None and isinstance(f, (EqualTo, In)) and tuple(f.attribute) == ("read_id",):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.ids = wanted if self.ids is None else self.ids & wanted
+            else:
+                yield f
 
     def partitions(self):
-        return [_File(p) for p in self.paths]
+        return [_File(p) for p in _files(self.paths)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         try:
@@ -41,15 +82,15 @@ class _Reader(DataSourceReader):
         except ImportError as e:
             raise ImportError("reading fast5 needs h5py on the executors") from e
         with h5py.File(partition.path, "r") as f:
-            for name in sorted(k for k in f if k.startswith(GROUP_PREFIX)):
+            names = sorted(k for k in f if k.startswith(GROUP_PREFIX) and (self.ids is None or k in self.ids))
+            for name in names[: self.most]:
                 group = f[name]
                 attrs = dict(group["channel_id"].attrs) if "channel_id" in group else None
-                text = lambda v: v.decode() if isinstance(v, bytes) else str(v)
                 number = lambda k: float(attrs[k]) if attrs and k in attrs else None
-                channel = attrs and (number("digitisation"), number("offset"), number("range"), number("sampling_rate"), text(attrs["channel_number"]) if "channel_number" in attrs else None)
-                tracking = {k: text(v) for k, v in group["tracking_id"].attrs.items()} if "tracking_id" in group else None
-                signal = group["Raw/Signal"][:].astype("float32").tolist()
-                yield (name, signal, channel, tracking, len(signal))
+                channel = attrs and (number("digitisation"), number("offset"), number("range"), number("sampling_rate"), _text(attrs["channel_number"]) if "channel_number" in attrs else None)
+                tracking = {k: _text(v) for k, v in group["tracking_id"].attrs.items()} if "tracking_id" in group else None
+                raw = group["Raw/Signal"]
+                yield (name, raw[:].astype("float32").tolist() if self.signals else None, channel, tracking, int(raw.shape[0]))
 
 
 class Fast5DataSource(DataSource):

@@ -73,3 +73,17 @@ def test_labels(spark):
 
 def test_gc(spark):
     assert [round(r[0], 4) for r in reads(spark, "GGCA", "", "AT").select(dna.gc_content(F.col("sequence"))).collect()] == [0.75, 0, 0]
+
+
+def test_codes_of_32_bases(spark):
+    rng = random.Random(32)
+    texts = ["".join(rng.choice("ATCG") for _ in range(32)) for _ in range(50)] + ["G" * 32, "A" * 32, "C" * 32, "T" * 32]
+    back = lambda t: t[::-1].translate(str.maketrans("ATCG", "TAGC"))
+    number = lambda t: int(t.translate(str.maketrans("ATCG", "0123")), 4)
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    code = F.col("code")
+    df = spark.createDataFrame([(t,) for t in texts], "s string").withColumn("code", dna.encode(F.col("s")))
+    for r in df.select("s", "code", dna.decode(code, 32).alias("d"), dna.reverse_complement_code(code, 32).alias("rc"), dna.canonical(code, 32).alias("c"), dna.prefix(code).alias("p"), dna.suffix(code, 32).alias("x"), dna.edge_code(dna.prefix(code), dna.suffix(code, 32)).alias("e")).collect():
+        n, rc = number(r["s"]), number(back(r["s"]))
+        assert (r["code"], r["d"], r["rc"], r["c"]) == (signed(n), r["s"], signed(rc), signed(min(n, rc)))
+        assert (r["p"], r["x"], r["e"]) == (n >> 2, n & ((1 << 62) - 1), r["code"])
