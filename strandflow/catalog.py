@@ -249,7 +249,19 @@ def dbg_paths_backward(spark, sf):
     return _path_summary(debruijn.paths_backward(edges, ends), 1)
 
 
-@_register()
+TIPS = """loose AS (SELECT * FROM edges WHERE src <> dst),
+ways AS (SELECT 'back' AS way, src, dst, cnt FROM loose UNION ALL SELECT 'on', dst, src, cnt FROM loose),
+tied AS (SELECT way, id, count(*) FILTER (src = id) AS more, count(*) FILTER (dst = id) AS fewer FROM (SELECT *, unnest([src, dst]) AS id FROM ways) GROUP BY way, id),
+looped AS (SELECT src AS id FROM edges WHERE src = dst),
+sole AS (SELECT way, dst AS place, min(src) AS prev, min(cnt) AS w FROM ways GROUP BY way, dst HAVING count(*) = 1),
+walk AS (SELECT way, id AS place, [id] AS path, CAST(0 AS BIGINT) AS weight FROM tied WHERE more = 0 AND fewer > 0 AND id NOT IN (SELECT id FROM looped)
+UNION ALL SELECT walk.way, prev, list_prepend(prev, path), weight + w FROM walk JOIN sole ON walk.way = sole.way AND walk.place = sole.place WHERE len(path) < 12 AND NOT list_contains(path, prev)),
+ended AS (SELECT walk.* FROM walk LEFT JOIN sole ON walk.way = sole.way AND walk.place = sole.place WHERE prev IS NULL OR list_contains(path, prev)),
+tip AS (SELECT path, fewer FROM ended JOIN tied ON ended.way = tied.way AND place = id WHERE len(path) BETWEEN 2 AND 11 AND weight / (len(path) - 1) <= 2.0 AND (fewer = 0 OR more > 1)),
+gone AS (SELECT unnest(CASE WHEN fewer = 0 THEN path ELSE path[2:] END) AS id FROM tip)"""
+
+
+@_register(f"WITH RECURSIVE {edges_sql(31, 2)}, {TIPS} SELECT src, dst, cnt FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)")
 def dbg_trim_tips(spark, sf):
     return debruijn.trim_tips(materialize(graph(spark, sf, 31, 2), "graph"))[0]
 
