@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandflow.llm import anngraph, bpe, chatformat, decontam, jaccard, langid, pii, runindex, sharding, toxicity
+from strandflow.llm import anngraph, blocknorm, bpe, chatformat, decontam, hilbert, jaccard, langid, merkle, pii, runindex, sharding, toxicity
 from strandflow.session import table
 
 
@@ -56,6 +56,18 @@ def op10_ngram_jaccard(spark, sf_dir):
     return jaccard.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_shard, op3_repeated_substrings, op4_language_id, op5_embedding_links, op6_toxicity, op7_pii, op8_chat_format, op9_bpe, op10_ngram_jaccard)}
+def op11_centroids(spark, sf_dir):
+    return blocknorm.digest(table(spark, sf_dir, "embeddings"))
 
-ORACLES = {"op1_decontaminate": decontam.ORACLE, "op2_shard": sharding.ORACLE, "op3_repeated_substrings": runindex.ORACLE, "op5_embedding_links": anngraph.ORACLE, "op8_chat_format": chatformat.ORACLE, "op10_ngram_jaccard": jaccard.ORACLE}
+
+def op12_nearest(spark, sf_dir):
+    return hilbert.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_manifest(spark, sf_dir):
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_shard, op3_repeated_substrings, op4_language_id, op5_embedding_links, op6_toxicity, op7_pii, op8_chat_format, op9_bpe, op10_ngram_jaccard, op11_centroids, op12_nearest, op13_manifest)}
+
+ORACLES = {"op1_decontaminate": decontam.ORACLE, "op2_shard": sharding.ORACLE, "op3_repeated_substrings": runindex.ORACLE, "op5_embedding_links": anngraph.ORACLE, "op8_chat_format": chatformat.ORACLE, "op10_ngram_jaccard": jaccard.ORACLE, "op11_centroids": blocknorm.ORACLE, "op12_nearest": hilbert.ORACLE, "op13_manifest": merkle.ORACLE}
