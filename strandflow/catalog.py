@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import ctc, dna, records
 from strandflow.functions import signal as S
-from strandflow.operators import basecall, debruijn, network, signals
+from strandflow.operators import basecall, debruijn, network, segments, signals
 from strandflow.operators.kmers import count_kmers
+from strandflow.plans.numbering import number_within
 from strandflow.session import materialize, table
 from strandflow.streaming.signals import basecall_available, run_available
 
@@ -436,6 +437,72 @@ def sig_preprocess(spark, sf):
     return signals.long_form(out).withColumn("value", F.round("value", 6))
 
 
+# ---- signals in segments ----
+
+#: Samples of a segment in these queries; far below the library's default, so that these tables have several for each user.
+SEGMENT = 32
+
+
+def event_points(spark: SparkSession, sf: str) -> DataFrame:
+    """`long_points`, numbered without bringing a user's rows together."""
+    rows = table(spark, sf, "events").where("user_id IS NOT NULL").select(F.col("user_id").alias("read_id"), "ts", "event_id", "value")
+    return number_within(rows, "read_id", "ts", "event_id").select("read_id", "pos", "value")
+
+
+def event_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(segments.of_points(event_points(spark, sf), SEGMENT), "segments")
+
+
+@_register(ORACLES["sig_stats"])
+def sig_stats_selected(spark, sf):
+    out = signals.stats(materialize(event_points(spark, sf), "points"), gathered=0)
+    return out.select("read_id", *(F.round(c, 6).alias(c) for c in out.columns[1:-1]), "length")
+
+
+@_register(f"WITH {POINTS} SELECT read_id, CAST(s AS BIGINT) AS start, CAST(count(*) AS INTEGER) AS size, round(sum(value), 6) AS total FROM (SELECT *, pos - pos % {SEGMENT} AS s FROM points) GROUP BY read_id, s")
+def seg_chunks(spark, sf):
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return event_segments(spark, sf).select("read_id", "start", F.size("values").alias("size"), F.round(total, 6).alias("total"))
+
+
+@_register(ORACLES["sig_median_filter"])
+def seg_median_filter(spark, sf):
+    out = segments.to_points(segments.median_filter(event_segments(spark, sf), 5, SEGMENT))
+    return out.withColumn("pos", F.col("pos").cast("int"))
+
+
+@_register(ORACLES["sig_running_std"])
+def seg_running_std(spark, sf):
+    out = segments.running_std(event_segments(spark, sf), 10, SEGMENT)
+    return out.select("read_id", F.col("pos").cast("int").alias("pos"), F.round("value", 5).alias("value"))
+
+
+@_register(ORACLES["sig_spike_repair"])
+def seg_spike_repair(spark, sf):
+    out = segments.repair_spikes(event_segments(spark, sf), 60.0, 3, SEGMENT)
+    return out.select("read_id", F.col("pos").cast("int").alias("pos"), "is_spike", F.round("value", 6).alias("value"))
+
+
+@_register(ORACLES["sig_open_pore"])
+def seg_open_pore(spark, sf):
+    out = segments.regions(event_segments(spark, sf), 20.0, 18.0, 3)
+    return out.select("read_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+
+
+@_register(f"""WITH {POINTS}, n AS (SELECT read_id, count(*) AS n FROM points GROUP BY read_id), j AS (SELECT a.read_id, a.pos, abs(b.value - a.value) / 8 AS d FROM points a JOIN points b ON a.read_id = b.read_id AND b.pos = a.pos + 8),
+best AS (SELECT read_id, max(d) AS d FROM j GROUP BY read_id), place AS (SELECT j.read_id, min(j.pos) AS p, any_value(best.d) AS d FROM j JOIN best ON j.read_id = best.read_id AND j.d = best.d GROUP BY j.read_id),
+found AS (SELECT read_id, n, CASE WHEN n < 16 THEN 0 WHEN d < 1.0 THEN 4 ELSE greatest(p + 4, 4) END AS p FROM n LEFT JOIN place USING (read_id)), cut AS (SELECT read_id, CASE WHEN p >= n AND n >= 16 THEN 4 ELSE p END AS p FROM found)
+SELECT read_id, pos - p AS pos, value FROM points JOIN cut USING (read_id) WHERE pos >= p""")
+def seg_trim(spark, sf):
+    whole = event_segments(spark, sf)
+    return segments.to_points(segments.trim(whole, segments.trim_position(whole, 8, 1.0, 4, SEGMENT), SEGMENT))
+
+
+@_register(f"WITH {POINTS}, {MEDIANS} SELECT read_id, pos, round(greatest(-5.0, least(5.0, (value - m) / (d * 1.4826))), 6) AS value FROM points JOIN spread USING (read_id)")
+def seg_normalize(spark, sf):
+    return segments.to_points(segments.normalize(event_segments(spark, sf), 5.0, gathered=0)).withColumn("value", F.round("value", 6))
+
+
 # ---- decoding ----
 
 LP = f"""{SIGNALS}, z AS (SELECT read_id, t, list_transform(signal[t * 5 + 1:t * 5 + 5], lambda x: x * 10) AS row FROM signals, (SELECT unnest(range(12)) AS t)),
@@ -510,12 +577,24 @@ def net_output_length(spark, sf):
 SMALL_NET = network.NetConfig(conv_channels=(8, 16), kernels=(5, 5), strides=(2, 1), gru_hidden=16, gru_layers=1)
 
 
-@_register()
-def basecall_logits(spark, sf):
-    lp = network.infer(short_signals(spark, sf), network.random_weights(SMALL_NET), SMALL_NET)
+def _mass(lp: DataFrame) -> DataFrame:
+    """Steps and the sum of all probabilities, which must be the number of steps."""
     return lp.select("read_id", F.size("lp").alias("steps"), F.round(F.aggregate("lp", F.lit(0.0), lambda a, r: a + F.aggregate(r, F.lit(0.0), lambda b, x: b + F.exp(x))), 3).alias("mass"))
 
 
+@_register(f"WITH {SIGNALS} SELECT read_id, CAST((len(signal) + 1) // 2 AS INTEGER) AS steps, CAST((len(signal) + 1) // 2 AS DOUBLE) AS mass FROM signals")
+def basecall_logits(spark, sf):
+    return _mass(network.infer(short_signals(spark, sf), network.random_weights(SMALL_NET), SMALL_NET))
+
+
+@_register(f"WITH {POINTS}, c AS (SELECT read_id, pos // 512 AS part, count(*) AS n FROM points GROUP BY ALL) SELECT read_id, part, CAST((n + 1) // 2 AS INTEGER) AS steps, CAST((n + 1) // 2 AS DOUBLE) AS mass FROM c")
+def basecall_events(spark, sf):
+    """The network over a user's events in chunks of at most 512: signals of many lengths in one pass."""
+    parts = segments.of_points(event_points(spark, sf), 512)
+    lp = network.infer(parts.select(F.struct("read_id", F.col("segment").alias("part")).alias("read_id"), F.col("values").alias("signal")), network.random_weights(SMALL_NET), SMALL_NET)
+    return _mass(lp).select("read_id.read_id", "read_id.part", "steps", "mass")
+
+
 def _calls(spark, sf):
     return basecall.basecall(short_signals(spark, sf), network.random_weights(SMALL_NET), SMALL_NET, trim_window=8, trim_threshold=0.05, min_trim=4)
 

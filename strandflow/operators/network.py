@@ -115,17 +115,65 @@ def residual_block(x: np.ndarray, w: dict[str, np.ndarray], name: str) -> np.nda
     return x + conv_block(conv_block(x, w, f"{name}a"), w, f"{name}b")
 
 
-def _gru(x: np.ndarray, w: dict[str, np.ndarray], name: str, hidden: int) -> np.ndarray:
-    """(signals, steps, hidden) of (signals, steps, width); gates in the order reset, update, new."""
+def _gru(x: np.ndarray, w: dict[str, np.ndarray], name: str, hidden: int, active: np.ndarray) -> np.ndarray:
+    """(entries, hidden) of packed (entries, width): step t is the next `active[t]` entries, of the first so many signals.
+
+    Gates are in the order reset, update, new.
+    """
     inputs = x @ w[f"{name}.wi"].T + w[f"{name}.bi"]
-    h, out = np.zeros((len(x), hidden), x.dtype), np.empty((*x.shape[:2], hidden), x.dtype)
     wh, bh = w[f"{name}.wh"].T, w[f"{name}.bh"]
-    for t in range(x.shape[1]):
-        g, i = h @ wh + bh, inputs[:, t]
-        both = 1 / (1 + np.exp(-(i[:, : 2 * hidden] + g[:, : 2 * hidden])))
+    h, out = np.zeros((active[0] if len(active) else 0, hidden), x.dtype), np.empty((len(x), hidden), x.dtype)
+    at = 0
+    for n in active:
+        h = h[:n]  # the signals that have ended are the last ones
+        g, i = h @ wh + bh, inputs[at : at + n]
+        both = 0.5 + 0.5 * np.tanh(0.5 * (i[:, : 2 * hidden] + g[:, : 2 * hidden]))  # the logistic function, which cannot overflow so
         new = np.tanh(i[:, 2 * hidden :] + both[:, :hidden] * g[:, 2 * hidden :])
         h = (1 - both[:, hidden:]) * new + both[:, hidden:] * h
-        out[:, t] = h
+        out[at : at + n] = h
+        at += n
+    return out
+
+
+def forward_packed(signals: list[np.ndarray], w: dict[str, np.ndarray], config: NetConfig = NetConfig()) -> list[np.ndarray]:
+    """(steps, classes) log-probabilities of each signal, of any lengths, in one pass.
+
+    Convolutions run over signals padded to the longest; what lies beyond a signal's end is set to 0 after each, as the
+    padding of the signal alone would be. Then only steps that exist are kept, ordered by step and, within a step, by
+    falling length: a recurrent step works on the signals that are still going on. The backward direction reads each
+    signal's entries from its own end.
+    """
+    empty = np.zeros((0, config.classes), np.float32)
+    order = [i for i in sorted(range(len(signals)), key=lambda i: -len(signals[i])) if len(signals[i])]
+    if not order:
+        return [empty] * len(signals)
+    lengths = np.array([len(signals[i]) for i in order])
+    x = np.zeros((len(order), 1, lengths[0]), np.float32)
+    for r, i in enumerate(order):
+        x[r, 0, : lengths[r]] = signals[i]
+    for i, (k, s) in enumerate(zip(config.kernels, config.strides)):
+        x = conv_block(x, w, f"conv{i}", s)
+        lengths = np.maximum((lengths + 2 * ((k - 1) // 2) - k) // s + 1, 0)
+        x *= np.arange(x.shape[2]) < lengths[:, None, None]
+    steps = np.arange(x.shape[2])
+    there = steps[:, None] < lengths[None, :]
+    step, row = np.nonzero(there)
+    active = there.sum(1)
+    active = active[active > 0]
+    first = np.concatenate([[0], np.cumsum(active)])
+    mirrored = first[lengths[row] - 1 - step] + row
+    x = x[row, :, step]
+    for i in range(config.gru_layers):
+        back = np.empty((len(x), config.gru_hidden), x.dtype)
+        back[mirrored] = _gru(x[mirrored], w, f"gru{i}b", config.gru_hidden, active)
+        x = np.concatenate([_gru(x, w, f"gru{i}f", config.gru_hidden, active), back], 1)
+        x = (x - x.mean(1, keepdims=True)) / np.sqrt(x.var(1, keepdims=True) + 1e-5) * w[f"norm{i}.scale"] + w[f"norm{i}.shift"]
+    z = x @ w["out.w"].T + w["out.b"]
+    z = z - z.max(1, keepdims=True)
+    z = z - np.log(np.exp(z).sum(1, keepdims=True))
+    out = [empty] * len(signals)
+    for r, i in enumerate(order):
+        out[i] = z[first[: lengths[r]] + r]
     return out
 
 
@@ -133,37 +181,27 @@ def forward(signals: np.ndarray, w: dict[str, np.ndarray], config: NetConfig = N
     """(signals, steps, classes) log-probabilities of signals of one length; (steps, classes) of one signal."""
     x = np.asarray(signals, np.float32)
     if x.ndim == 1:
-        return forward(x[None], w, config)[0]
+        return forward_packed([x], w, config)[0]
     if not x.size:
         return np.zeros((len(x), 0, config.classes), np.float32)
-    x = x[:, None, :]
-    for i, s in enumerate(config.strides):
-        x = conv_block(x, w, f"conv{i}", s)
-    x = x.transpose(0, 2, 1)
-    for i in range(config.gru_layers):
-        x = np.concatenate([_gru(x, w, f"gru{i}f", config.gru_hidden), _gru(x[:, ::-1], w, f"gru{i}b", config.gru_hidden)[:, ::-1]], 2)
-        x = (x - x.mean(2, keepdims=True)) / np.sqrt(x.var(2, keepdims=True) + 1e-5) * w[f"norm{i}.scale"] + w[f"norm{i}.shift"]
-    z = x @ w["out.w"].T + w["out.b"]
-    z = z - z.max(2, keepdims=True)
-    return z - np.log(np.exp(z).sum(2, keepdims=True))
+    return np.stack(forward_packed(list(x), w, config))
 
 
-#: Samples of the signals that go through the network together.
+#: Samples, padding included, of the signals that go through the network together.
 BATCH_SAMPLES = 1 << 18
 
 
 def _log_probs(signals: list[np.ndarray], w: dict[str, np.ndarray], config: NetConfig) -> list[list]:
-    """Log-probabilities of each signal; those of one length run together."""
-    by_length: dict[int, list[int]] = {}
-    for i, x in enumerate(signals):
-        by_length.setdefault(len(x), []).append(i)
+    """Log-probabilities of each signal; neighbours in length run together."""
+    order = sorted(range(len(signals)), key=lambda i: -len(signals[i]))
     out: list = [None] * len(signals)
-    for n, rows in by_length.items():
-        step = max(BATCH_SAMPLES // max(n, 1), 1)
-        for at in range(0, len(rows), step):
-            some = rows[at : at + step]
-            for i, lp in zip(some, forward(np.stack([signals[i] for i in some]), w, config)):
-                out[i] = lp.astype(float).tolist()
+    at = 0
+    while at < len(order):
+        step = max(BATCH_SAMPLES // max(len(signals[order[at]]), 1), 1)
+        some = order[at : at + step]
+        for i, lp in zip(some, forward_packed([signals[i] for i in some], w, config)):
+            out[i] = lp.astype(float).tolist()
+        at += step
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions import signal as S
+from strandflow.plans import selection
 from strandflow.plans.numbering import number_rows
 from strandflow.session import materialize
 
@@ -79,14 +80,43 @@ def median_filter_points(points: DataFrame, kernel: int = 5) -> DataFrame:
     return points.select("read_id", "pos", F.element_at(window, F.shiftright(F.size(window), 1) + 1).alias("value"))
 
 
-def stats(points: DataFrame) -> DataFrame:
-    """(read_id, median, mad, std_equivalent, mean, std, min, max, length)."""
-    first = points.groupBy("read_id").agg(
-        F.median("value").alias("median"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("length"))
-    spread = points.join(first.select("read_id", "median"), "read_id").groupBy("read_id").agg(F.median(F.abs(F.col("value") - F.col("median"))).alias("m"))
+#: Values of a read that one group may sort; the medians of larger reads are selected in rounds over all tasks.
+GATHERED = 1 << 20
+
+
+def _median_mad(points: DataFrame) -> DataFrame:
+    """(read_id, median, m) with each read's values in one group."""
+    center = points.groupBy("read_id").agg(F.median("value").alias("median"))
+    spread = points.join(center, "read_id").groupBy("read_id").agg(F.median(F.abs(F.col("value") - F.col("median"))).alias("m"))
+    return center.join(spread, "read_id")
+
+
+def _selected_median_mad(points: DataFrame) -> DataFrame:
+    values = points.select(F.col("read_id").alias("key"), "value")
+    center = materialize(selection.medians(values), "medians")
+    spread = selection.medians(selection.deviations(values, center))
+    return center.join(spread.withColumnRenamed("median", "m"), "key").withColumnRenamed("key", "read_id")
+
+
+def stats(points: DataFrame, gathered: int = GATHERED) -> DataFrame:
+    """(read_id, median, mad, std_equivalent, mean, std, min, max, length).
+
+    The values of a read of more than `gathered` are never brought to one task. Rows without read_id or value are left out.
+    """
+    points = points.where("read_id IS NOT NULL AND value IS NOT NULL")
+    first = materialize(points.groupBy("read_id").agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("length")), "stats")
+    large = first.where(F.col("length") > gathered).select("read_id")
+    n_large, n = large.count(), first.count()
+    if n_large == 0:
+        found = _median_mad(points)
+    elif n_large == n:
+        found = _selected_median_mad(points)
+    else:
+        # at most one in `gathered` rows names a large read
+        found = _selected_median_mad(points.join(large, "read_id", "left_semi")).unionByName(_median_mad(points.join(large, "read_id", "left_anti")))
     mad = F.when(F.col("m") == 0, S.LEAST_MAD).otherwise(F.col("m"))
-    return first.join(spread, "read_id").select("read_id", "median", mad.alias("mad"), (mad * S.MAD_SCALE).alias("std_equivalent"), "mean", "std", "min", "max", "length")
+    return first.join(found, "read_id").select("read_id", "median", mad.alias("mad"), (mad * S.MAD_SCALE).alias("std_equivalent"), "mean", "std", "min", "max", "length")
 
 
 @dataclass(frozen=True)

@@ -62,3 +62,43 @@ def test_a_file_is_called_and_written(spark, tmp_path):
     calls = basecall.basecall_file(spark, f"file://{tmp_path}/in", network.random_weights(small), small, source="parquet", max_reads=3, fastq=f"file://{tmp_path}/q", fasta=f"file://{tmp_path}/a")
     assert sorted(r["read_id"] for r in calls.collect()) == [0, 1, 2]
     assert spark.read.text(f"file://{tmp_path}/q").where("value LIKE '@%'").count() >= 3 and spark.read.text(f"file://{tmp_path}/a").where("value LIKE '>%'").count() == 3
+
+
+def test_signals_of_any_lengths_run_together():
+    """Packed steps and both directions, against one signal at a time and against plain loops over one step at a time."""
+    rng = np.random.default_rng(4)
+    for conf in (network.NetConfig((4, 8), (5, 3), (2, 2), 8, 2), network.NetConfig((3,), (5,), (1,), 4, 1)):
+        w = network.random_weights(conf, 5)
+        w |= {k: rng.normal(size=v.shape).astype(np.float32) * 0.3 for k, v in w.items() if k.split(".")[1] in ("shift", "bi", "bh", "b")}
+        signals = [rng.normal(size=n).astype(np.float32) for n in (5, 0, 101, 1, 100, 37, 101, 2)]
+        together = network.forward_packed(signals, w, conf)
+        for x, lp in zip(signals, together):
+            assert lp.shape == (conf.output_length(len(x)) if len(x) else 0, 5)
+            if len(x):
+                np.testing.assert_allclose(lp, network.forward_packed([x], w, conf)[0], atol=1e-5)
+                np.testing.assert_allclose(lp, plain_forward(x, w, conf), atol=1e-4)
+
+
+def plain_forward(x, w, conf):
+    x = x[None].astype(np.float64)
+    for i, (k, s) in enumerate(zip(conf.kernels, conf.strides)):
+        x = np.pad(x, ((0, 0), ((k - 1) // 2,) * 2))
+        y = np.array([[(x[:, t : t + k] * f).sum() for t in range(0, x.shape[1] - k + 1, s)] for f in w[f"conv{i}.w"]])
+        y = y * (w[f"conv{i}.scale"] / np.sqrt(1 + 1e-5))[:, None] + w[f"conv{i}.shift"][:, None]
+        x = 0.5 * y * (1 + np.vectorize(__import__("math").erf)(y / np.sqrt(2)))
+    x = x.T
+    logistic = lambda z: 1 / (1 + np.exp(-z))
+    for i in range(conf.gru_layers):
+        ways = []
+        for d, steps in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            h, out, n = np.zeros(conf.gru_hidden), np.zeros((len(x), conf.gru_hidden)), conf.gru_hidden
+            for t in steps:
+                a, b = w[f"gru{i}{d}.wi"] @ x[t] + w[f"gru{i}{d}.bi"], w[f"gru{i}{d}.wh"] @ h + w[f"gru{i}{d}.bh"]
+                r, z = logistic(a[:n] + b[:n]), logistic(a[n : 2 * n] + b[n : 2 * n])
+                h = (1 - z) * np.tanh(a[2 * n :] + r * b[2 * n :]) + z * h
+                out[t] = h
+            ways.append(out)
+        x = np.hstack(ways)
+        x = (x - x.mean(1, keepdims=True)) / np.sqrt(x.var(1, keepdims=True) + 1e-5) * w[f"norm{i}.scale"] + w[f"norm{i}.shift"]
+    z = x @ w["out.w"].T + w["out.b"]
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
