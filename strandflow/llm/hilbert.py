@@ -40,7 +40,7 @@ from strandflow.session import materialize
 TOP, EVERY = 20, 20
 CURVES, DIMENSIONS, BITS = 3, 6, 10
 FIT = 4096
-BLOCK, SPAN, WINDOW = 1024, 16, 1
+BLOCK, SPAN, WINDOW = 1024, 64, 1
 #: Share of the true neighbours of `AUDIT` query classes that must be found; above the 0.9 that the whole table must reach.
 RECALL, AUDIT = 0.94, 400
 #: Queries of a cell that are compared at a time.
