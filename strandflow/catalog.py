@@ -7,6 +7,8 @@ an embedding as 12 steps of 5 classes.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from strandflow.functions import signal as S
 from strandflow.operators import basecall, debruijn, network, segments, signals
 from strandflow.operators.kmers import count_kmers
 from strandflow.plans.numbering import number_within
-from strandflow.session import materialize, table
+from strandflow.session import materialize, shared_dir, table
+from strandflow.sources import fasta, records_sink
 from strandflow.streaming.signals import basecall_available, run_available
 
 QUERIES: dict = {}
@@ -569,6 +572,24 @@ def fastq_records(spark, sf):
     return reads(spark, sf).select("read_id", records.fastq(F.col("read_id").cast("string"), F.col("sequence"), F.when(F.col("read_id") % 3 != 0, scores)).alias("record"))
 
 
+@_register(f"WITH {READS} SELECT CAST(read_id AS VARCHAR) AS read_id, CASE WHEN read_id % 5 > 0 THEN 'mean_q=' || printf('%.3f', (read_id % 5) / 5.0) ELSE '' END AS description, sequence FROM reads")
+def fasta_round_trip(spark, sf):
+    """Every read written as FASTA by Spark, and read again."""
+    path = f"{shared_dir(spark).rstrip('/')}/fasta-{uuid.uuid4().hex}"
+    fasta.write_records(fasta_records(spark, sf), path)
+    return fasta.read_fasta(spark, path)
+
+
+@_register(f"WITH {READS} SELECT read_id, sequence, CAST(length(sequence) AS INTEGER) AS n_scores, CAST(coalesce(list_sum(list_transform(string_split(sequence, ''), lambda c: CASE WHEN c = '' THEN 0 WHEN read_id % 3 = 0 THEN 40 ELSE 17 * (strpos('ATCG', c) - 1) - CASE WHEN c = 'G' THEN 11 ELSE 0 END END)), 0) AS BIGINT) AS total FROM reads")
+def fastq_round_trip(spark, sf):
+    """Every read written as numbered FASTQ parts by the sink, and read again."""
+    path = f"{shared_dir(spark).rstrip('/')}/fastq-{uuid.uuid4().hex}"
+    records_sink.write_file(fastq_records(spark, sf), path, single=False, extension=".fastq")
+    back = fasta.read_fastq(spark, path)
+    total = F.aggregate("quality_scores", F.lit(0).cast("long"), lambda a, x: a + x)
+    return back.select(F.col("read_id").cast("long").alias("read_id"), "sequence", F.size("quality_scores").alias("n_scores"), total.alias("total"))
+
+
 @_register(f"WITH {READS} SELECT read_id, CAST((((length(sequence) + 1) // 2 + 1) // 2 + 1) // 2 AS INTEGER) AS steps FROM reads")
 def net_output_length(spark, sf):
     return reads(spark, sf).select("read_id", network.output_length(F.length("sequence")).alias("steps"))

@@ -14,6 +14,7 @@ from strandflow.operators import network, signals
 from strandflow.session import materialize
 from strandflow.sources.fast5 import register as register_fast5
 from strandflow.sources.fasta import write_records
+from strandflow.sources.records_sink import write_file
 
 
 @dataclass(frozen=True)
@@ -65,8 +66,10 @@ def basecall(reads: DataFrame, weights: dict[str, np.ndarray], config: network.N
 
 
 def basecall_file(spark: SparkSession, path: str, weights: dict[str, np.ndarray], config: network.NetConfig = network.NetConfig(), *, source: str = "fast5",
-                  max_reads: int | None = None, fastq: str | None = None, fasta: str | None = None, **preprocessing) -> DataFrame:
-    """Basecalls of the reads of a file (of the first `max_reads` by read_id), also written as FASTQ or FASTA folders.
+                  max_reads: int | None = None, fastq: str | None = None, fasta: str | None = None, single_file: bool = False, **preprocessing) -> DataFrame:
+    """Basecalls of the reads of a file (of the first `max_reads` by read_id), also written as FASTQ or FASTA.
+
+    These are folders of text in any store, or with `single_file` one file each, on a shared disk; records are in the order of read_id.
 
     `source` names the data source: multi-read HDF5, or any other with columns read_id and signal.
     """
@@ -77,10 +80,11 @@ def basecall_file(spark: SparkSession, path: str, weights: dict[str, np.ndarray]
         found = found.orderBy("read_id").limit(max_reads)
     calls = materialize(basecall(found.select("read_id", F.col("signal").cast("array<double>").alias("signal")), weights, config, **preprocessing), "calls")
     name = F.col("read_id").cast("string")
+    write = write_file if single_file else write_records
     if fastq:
-        write_records(calls.select("read_id", records.fastq(name, F.col("sequence"), F.col("quality_scores")).alias("record")), fastq, order_by="read_id")
+        write(calls.select("read_id", records.fastq(name, F.col("sequence"), F.col("quality_scores")).alias("record")), fastq, order_by="read_id")
     if fasta:
-        write_records(calls.select("read_id", records.fasta(name, F.col("sequence"), F.col("mean_confidence")).alias("record")), fasta, order_by="read_id")
+        write(calls.select("read_id", records.fasta(name, F.col("sequence"), F.col("mean_confidence")).alias("record")), fasta, order_by="read_id")
     return calls
 
 

@@ -101,3 +101,42 @@ def test_fastq_reader(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     want = {i: (d, s, [ord(c) - 33 for c in q]) for i, d, s, q in records} | {"z": ("", "AC", [31, 31])}
     assert got == want
+
+
+def test_records_sink(spark, tmp_path):
+    from strandflow.sources import records_sink
+
+    rows = [(i, f"@r{i}\nACGT\n+\nII@I") for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, record string").repartition(7)
+    want = "".join(r + "\n" for _, r in rows)
+    records_sink.write_file(df, f"file://{tmp_path}/out/one.fastq", order_by="i")
+    assert (tmp_path / "out/one.fastq").read_text() == want and os.listdir(tmp_path / "out") == ["one.fastq"]
+    assert sorted(map(tuple, fasta.read_fastq(spark, f"file://{tmp_path}/out/one.fastq").select("read_id", "sequence", "quality_scores").collect())) == sorted((f"r{i}", "ACGT", [40, 40, 31, 40]) for i, _ in rows)
+    folder = tmp_path / "parts"
+    records_sink.write_file(df, str(folder), order_by="i", single=False, extension=".fastq")
+    names = sorted(os.listdir(folder))
+    assert names == [f"part-{i:06d}.fastq" for i in range(len(names))] and "".join((folder / n).read_text() for n in names) == want
+    records_sink.write_file(df.limit(1), str(folder), single=False, extension=".fastq", append=True)
+    assert len(os.listdir(folder)) == len(names) + 1
+    records_sink.write_file(df.where("i < 3"), str(folder), order_by="i", single=False)
+    assert "".join((folder / n).read_text() for n in sorted(os.listdir(folder))) == "".join(r + "\n" for _, r in rows[:3])
+    records_sink.write_file(df.limit(0), str(tmp_path / "empty.fa"))
+    assert (tmp_path / "empty.fa").read_text() == ""
+
+
+def test_a_failed_task_leaves_no_file(spark, tmp_path):
+    from strandflow.sources import records_sink
+
+    df = spark.range(0, 100, 1, 4).select(F.when(F.col("id") == 99, F.raise_error(F.lit("broken"))).otherwise("ok").alias("record"))
+    for single in (True, False):
+        with pytest.raises(Exception, match="broken"):
+            records_sink.write_file(df, str(tmp_path / "x"), single=single)
+        assert os.listdir(tmp_path) == []
+    (tmp_path / "x").write_text("as it was\n")
+    with pytest.raises(Exception, match="broken"):
+        records_sink.write_file(df, str(tmp_path / "x"))
+    assert (tmp_path / "x").read_text() == "as it was\n" and os.listdir(tmp_path) == ["x"]
+    with pytest.raises(Exception, match="exists"):
+        records_sink.write_file(spark.createDataFrame([("a",)], "record string"), str(tmp_path / "x"), append=True)
+    with pytest.raises(Exception, match="shared disk"):
+        records_sink.write_file(spark.createDataFrame([("a",)], "record string"), "s3://x/y")
