@@ -27,6 +27,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,17 +163,19 @@ def _ranked(i: np.ndarray, first: np.ndarray, score: np.ndarray, top: int) -> np
     return order[np.arange(len(i)) - np.searchsorted(sorted_, sorted_) < top]
 
 
-def best_of(q: np.ndarray, c: np.ndarray, first: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, row of c, score) of the `top` best of c for each row of q, by score and then `first`."""
+def best_of(q: np.ndarray, c: np.ndarray, first: np.ndarray, top: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of c, score) of the `top` best of c for each row of q, by score and then `first`; none below a query's `least`."""
     rows, columns, scores = [], [], []
     size = np.sqrt((c * c).sum(1)).max(initial=0)
     for at in range(0, len(q), ROWS):
         part = q[at : at + ROWS]
         near = part @ c.T
         k = min(top, len(c))
-        least = np.partition(near, len(c) - k, axis=1)[:, len(c) - k]
+        worst = np.partition(near, len(c) - k, axis=1)[:, len(c) - k]
+        if least is not None:
+            worst = np.maximum(worst, least[at : at + ROWS])
         slack = 1e-12 * size * np.sqrt((part * part).sum(1))  # far above the rounding of either sum
-        i, j = np.nonzero(near >= (least - slack)[:, None])
+        i, j = np.nonzero(near >= (worst - slack)[:, None])
         exact = np.empty(len(i))
         for s in range(0, len(i), 1 << 16):
             exact[s : s + (1 << 16)] = (part[i[s : s + (1 << 16)]] * c[j[s : s + (1 << 16)]]).sum(1)
@@ -186,15 +189,16 @@ def best_of(q: np.ndarray, c: np.ndarray, first: np.ndarray, top: int) -> tuple[
 _FOUND = "q binary, c binary, first long, score double"
 
 
-def _found(q_cls, c_cls, first: np.ndarray, q: np.ndarray, c: np.ndarray, top: int) -> pa.Table:
-    i, j, score = best_of(q, c, first, top) if len(q) and len(c) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+def _found(q_cls, c_cls, first: np.ndarray, q: np.ndarray, c: np.ndarray, top: int, least: np.ndarray) -> pa.Table:
+    i, j, score = best_of(q, c, first, top, least) if len(q) and len(c) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     return pa.table({"q": q_cls.take(pa.array(i)), "c": c_cls.take(pa.array(j)), "first": pa.array(first[j]), "score": pa.array(score)})
 
 
 def _cell(top: int, width: str):
     def run(key, queries: pa.Table, block: pa.Table) -> pa.Table:
         first = block.column("first").to_numpy()
-        return _found(queries.column("cls").combine_chunks(), block.column("cls").combine_chunks(), first, _matrix(queries.column("vec"), width), _matrix(block.column("vec"), width), top)
+        least = queries.column("least").to_numpy()
+        return _found(queries.column("cls").combine_chunks(), block.column("cls").combine_chunks(), first, _matrix(queries.column("vec"), width), _matrix(block.column("vec"), width), top, least)
 
     return run
 
@@ -262,13 +266,19 @@ def _search(classes: DataFrame, *, top: int, block: int, window: int, curves: in
         # every block on one curve is every class, whatever the curve
         on = blocks.where("curve = 0") if whole else blocks
         asked = queries.where("curve = 0") if whole else queries
+        if best is None:
+            asked = asked.withColumn("least", F.lit(-math.inf))
+        else:
+            # what a query has already: nothing below the last of a full list can enter it
+            full = best.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == top).select(F.col("q").alias("cls"), "least")
+            asked = asked.join(full, "cls", "left").withColumn("least", F.coalesce("least", F.lit(-math.inf)))
         homes = asked.withColumn("block", F.explode(F.expr(f"sequence(greatest(home - {window}, 0), least(home + {window}, {last}))"))).where(F.abs(F.col("block") - F.col("home")) > done)
         homes = homes.withColumn("span", F.expr(f"home div {SPAN}"))
         least, greatest = F.col("span") * SPAN, F.col("span") * SPAN + SPAN - 1
         dealt = on.withColumn("span", F.explode(F.expr(f"sequence(greatest(block - {window}, 0) div {SPAN}, least(block + {window}, {last}) div {SPAN})")))
         dealt = dealt.where(F.greatest(F.abs(F.col("block") - least), F.abs(greatest - F.col("block"))) > done)
         cell = ["curve", "block", "span"]
-        found = homes.select(*cell, "cls", "vec").groupBy(*cell).cogroup(dealt.select(*cell, "cls", "vec", "first").groupBy(*cell)).applyInArrow(_cell(top, width), _FOUND)
+        found = homes.select(*cell, "cls", "vec", "least").groupBy(*cell).cogroup(dealt.select(*cell, "cls", "vec", "first").groupBy(*cell)).applyInArrow(_cell(top, width), _FOUND)
         best = materialize(_merged(found if best is None else best.unionByName(found), top), "curve-best")
         lists = _listed(best, classes, top)
         if whole:
