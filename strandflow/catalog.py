@@ -119,6 +119,14 @@ def kmer_nodes(spark, sf):
     return count_kmers(reads(spark, sf), 6).select("kmer", src.alias("prefix"), dst.alias("suffix"), dna.edge_code(src, dst).alias("edge"), dna.extend_right(dst, F.lit(2), 6).alias("extended"))
 
 
+@_register(f"WITH {READS}, w AS (SELECT read_id, substr(sequence, i, 9) AS w FROM (SELECT read_id, sequence, unnest(generate_series(1, length(sequence) - 8)) AS i FROM reads WHERE length(sequence) >= 9)) SELECT read_id, count(*) AS n, CAST(sum({code_sql('w')}) AS BIGINT) AS total, count(DISTINCT w) AS n_different FROM w GROUP BY read_id")
+def kmer_windows(spark, sf):
+    """All k-mers of each read in order, repeated ones too."""
+    codes = dna.kmers(F.col("sequence"), 9)
+    each = reads(spark, sf).select("read_id", codes.alias("codes")).where(F.size("codes") > 0)
+    return each.select("read_id", F.size("codes").cast("long").alias("n"), F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size(F.array_distinct("codes")).cast("long").alias("n_different"))
+
+
 @_register(f"WITH {READS} SELECT read_id, regexp_replace(translate(reverse(sequence), 'ATCG', 'TAGC'), '[^ATCG]', 'N', 'g') AS reverse_bases FROM reads")
 def reverse_complement(spark, sf):
     return reads(spark, sf).select("read_id", dna.reverse_complement(F.col("sequence")).alias("reverse_bases"))
@@ -214,7 +222,7 @@ def dbg_in_neighbors(spark, sf):
     return found.select("id", F.size("neighbors").cast("long").alias("n_before"), total.alias("weight"), F.array_min(F.map_keys("neighbors")).alias("least_before"))
 
 
-@_register(f"WITH {edges_sql(K, LEAST)} SELECT e.dst AS src, e.src AS dst, coalesce(b.cnt, 0) AS cnt FROM edges e LEFT JOIN edges b ON b.src = e.dst AND b.dst = e.src")
+@_register(f"WITH {edges_sql(K, LEAST).replace('edges AS (', 'edges AS MATERIALIZED (')} SELECT e.dst AS src, e.src AS dst, coalesce(b.cnt, 0) AS cnt FROM edges e LEFT JOIN edges b ON b.src = e.dst AND b.dst = e.src")
 def dbg_edge_counts(spark, sf):
     edges = materialize(graph(spark, sf), "graph")
     return debruijn.edge_counts(edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -230,6 +238,22 @@ def dbg_node_table(spark, sf):
     return known.join(tied, "id", "left").select("id", F.col("tied").isNull().alias("isolated"))
 
 
+@_register(f"WITH {edges_sql(K, LEAST).replace('edges AS (', 'edges AS MATERIALIZED (')} SELECT src, dst, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT src, dst, cnt FROM edges UNION ALL SELECT dst, src, 1 FROM edges WHERE cnt >= 3 UNION ALL SELECT src, dst, 2 FROM edges WHERE cnt < 3) GROUP BY src, dst")
+def dbg_add_edges(spark, sf):
+    """New edges and more weight of known ones."""
+    edges = materialize(graph(spark, sf), "graph")
+    back = edges.where("cnt >= 3").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).cast("long").alias("cnt"))
+    return debruijn.add_edges(edges, back.unionByName(edges.where("cnt < 3").select("src", "dst", F.lit(2).cast("long").alias("cnt"))))
+
+
+@_register(f"WITH {edges_sql(K, LEAST)} SELECT src, dst, cnt FROM edges WHERE (src + dst) % 3 > 0")
+def dbg_remove_edges(spark, sf):
+    """Edges without named ones; edges that are not there may be named too."""
+    edges = materialize(graph(spark, sf), "graph")
+    named = edges.where("(src + dst) % 3 = 0").select("src", "dst")
+    return debruijn.remove_edges(edges, named.unionByName(named.select(F.lit(-1).cast("long").alias("src"), "dst")))
+
+
 def paths_sql(here: str, there: str, starts: str) -> str:
     return f"""WITH RECURSIVE {edges_sql(K, LEAST)}, {DEGREES}, sole AS (SELECT {here} AS a, min({there}) AS b, min(cnt) AS cnt FROM edges GROUP BY {here} HAVING count(*) = 1),
 walk AS (SELECT id, id AS node, 0 AS n, CAST(0 AS BIGINT) AS weight FROM deg WHERE {starts} UNION ALL SELECT id, b, n + 1, weight + cnt FROM walk JOIN sole ON node = a WHERE n < 1000 AND (n = 0 OR node <> id))
@@ -270,7 +294,14 @@ def dbg_trim_tips(spark, sf):
     return debruijn.trim_tips(materialize(graph(spark, sf, 31, 2), "graph"))[0]
 
 
-@_register()
+@_register(f"""WITH RECURSIVE {edges_sql(31, 2).replace("edges AS", "edges AS MATERIALIZED")}, forks AS (SELECT src AS start FROM edges GROUP BY src HAVING count(*) >= 2),
+walk AS (SELECT start, dst AS spot, [start, dst] AS path, cnt AS weight, 1 AS n FROM forks JOIN edges ON src = start
+ UNION ALL SELECT start, dst, list_append(path, dst), weight + cnt, n + 1
+ FROM (SELECT *, bool_or(met) OVER (PARTITION BY start) AS done FROM (SELECT *, count(*) OVER (PARTITION BY start, spot) > 1 AS met FROM walk)) w JOIN edges ON src = spot
+ WHERE NOT done AND spot <> start AND n < 100 AND (dst = start OR NOT list_contains(path, dst))),
+met AS (SELECT *, count(*) OVER (PARTITION BY start, n, spot) AS c FROM walk), found AS (SELECT * FROM met WHERE c > 1 QUALIFY spot = min(spot) OVER (PARTITION BY start)),
+two AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY path) AS side FROM found QUALIFY side <= 2)
+SELECT start, any_value(spot) AS "end", CAST(any_value(n) + 1 AS INTEGER) AS nodes, CAST(max(weight) AS BIGINT) AS heavier, CAST(min(weight) AS BIGINT) AS lighter FROM two GROUP BY start""")
 def dbg_bubbles(spark, sf):
     found = debruijn.find_bubbles(materialize(graph(spark, sf, 31, 2), "graph"))
     return found.select("start", "end", F.size(F.col("paths")[0]).alias("nodes"), F.col("weights")[0].alias("heavier"), F.col("weights")[1].alias("lighter"))

@@ -195,33 +195,75 @@ def trim_tips(edges: DataFrame, conf: Simplification = Simplification()) -> tupl
     return remove_nodes(edges, gone), tips
 
 
+def stretches(edges: DataFrame, max_length: int = 100) -> DataFrame:
+    """(head, via, place, node, cnt): the forced ways on, place 1, 2, ... along each, cnt of the edge that leads to the node.
+
+    A stretch begins with any edge out of a junction (a node without exactly one edge in and one out) and goes on to the next
+    junction, or for max_length edges. Jumps of 1, 2, 4, ... edges over inner nodes unfold it, so its rounds
+    grow with the logarithm of max_length, and an edge is a row of one stretch.
+    """
+    inner = degrees(edges).where("out_degree = 1 AND in_degree = 1").select(F.col("id").alias("node"))
+    inner = materialize(inner, "inner-nodes")
+    on = materialize(edges.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("src").alias("node"), "dst", "cnt"), "inner-steps")
+    jumps = [on.select("node", "dst")]
+    while 2 ** len(jumps) < max_length:
+        half = jumps[-1]
+        jumps.append(materialize(half.select("node", F.col("dst").alias("mid")).join(half.withColumnRenamed("node", "mid"), "mid").select("node", "dst"), "jumps"))
+    first = edges.join(inner.withColumnRenamed("node", "src"), "src", "left_anti")
+    places = first.select(F.col("src").alias("head"), F.col("dst").alias("via"), F.lit(1).alias("place"), F.col("dst").alias("node"))
+    for k in reversed(range(len(jumps))):
+        further = places.join(jumps[k], "node").select("head", "via", (F.col("place") + 2**k).alias("place"), F.col("dst").alias("node"))
+        places = materialize(places.unionByName(further.where(F.col("place") <= max_length)), "stretch-places")
+    # the edge to a place begins at the place before it
+    back = places.select("head", "via", (F.col("place") + 1).alias("place"), F.col("node").alias("src"))
+    began = places.join(back, ["head", "via", "place"], "left").withColumn("src", F.coalesce("src", "head"))
+    return began.join(edges.withColumnRenamed("dst", "node"), ["src", "node"]).select("head", "via", "place", "node", "cnt")
+
+
 def find_bubbles(edges: DataFrame, conf: Simplification = Simplification()) -> DataFrame:
     """(start, end, paths, weights): the two paths of equal length that meet first, heavier first.
 
-    Simple paths from every branching node grow one edge a level, all starts together. At the
-    level where two paths of a start meet in a node, the two lexicographically least of the
-    least such node are its bubble and the start is done.
+    Of the simple paths from a branching node, as many edges long each, the first two that meet in a node make its bubble:
+    fewest edges, then the least such node, then the lexicographically least paths. Paths can only part and meet in
+    junctions, so they grow by whole stretches: a round is a stretch of every path, and a path is the junctions and the choices
+    it made. Until two meet, no two paths of a start are as long in the same junction, so a start has at most a path for each
+    junction and length. Only the paths of bubbles are written out, node by node.
     """
+    places = materialize(stretches(edges, conf.bubble_max_length), "stretches")
+    whole = places.groupBy("head", "via").agg(F.max("place").alias("edges"), F.sum("cnt").alias("weight"), F.max(F.struct("place", "node"))["node"].alias("to"))
+    whole = materialize(whole, "stretch-ends")  # one that is cut short ends in an inner node, from which nothing goes on and where nothing meets
     branching = edges.groupBy("src").agg(F.count("*").alias("n")).where("n >= 2").select(F.col("src").alias("start"))
-    paths = branching.select("start", F.col("start").alias("at"), F.array("start").alias("path"), F.lit(0).cast("long").alias("weight"))
-    out = None
-    for _ in range(conf.bubble_max_length):
-        grown = paths.join(edges, paths["at"] == edges["src"]).where("dst = start OR NOT array_contains(path, dst)").select(
-            "start", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), (F.col("weight") + F.col("cnt")).alias("weight"))
-        grown = materialize(grown, "bubble-paths")
-        met = grown.groupBy("start", "at").agg(F.count("*").alias("n"), F.min(F.struct("path", "weight")).alias("a")).where("n >= 2")
-        ends = met.groupBy("start").agg(F.min("at").alias("at"))
-        first = met.join(ends, ["start", "at"]).select("start", "at", "a")
-        second = grown.join(first, ["start", "at"]).where("path > a.path").groupBy("start", "at").agg(F.min(F.struct("path", "weight")).alias("b"), F.first("a").alias("a"))
-        heavy = F.col("a.weight") >= F.col("b.weight")
-        bubble = second.select("start", F.col("at").alias("end"), F.when(heavy, F.array("a.path", "b.path")).otherwise(F.array("b.path", "a.path")).alias("paths"),
-                               F.when(heavy, F.array("a.weight", "b.weight")).otherwise(F.array("b.weight", "a.weight")).alias("weights"))
-        bubble = materialize(bubble, "bubbles")
-        out = bubble if out is None else out.unionByName(bubble)
-        paths = grown.where("at <> start").join(bubble.select("start"), "start", "left_anti")
-        if paths.isEmpty():
+    now = branching.select(
+        "start", F.col("start").alias("at"), F.lit(0).cast("long").alias("edges"), F.lit(0).cast("long").alias("weight"),
+        F.array("start").alias("junctions"), F.array().cast("array<bigint>").alias("vias"))
+    steps = whole.select(F.col("head").alias("at"), F.col("via"), F.col("edges").alias("more"), F.col("weight").alias("w"), "to")
+    every = None
+    while True:
+        grown = now.join(steps, "at").where(~F.array_contains("junctions", F.col("to")) | (F.col("to") == F.col("start")))
+        grown = grown.select(
+            "start", F.col("to").alias("at"), (F.col("edges") + F.col("more")).alias("edges"), (F.col("weight") + F.col("w")).alias("weight"),
+            F.concat("junctions", F.array("to")).alias("junctions"), F.concat("vias", F.array("via")).alias("vias"))
+        grown = materialize(grown.where(F.col("edges") <= conf.bubble_max_length), "bubble-paths")
+        every = grown if every is None else every.unionByName(grown)
+        met = every.groupBy("start", "at", "edges").agg(F.count("*").alias("n")).where("n >= 2")
+        known = materialize(met.groupBy("start").agg(F.min("edges").alias("least")), "bubbles-known")
+        open_ = grown.where("at <> start").join(known, "start", "left").where("least IS NULL OR edges < least")
+        now = materialize(open_.drop("least"), "bubble-paths")
+        if now.isEmpty():
             break
-    return out
+    paths = every.join(known, "start").where("edges = least")
+    least = paths.groupBy("start", "at").agg(F.count("*").alias("n")).where("n >= 2").groupBy("start").agg(F.min("at").alias("at"))
+    order = Window.partitionBy("start").orderBy("vias")  # two paths part at a junction, so their choices order them as their nodes do
+    two = paths.join(least, ["start", "at"]).withColumn("side", F.row_number().over(order)).where("side <= 2")
+    two = materialize(two.select("start", "at", "side", "weight", "junctions", "vias"), "bubble-sides")
+    hops = two.select("start", "side", F.posexplode(F.arrays_zip(F.slice("junctions", F.lit(1), F.size("vias")).alias("head"), F.col("vias").alias("via"))).alias("hop", "h"))
+    nodes_ = hops.select("start", "side", "hop", "h.head", "h.via").join(places.select("head", "via", "place", "node"), ["head", "via"])
+    path = F.transform(F.array_sort(F.collect_list(F.struct("hop", "place", "node"))), lambda x: x["node"])
+    written = nodes_.groupBy("start", "side").agg(F.concat(F.array("start"), path).alias("path"))
+    sides = written.join(two.select("start", "side", F.col("at").alias("end"), "weight"), ["start", "side"])
+    # the heavier first; of equal ones the first
+    best = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("light"), "side", "path", "weight")))
+    return sides.groupBy("start", "end").agg(best.alias("s")).select("start", "end", F.col("s.path").alias("paths"), F.col("s.weight").alias("weights"))
 
 
 def pop_bubbles(edges: DataFrame, conf: Simplification = Simplification()) -> tuple[DataFrame, DataFrame]:
