@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandflow import sql
 from strandflow.functions import ctc, dna, records
 from strandflow.functions import signal as S
 from strandflow.operators import basecall, debruijn, network, segments, signals
@@ -25,12 +26,12 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def _register(sql: str | None = None):
+def _register(oracle: str | None = None):
     def add(f):
         name = f.__name__.lstrip("_")
         QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql.strip()
+        if oracle is not None:
+            ORACLES[name] = oracle.strip()
         return f
 
     return add
@@ -147,6 +148,30 @@ def n50_reads(spark, sf):
     return out.withColumn("avg_length", F.round("avg_length", 6)).withColumn("gc_content", F.round("gc_content", 9))
 
 
+# ---- SQL text ----
+
+
+def _sql(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:
+    sql.register(spark)
+    return spark.sql(text, **views)
+
+
+@_register(f"WITH {kmers_sql(11, 2)} SELECT w AS kmer, kmer AS code, cnt, least(kmer, {code_sql('translate(reverse(w), $$ATCG$$, $$TAGC$$)')}) = kmer AS is_canonical FROM kmers")
+def sql_kmers(spark, sf):
+    return _sql(spark, """
+        SELECT k.kmer, k.code, count(*) AS cnt, k.kmer = k.canonical AS is_canonical
+        FROM {reads} AS r, LATERAL kmers(r.sequence, 11, true) AS k
+        GROUP BY k.kmer, k.code, k.canonical HAVING count(*) >= 2""", reads=reads(spark, sf))
+
+
+@_register(f"WITH {SIGNALS}, c AS (SELECT read_id, s, signal[s + 1:s + 20] AS c, s + 20 >= len(signal) AS is_last FROM (SELECT read_id, signal, unnest(range(0, len(signal), 20)) AS s FROM signals)), p AS (SELECT read_id, s, is_last, unnest(c) AS x FROM c), "
+           "m AS (SELECT read_id, s, is_last, median(x) AS m, count(*) AS n FROM p GROUP BY ALL) SELECT p.read_id, CAST(p.s AS INTEGER) AS start, CAST(any_value(n) AS INTEGER) AS size, p.is_last, round(any_value(m), 6) AS median, round(median(abs(x - m)), 6) AS mad FROM p JOIN m USING (read_id, s) GROUP BY p.read_id, p.s, p.is_last")
+def sql_chunks(spark, sf):
+    return _sql(spark, """
+        SELECT s.read_id, c.start, c.size, c.is_last, round(signal_median(c.chunk), 6) AS median, round(signal_mad(c.chunk), 6) AS mad
+        FROM {signals} AS s, LATERAL signal_chunks(s.signal, 20) AS c""", signals=short_signals(spark, sf))
+
+
 # ---- graphs ----
 
 
