@@ -12,7 +12,7 @@ documents are scanned block after block, each pass written. A worker builds a bl
 
 Edge cases: null texts and texts without words have no words and no hits; null or
 wordless items have no windows; the windows of items with a null id hit words, but no item;
-repeated items and rows are each handled alone (item ids form a set); rows with a null doc_id are
+copies of an item, and items of one text, are one key of the automaton (item ids form a set); rows with a null doc_id are
 rows like others; very long texts are scanned whole; an empty benchmark hits nothing. Input columns
 pass through, but for columns named like an output, which the output replaces.
 """
@@ -62,24 +62,24 @@ class Automaton:
     """Aho-Corasick automaton over word symbols; the value of a key is the number of its window."""
 
     def __init__(self, pieces: list[tuple], window: int):
-        """pieces: (item id, words joined by blanks)."""
+        """pieces: (ids of its items, words joined by blanks), a text once."""
         import ahocorasick
 
         self.symbols: dict[bytes, str] = {}
         numbers: dict[str, int] = {}
         self.size: list[int] = []
-        self.owners: list[tuple] = []
-        for item, text in pieces:
+        self.items = [tuple(ids) for ids, _ in pieces]
+        self.owners: list[list[int]] = []  # pieces of a window
+        for piece, (_, text) in enumerate(pieces):
             line = "".join([self.symbols.setdefault(w, _symbol(len(self.symbols))) for w in text.split(b" ")]) if text else ""
-            own = (item,) if item is not None else ()
             for i in range(max(1, len(line) - window + 1) if line else 0):
                 key = line[i : i + window]
                 n = numbers.setdefault(key, len(numbers))
                 if n == len(self.size):
                     self.size.append(len(key))
-                    self.owners.append(own)
-                elif own and item not in self.owners[n]:
-                    self.owners[n] += own
+                    self.owners.append([piece])
+                elif self.owners[n][-1] != piece:  # a piece's windows come one after the other
+                    self.owners[n].append(piece)
         self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS) if numbers else None
         for key, n in numbers.items():
             self.found.add_word(key, n)
@@ -98,12 +98,13 @@ def scan(text: str | None, automaton: Automaton) -> tuple[int, np.ndarray, set,
     found = automaton.hits(words)
     if not found:
         return len(words), np.zeros(0, np.int64), set(), []
-    hit, ids, runs = np.zeros(len(words), bool), set(), []
+    hit, runs = np.zeros(len(words), bool), []
     for end, n in found:
         at = end - automaton.size[n] + 1
         hit[at : end + 1] = True
-        ids.update(automaton.owners[n])
         runs.append((at, end + 1))
+    pieces = {p for n in {n for _, n in found} for p in automaton.owners[n]}
+    ids = {item for p in pieces for item in automaton.items[p]}
     raw = text.encode()
     spans = [m.span() for m in _WORD.finditer(raw.translate(_TABLE))]
     chars = np.cumsum([0, *((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])  # code points before each byte
@@ -112,22 +113,28 @@ def scan(text: str | None, automaton: Automaton) -> tuple[int, np.ndarray, set,
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_nodes: int) -> Iterator[list[tuple]]:
-    """Pieces of items in blocks of bounded size; each block is collected alone."""
+    """Different pieces with the ids of their items, in blocks; each block is collected alone.
+
+    A piece has at most `PIECE_WORDS` + window words and is in one block however often it occurs; blocks are dealt by hash, so
+    they are of `max_nodes` nodes on average and of little more at most.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, p, len(words), b" ".join(words)) for i, t in zip(*(c.to_pylist() for c in batch.columns)) for p, words in enumerate(item_pieces(t, window))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=["item", "piece", "n", "words"])
+            rows = [(i, len(words), b" ".join(words)) for i, t in zip(*(c.to_pylist() for c in batch.columns)) for words in item_pieces(t, window)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.string(), pa.int64(), pa.binary()))], names=["item", "n", "words"])
 
     source = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    pieces = source.mapInArrow(cut, "item string, piece int, n long, words binary")
+    pieces = source.mapInArrow(cut, "item string, n long, words binary")
+    # the ids of copies are made different before they are gathered; a null id adds none
+    pieces = pieces.select("item", "n", "words").distinct().groupBy("words").agg(F.first("n").alias("n"), F.collect_list("item").alias("items"))
+    pieces = materialize(pieces, "benchmark-pieces")
     total = (pieces.agg(F.sum("n")).first()[0] or 0) * window
     n = max(1, -(-total // max_nodes))
-    part = F.pmod(F.xxhash64("item", "piece", "words"), F.lit(n))
-    pieces = pieces if n == 1 else materialize(pieces.withColumn("part", part), "benchmark-pieces")
+    part = F.pmod(F.xxhash64("words"), F.lit(n))
     for i in range(n):
-        block = pieces if n == 1 else pieces.where(F.col("part") == i)
-        yield [(r[0], bytes(r[1])) for r in block.select("item", "words").collect()]
+        block = pieces if n == 1 else pieces.where(part == i)
+        yield [(r[0], bytes(r[1])) for r in block.select("items", "words").collect()]
 
 
 def decontaminate(
