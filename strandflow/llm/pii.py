@@ -58,7 +58,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,3}[0-9])+")
-_AT = re.compile(r"[^\s@]*+@[^\s]*+")
+_RUN = re.compile(r"\S++")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -109,15 +109,17 @@ class Mentions:
         found = [m.span() for m in _NUMBER.finditer(text)] if _DIGIT.search(text) else []
         found = [(a, b) for a, b in found if len(_NOT_DIGIT.sub("", text[a:b])) >= 7]
         if "@" in text:
-            found += [(m.start(), m.end()) for m in _AT.finditer(text)]
+            found += [m.span() for m in _RUN.finditer(text) if "@" in m[0]]
         self.spans = sorted(found)
         self.label, self.shapes, keys = [], [], defaultdict(list)
         k, starts = 0, [s[1] for s in base]
         for i, (a, b) in enumerate(self.spans):
             while k < len(base) and base[k][2] <= a:
                 k += 1
-            inside = [s for s in base[k:] if s[1] < b and s[2] > a] if k < len(base) and starts[k] < b else []
-            self.label.append(LABELS.index(inside[0][0]) if inside else -1)
+            j = k
+            while j < len(base) and starts[j] < b and base[j][2] <= a:
+                j += 1
+            self.label.append(LABELS.index(base[j][0]) if j < len(base) and starts[j] < b else -1)
             body = text[a:b]
             digits = _NOT_DIGIT.sub("", body)
             if "@" in body:

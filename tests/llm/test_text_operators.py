@@ -351,3 +351,30 @@ def test_pii_of_repeated_rows_and_clashing_columns(spark):
 def test_long_texts_take_linear_time():
     for t in ("1" * 200_000, "a" * 200_000 + "@", "1.2.3." * 50_000, "+1 " * 60_000, "@" * 100_000):
         pii.base_spans(t)
+
+
+def test_mentions_of_long_texts_take_linear_time():
+    """Runs of a megabyte without a blank, with marks of every kind, in texts that hold an `@`."""
+    import time
+
+    model = pii.fit([])
+    for t in ("a" * 1_000_000 + " x@y", "漢" * 1_000_000 + "@", "@" * 1_000_000, "Zm9v+/" * 170_000 + " a@b.cd", "a@b.cd " * 3000 + "x" * 1_000_000, "a@b.cd," * 3000):
+        began = time.time()
+        base, spans = pii.find_spans(t, model)
+        assert set(base) <= set(spans) and time.time() - began < 5
+    text = "write to me@x.org or ME@X.ORG. (a@b) end@"
+    m = pii.Mentions(text, pii.base_spans(text))
+    assert [text[a:b] for a, b in m.spans] == ["me@x.org", "ME@X.ORG.", "(a@b)", "end@"] and m.label == [1, 1, -1, -1]
+
+
+def test_one_item_repeated_many_times(spark):
+    """Copies of an item, and many items of one text, are one key; ids of all of them are returned; null ids hit words only."""
+    item = " ".join(f"w{i}" for i in range(30))
+    rows = [("one", item)] * 100_000 + [(f"i{k:05d}", item) for k in range(3000)] + [(None, item), (None, "only words hit here"), ("short", "w3 w4"), ("none", None), ("blank", " . ")]
+    bench = spark.createDataFrame(rows, "item_id string, text string")
+    d = spark.createDataFrame([(1, f"x {item} y"), (2, "w3 w4 w5"), (3, "only words hit here"), (4, None)], "doc_id long, text string")
+    for nodes in (decontam.MAX_NODES, 100):
+        got = {r["doc_id"]: r for r in decontam.decontaminate(d, bench, max_nodes=nodes).collect()}
+        assert got[1]["hit_items"] == sorted(["one", "short", *(f"i{k:05d}" for k in range(3000))]) and len(got[1]["hit_words"]) == 30
+        assert got[2]["hit_items"] == ["short"] and got[2]["hit_words"] == [0, 1]
+        assert got[3]["hit_items"] == [] and len(got[3]["hit_words"]) == 4 and got[4]["n_words"] == 0
