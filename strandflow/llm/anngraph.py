@@ -14,8 +14,10 @@ dense regions get many. Then
  * what balls and searches link is followed across shards: linked vectors form groups
    (connected components), and the loose vectors of a group are compared pair by pair, so a
    group that is spread over many shards loses no link;
- * a sample of loose vectors is compared with all rows. While less than `RECALL` of its links
-   are found, the overlap grows, in the end until all loose vectors are one group.
+ * a sample of loose vectors is compared with all rows, half of them such as a bucket of equal
+   signs has shown to have a link, so that rare links are audited too. While less than `RECALL`
+   of its links are found, the overlap grows, in the end until all loose vectors are one group.
+   A sample without links is reported as not measured.
 Every link counted is checked in double precision. `audit_recall` measures recall against
 brute force from outside. Shards, groups and balls beyond their rows are grids of cells.
 
@@ -52,6 +54,8 @@ TILE = 256
 #: Share of the links of `AUDIT` sampled vectors that must be found, or the overlap grows.
 RECALL = 0.9
 AUDIT = 1000
+#: Tables of sign buckets in which the audit looks for linked vectors.
+TABLES = 8
 #: Up to so many vectors for each shard of a vector, comparing all pairs costs less than the shards.
 EXHAUSTIVE = 30000
 #: Margin of decisions by angles; closer ones are compared exactly.
@@ -321,9 +325,54 @@ def _group_links(threshold: float):
     return run
 
 
+def _hashes(width: int, bits: int):
+    """(rep, place, bucket) of each vector in `TABLES` tables: signs of its products with random directions."""
+    planes = np.random.default_rng(1).normal(size=(width, TABLES * bits))
+    powers = 1 << np.arange(bits, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                signs = (_matrix(batch.column("unit")) @ planes > 0).reshape(batch.num_rows, TABLES, bits)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(batch.column("rep").to_numpy(), TABLES)), pa.array(np.tile(np.arange(TABLES, dtype=np.int32), batch.num_rows)), pa.array((signs @ powers).reshape(-1))],
+                    names=["rep", "place", "bucket"])
+
+    return run
+
+
+def _linked_sample(assigned: DataFrame, threshold: float) -> DataFrame:
+    """(rep) of loose classes with a link that was found without shards: of vectors whose signs agree, two of each bucket are compared.
+
+    Buckets get finer with the table, and a bucket of any size gives one pair.
+    """
+    loose = assigned.where("NOT tight").select("rep", "unit")
+    width, n = loose.agg(F.max(F.octet_length("unit")), F.count("*")).first()
+    if not n:
+        return loose.select("rep")
+    bits = min(48, max(12, math.ceil(math.log2(n)) + 2))
+    hashed = loose.mapInArrow(_hashes(width // 8, bits), "rep long, place int, bucket long")
+    pairs = hashed.groupBy("place", "bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b").distinct()
+    both = pairs.join(loose.select(F.col("rep").alias("a"), F.col("unit").alias("x")), "a").join(loose.select(F.col("rep").alias("b"), F.col("unit").alias("y")), "b")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hit = np.flatnonzero((_matrix(batch.column("x")) * _matrix(batch.column("y"))).sum(1) >= threshold)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column("a").take(pa.array(hit)), batch.column("b").take(pa.array(hit))])], names=["rep"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(close, "rep long").distinct()
+
+
 def _audit_sample(assigned: DataFrame, threshold: float) -> dict[int, int]:
-    """True links (weights of other classes in range) of at most `AUDIT` loose classes, by brute force over all classes."""
-    some = assigned.where("NOT tight").orderBy(F.xxhash64("rep", F.lit("audit"))).select("rep", "unit", "weight").limit(AUDIT).collect()
+    """True links (weights of other classes in range) of at most `AUDIT` loose classes, by brute force over all classes.
+
+    At most half of them are known to have a link, so that a table with few links is audited by those; the others are any.
+    """
+    linked = materialize(_linked_sample(assigned, threshold), "ann-linked").orderBy(F.xxhash64("rep", F.lit("audit"))).limit(AUDIT // 2)
+    some = assigned.where("NOT tight").join(F.broadcast(linked), "rep", "left_semi").select("rep", "unit", "weight").collect()  # AUDIT / 2 rows at most
+    known = [r["rep"] for r in some]
+    some += assigned.where("NOT tight").where(~F.col("rep").isin(known)).orderBy(F.xxhash64("rep", F.lit("audit"))).select("rep", "unit", "weight").limit(AUDIT - len(some)).collect()
     if not some:
         return {}
     shared = assigned.sparkSession.sparkContext.broadcast(b"".join(bytes(r["unit"]) for r in some))
@@ -341,11 +390,11 @@ def _audit_sample(assigned: DataFrame, threshold: float) -> dict[int, int]:
     return {some[r["k"]][0]: r["n"] - some[r["k"]][1] for r in found}
 
 
-def _recall(sample: dict[int, int], counts: DataFrame) -> float:
-    """The lesser of the share of all links of the sample that were found and the mean share of a vector's own."""
+def _recall(sample: dict[int, int], counts: DataFrame) -> float | None:
+    """The lesser of the share of all links of the sample that were found and the mean share of a vector's own; None where it has none."""
     true = {rep: n for rep, n in sample.items() if n > 0}
     if not true:
-        return 1.0
+        return None
     got = dict(counts.where(F.col("rep").isin(list(true))).select("rep", "n").collect())
     have = {rep: min(got.get(rep, 0), n) for rep, n in true.items()}
     return min(sum(have.values()) / sum(true.values()), sum(have[rep] / n for rep, n in true.items()) / len(true))
@@ -370,7 +419,7 @@ def _cells(rows: DataFrame, key: str, most: int) -> DataFrame:
     return grid.withColumn("place", F.explode(places)).select("*", "place.i", "place.j", "place.side").drop("place", "grid")
 
 
-def _of_length(units: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _of_length(units: DataFrame, threshold: float, figures: list | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For unit vectors of one length: (vec_id, rep, weight), counts (rep, n), edges."""
     sc = units.sparkSession.sparkContext
     classes = materialize(units.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "ann-classes")
@@ -418,7 +467,11 @@ def _of_length(units: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
         within = materialize(within, "ann-links")
         found = within.where("kind = 'n'").select(F.col("a").alias("rep"), F.col("b").alias("n"))
         counts = materialize(exact.unionByName(found).groupBy("rep").agg(F.sum("n").alias("n")), "ann-counts")
-        if whole or _recall(sample, counts) >= RECALL:
+        share = 1.0 if whole else _recall(sample, counts)
+        if figures is not None:
+            figures.append({"vectors": n, "overlap": overlap, "exhaustive": whole, "audited_links": sum(sample.values()), "recall": share})
+        # no link among the sample, nor between any two vectors of a bucket: nothing to be measured
+        if share is None or share >= RECALL:
             break
         overlap = min(OVERLAP * overlap, len(centres))
         if n <= EXHAUSTIVE * overlap:
@@ -429,15 +482,18 @@ def _of_length(units: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     return units.join(classes, "unit").select("vec_id", "rep", "weight"), counts, edges
 
 
-def link_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each row."""
+def link_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, figures: list | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of each row.
+
+    `figures` gets a dict for every search: vectors, overlap, whether all were compared, the links audited, and their recall (None if there were none).
+    """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     units = materialize(rows.mapInArrow(_units, "vec_id long, unit binary"), "ann-units")
     valid = units.where("unit IS NOT NULL AND vec_id IS NOT NULL")
     lengths = sorted(r[0] for r in valid.select(F.octet_length("unit")).distinct().collect())
     out = units.where("unit IS NULL OR vec_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     for length in lengths:
-        named, counts, edges = _of_length(valid.where(F.octet_length("unit") == length), threshold)
+        named, counts, edges = _of_length(valid.where(F.octet_length("unit") == length), threshold, figures)
         components = connected_components(edges).withColumnRenamed("node", "rep")
         joined = named.join(counts, "rep", "left").join(components, "rep", "left")
         out = out.unionByName(joined.select(

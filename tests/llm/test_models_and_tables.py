@@ -288,6 +288,28 @@ def test_low_recall_widens_the_search(spark, monkeypatch):
     assert {r["vec_id"]: tuple(r[1:4]) for r in anngraph.digest(df).collect()} == brute_links(rows)
 
 
+@pytest.mark.parametrize("n", [500, 2000, 12_000])
+def test_rare_links_are_audited(spark, n):
+    """A few pairs among vectors that link with nothing: the audit sees some of them, and tells where it saw none."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    planted = 40
+    for i in range(planted):
+        side = rng.normal(size=64)
+        side -= side @ x[i] * x[i]
+        x[n - 1 - i] = 0.93 * x[i] + np.sqrt(1 - 0.93**2) * side / np.linalg.norm(side)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    told = []
+    out = anngraph.link_embeddings(df, figures=told)
+    assert out.agg(F.sum("n_links")).first()[0] >= 0.9 * 2 * planted
+    assert told[-1]["exhaustive"] or told[-1]["audited_links"] >= 5 and told[-1]["recall"] >= 0.9
+    if n == 2000:
+        told = []
+        assert anngraph.link_embeddings(df.where(f"vec_id < {n - planted}"), figures=told).agg(F.sum("n_links")).first()[0] == 0
+        assert not told[-1]["exhaustive"] and told[-1]["recall"] is None and told[-1]["audited_links"] == 0
+
+
 # ---- pipeline ----
 
 
