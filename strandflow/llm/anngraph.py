@@ -41,7 +41,7 @@ from strandflow.session import materialize
 
 THRESHOLD = 0.9
 PER_CLUSTER = 250
-MAX_CLUSTERS = 2048
+LEAST_CLUSTERS, MAX_CLUSTERS = 16, 2048
 OVERLAP = 3
 DEGREE = 16
 POOL = 64
@@ -424,7 +424,7 @@ def _of_length(units: DataFrame, threshold: float, figures: list | None = None)
     sc = units.sparkSession.sparkContext
     classes = materialize(units.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "ann-classes")
     n = classes.count()
-    k = min(MAX_CLUSTERS, max(1, round(n / PER_CLUSTER)))
+    k = min(n, MAX_CLUSTERS, max(LEAST_CLUSTERS, round(n / PER_CLUSTER)))
     sample = sorted(bytes(r[0]) for r in classes.select("unit").orderBy(F.xxhash64("unit"), "unit").limit(k).collect())
     centres = np.frombuffer(b"".join(sample), np.float64).reshape(len(sample), -1)
     shared = sc.broadcast(centres)  # at most MAX_CLUSTERS vectors
