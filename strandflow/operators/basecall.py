@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from strandflow.functions import ctc, records
 from strandflow.functions.dna import BASES, bases_of_labels
 from strandflow.operators import network, signals
+from strandflow.plans.numbering import number_rows
 from strandflow.session import materialize
 from strandflow.sources.fast5 import register as register_fast5
 from strandflow.sources.fasta import write_records
@@ -37,14 +39,20 @@ def decode(log_probs: DataFrame, conf: GreedyDecoder = GreedyDecoder(), length:
     )
 
 
-def decode_padded(log_probs: DataFrame, conf: GreedyDecoder = GreedyDecoder(), length: str | None = None) -> DataFrame:
-    """(read_id, labels, n_labels, confidence): labels of all rows padded with the blank to the most of any."""
+def decode_padded(log_probs: DataFrame, conf: GreedyDecoder = GreedyDecoder(), length: str | None = None, batch: str | None = None) -> DataFrame:
+    """(read_id, labels, n_labels, confidence): labels of all rows padded with the blank to the most of any.
+
+    With `batch`, a column that numbers the rows' batches, to the most of the batch: one long row widens its own batch alone.
+    """
     lp = F.col("lp")
-    cut = log_probs.select("read_id", ctc.cut(lp, F.col(length) if length else None).alias("lp")).withColumn("runs", ctc.runs(lp, conf.blank))
-    found = cut.select("read_id", F.col("runs.label").alias("labels"), F.size("runs").alias("n_labels"), ctc.peak_confidence(lp, F.col("runs")).alias("confidence"))
-    most = found.agg(F.coalesce(F.max("n_labels"), F.lit(0)).alias("most"))
+    group = F.col(batch) if batch else F.lit(0)
+    cut = log_probs.select("read_id", group.alias("batch"), ctc.cut(lp, F.col(length) if length else None).alias("lp")).withColumn("runs", ctc.runs(lp, conf.blank))
+    found = cut.select("read_id", "batch", F.col("runs.label").alias("labels"), F.size("runs").alias("n_labels"), ctc.peak_confidence(lp, F.col("runs")).alias("confidence"))
+    most = found.groupBy("batch").agg(F.coalesce(F.max("n_labels"), F.lit(0)).alias("most"))
     padded = F.concat("labels", F.array_repeat(F.lit(conf.blank), F.col("most") - F.col("n_labels")))
-    return found.join(F.broadcast(most)).select("read_id", padded.alias("labels"), "n_labels", "confidence")  # one row is broadcast
+    if not batch:
+        most = F.broadcast(most)  # one row
+    return found.join(most, found["batch"].eqNullSafe(most["batch"])).select("read_id", padded.alias("labels"), "n_labels", "confidence")
 
 
 def padded_to_sequence(padded: DataFrame, alphabet: str = BASES) -> DataFrame:
@@ -52,17 +60,42 @@ def padded_to_sequence(padded: DataFrame, alphabet: str = BASES) -> DataFrame:
     return padded.select("read_id", bases_of_labels(F.slice("labels", F.lit(1), F.col("n_labels")), "fail", alphabet).alias("sequence"))
 
 
-def basecall(reads: DataFrame, weights: dict[str, np.ndarray], config: network.NetConfig = network.NetConfig(), **preprocessing) -> DataFrame:
-    """Basecalls of (read_id, signal): preprocessing, network, decoding; empty signals give empty sequences.
+@dataclass(frozen=True)
+class Pipeline:
+    """Basecalling in exchangeable parts, each a function of tables: raw to prepared signals, these to log-probabilities, those to calls.
 
-    The length of the raw signal goes along with the read_id, so rows of one id, or of none, are calls of their own.
+    `prepare` takes and gives (read_id, signal), `model` gives (read_id, lp), `decoder` gives what `decode` gives. read_id is a struct
+    that holds the raw signal's length beside the id, and must come through unchanged.
     """
-    keyed = reads.select(F.struct("read_id", F.size("signal").alias("signal_length")).alias("read_id"), "signal")
-    called = decode(network.infer(signals.preprocess(keyed, **preprocessing), weights, config))
-    return called.select(
-        "read_id.read_id", "sequence", "quality_scores", "mean_confidence", "read_id.signal_length",
-        F.length("sequence").alias("sequence_length"), F.length("sequence").alias("num_bases"),
-    )
+
+    model: Callable[[DataFrame], DataFrame]
+    prepare: Callable[[DataFrame], DataFrame] = signals.preprocess
+    decoder: Callable[[DataFrame], DataFrame] = decode
+
+    @classmethod
+    def of_network(cls, weights: dict[str, np.ndarray], config: network.NetConfig = network.NetConfig(), decoder: GreedyDecoder = GreedyDecoder(), **preprocessing) -> Pipeline:
+        return cls(lambda x: network.infer(x, weights, config), lambda x: signals.preprocess(x, **preprocessing), lambda x: decode(x, decoder))
+
+    def run(self, reads: DataFrame) -> DataFrame:
+        """Basecalls of (read_id, signal), or of (signal) alone, whose rows are then read_0, read_1, ... in their order.
+
+        Empty signals give empty sequences. The length of the raw signal goes along with the read_id, so rows of one id, or of none, are
+        calls of their own.
+        """
+        if "read_id" not in reads.columns:
+            numbered = number_rows(reads.select("signal", F.monotonically_increasing_id().alias("order")), "order", name="n")
+            reads = numbered.select(F.format_string("read_%d", "n").alias("read_id"), "signal")
+        keyed = reads.select(F.struct("read_id", F.size("signal").alias("signal_length")).alias("read_id"), "signal")
+        called = self.decoder(self.model(self.prepare(keyed)))
+        return called.select(
+            "read_id.read_id", "sequence", "quality_scores", "mean_confidence", "read_id.signal_length",
+            F.length("sequence").alias("sequence_length"), F.length("sequence").alias("num_bases"),
+        )
+
+
+def basecall(reads: DataFrame, weights: dict[str, np.ndarray], config: network.NetConfig = network.NetConfig(), **preprocessing) -> DataFrame:
+    """Basecalls of (read_id, signal) by the usual parts: preprocessing, network, greedy decoding."""
+    return Pipeline.of_network(weights, config, **preprocessing).run(reads)
 
 
 def basecall_file(spark: SparkSession, path: str, weights: dict[str, np.ndarray], config: network.NetConfig = network.NetConfig(), *, source: str = "fast5",

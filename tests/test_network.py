@@ -102,3 +102,26 @@ def plain_forward(x, w, conf):
         x = (x - x.mean(1, keepdims=True)) / np.sqrt(x.var(1, keepdims=True) + 1e-5) * w[f"norm{i}.scale"] + w[f"norm{i}.shift"]
     z = x @ w["out.w"].T + w["out.b"]
     return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def test_parts_of_the_pipeline_can_be_exchanged(spark):
+    """A model that reads bases off the signal, a decoder with another alphabet, no preprocessing; ids by default."""
+    rows = [([0.0, 0.0, 4.0, 1.0, 2.0],), ([],), ([3.0, 4.0, 3.0],)] + [([float(i % 4)],) for i in range(40)]
+    df = spark.createDataFrame(rows, "signal array<double>").repartition(3).coalesce(1)
+    order = [r[0] for r in df.collect()]
+    one_hot = lambda x: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda c: F.when(c == x.cast("int"), 0.0).otherwise(-50.0))
+    model = lambda x: x.select("read_id", F.transform("signal", one_hot).alias("lp"))
+    swapped = basecall.Pipeline(model, prepare=lambda x: x, decoder=lambda x: basecall.decode(x, basecall.GreedyDecoder(alphabet="GCTA")))
+    got = {r["read_id"]: r for r in swapped.run(df).collect()}
+    assert set(got) == {f"read_{i}" for i in range(len(rows))}
+    want = {(0.0, 0.0, 4.0, 1.0, 2.0): "GCT", (): "", (3.0, 4.0, 3.0): "AA"} | {(float(i),): "GCTA"[i] for i in range(4)}
+    assert all(got[f"read_{i}"]["sequence"] == want[tuple(x)] and got[f"read_{i}"]["signal_length"] == len(x) for i, x in enumerate(order))
+
+
+def test_labels_are_padded_by_batch(spark):
+    lp = lambda labels: [[0.0 if c == x else -9.0 for c in range(3)] for x in labels]
+    df = spark.createDataFrame([(1, 0, lp([0, 1, 0, 1])), (2, 0, lp([2])), (3, 7, lp([1])), (4, None, lp([0, 1])), (5, None, lp([]))], "read_id int, b int, lp array<array<double>>")
+    conf = basecall.GreedyDecoder(2, "AT")
+    got = {r["read_id"]: r["labels"] for r in basecall.decode_padded(df, conf, batch="b").collect()}
+    assert got == {1: [0, 1, 0, 1], 2: [2, 2, 2, 2], 3: [1], 4: [0, 1], 5: [2, 2]}
+    assert {len(r["labels"]) for r in basecall.decode_padded(df, conf).collect()} == {4}
