@@ -1,8 +1,8 @@
 """Registered queries of the library proper and their DuckDB SQL.
 
 Reads are the letters A, T, C, G of `documents`; short signals are `embeddings`; long
-signals are the values of `events` by user; log-probabilities are the first 60 values of
-an embedding as 12 steps of 5 classes.
+signals are the values of `events` by user; log-probabilities are the 64 values of an
+embedding and a 0 as 13 steps of 5 classes.
 """
 
 from __future__ import annotations
@@ -54,8 +54,9 @@ def long_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_probs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda t: ctc.log_softmax(F.transform(F.slice("signal", t * 5 + 1, F.lit(5)), lambda x: x * 10)))
-    return short_signals(spark, sf).select("read_id", rows.alias("lp"))
+    whole = short_signals(spark, sf).select("read_id", F.concat("signal", F.array(F.lit(0.0))).alias("signal"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda t: ctc.log_softmax(F.transform(F.slice("signal", t * 5 + 1, F.lit(5)), lambda x: x * 10)))
+    return whole.select("read_id", rows.alias("lp"))
 
 
 READS = "reads AS (SELECT doc_id AS read_id, upper(regexp_replace(coalesce(text, ''), '[^ATCGatcg]', '', 'g')) AS sequence FROM documents)"
@@ -564,7 +565,7 @@ def seg_normalize(spark, sf):
 
 # ---- decoding ----
 
-LP = f"""{SIGNALS}, z AS (SELECT read_id, t, list_transform(signal[t * 5 + 1:t * 5 + 5], lambda x: x * 10) AS row FROM signals, (SELECT unnest(range(12)) AS t)),
+LP = f"""{SIGNALS}, z AS (SELECT read_id, t, list_transform(signal[t * 5 + 1:t * 5 + 5], lambda x: x * 10) AS row FROM (SELECT read_id, list_append(signal, 0.0) AS signal FROM signals), (SELECT unnest(range(13)) AS t)),
 best AS (SELECT read_id, t, row, list_position(row, list_max(row)) - 1 AS label, ln(list_sum(list_transform(row, lambda x: exp(x - list_max(row))))) + list_max(row) AS total FROM z),
 flag AS (SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY read_id ORDER BY t) THEN 0 ELSE 1 END AS new FROM best),
 run AS (SELECT *, sum(new) OVER (PARTITION BY read_id ORDER BY t) AS run FROM flag),
