@@ -16,6 +16,7 @@ from strandflow import sql
 from strandflow.functions import ctc, dna, records
 from strandflow.functions import signal as S
 from strandflow.operators import basecall, debruijn, network, segments, signals
+from strandflow.operators.edgetable import EdgeTable
 from strandflow.operators.kmers import count_kmers
 from strandflow.plans.numbering import number_within
 from strandflow.session import materialize, shared_dir, table
@@ -280,6 +281,21 @@ def dbg_remove_edges(spark, sf):
     return debruijn.remove_edges(edges, named.unionByName(named.select(F.lit(-1).cast("long").alias("src"), "dst")))
 
 
+@_register(f"""WITH {edges_sql(K, LEAST).replace('edges AS (', 'edges AS MATERIALIZED (')},
+a AS (SELECT src, dst, sum(cnt) AS cnt FROM (SELECT src, dst, cnt FROM edges UNION ALL SELECT dst, src, 1 FROM edges WHERE cnt >= 3) GROUP BY src, dst),
+b AS (SELECT * FROM a WHERE (src + dst) % 3 > 0 AND src % 50 <> 0 AND dst % 50 <> 0)
+SELECT src, dst, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT * FROM b UNION ALL SELECT src, dst, 5 FROM edges WHERE (src + dst) % 9 = 0) GROUP BY src, dst""")
+def dbg_edge_table(spark, sf):
+    """Edges added, removed, removed with their nodes and added again, in a bucketed table with a log."""
+    edges = materialize(graph(spark, sf), "graph")
+    kept = EdgeTable.create(edges)
+    kept.add(edges.where("cnt >= 3").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).cast("long").alias("cnt")))
+    kept.remove(kept.edges().where("(src + dst) % 3 = 0"))
+    kept.remove_nodes(kept.degrees().where("id % 50 = 0"))
+    kept.add(edges.where("(src + dst) % 9 = 0").withColumn("cnt", F.lit(5).cast("long")))
+    return kept.edges()
+
+
 def paths_sql(here: str, there: str, starts: str) -> str:
     return f"""WITH RECURSIVE {edges_sql(K, LEAST)}, {DEGREES}, sole AS (SELECT {here} AS a, min({there}) AS b, min(cnt) AS cnt FROM edges GROUP BY {here} HAVING count(*) = 1),
 walk AS (SELECT id, id AS node, 0 AS n, CAST(0 AS BIGINT) AS weight FROM deg WHERE {starts} UNION ALL SELECT id, b, n + 1, weight + cnt FROM walk JOIN sole ON node = a WHERE n < 1000 AND (n = 0 OR node <> id))
