@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,7 +198,7 @@ def trim_tips(edges: DataFrame, conf: Simplification = Simplification()) -> tupl
 
 
 def stretches(edges: DataFrame, max_length: int = 100) -> DataFrame:
-    """(head, via, place, node, cnt): the forced ways on, place 1, 2, ... along each, cnt of the edge that leads to the node.
+    """(head, via, place, src, node, cnt): the forced ways on, place 1, 2, ... along each, cnt of the edge from src to node.
 
     A stretch begins with any edge out of a junction (a node without exactly one edge in and one out) and goes on to the next
     junction, or for max_length edges. Jumps of 1, 2, 4, ... edges over inner nodes unfold it, so its rounds
@@ -217,7 +219,7 @@ def stretches(edges: DataFrame, max_length: int = 100) -> DataFrame:
     # the edge to a place begins at the place before it
     back = places.select("head", "via", (F.col("place") + 1).alias("place"), F.col("node").alias("src"))
     began = places.join(back, ["head", "via", "place"], "left").withColumn("src", F.coalesce("src", "head"))
-    return began.join(edges.withColumnRenamed("dst", "node"), ["src", "node"]).select("head", "via", "place", "node", "cnt")
+    return began.join(edges.withColumnRenamed("dst", "node"), ["src", "node"]).select("head", "via", "place", "src", "node", "cnt")
 
 
 def find_bubbles(edges: DataFrame, conf: Simplification = Simplification()) -> DataFrame:
@@ -318,16 +320,96 @@ def trails(edges: DataFrame, prefer_high_depth: bool = True) -> DataFrame:
     return named.join(now.select("edge", "rank"), "edge").select("src", "dst", "cnt", "trail", "rank")
 
 
+def _departures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, prev, r, i): what each way out of a junction goes on from, in the order of the arrivals' times; without one, it starts trail (r, i).
+
+    The ways out are taken in their order, by an arrival or, at the junction's own turn, by trails that start there.
+    """
+    for batch in batches:
+        sid, prev, turn, place = [], [], [], []
+        for rank, outs, ins in zip(*(batch.column(c).to_pylist() for c in ("r", "outs", "ins"))):
+            events = [((x["r"], x["i"], x["s"], x["sid"]), x["sid"]) for x in ins or () if x["r"] is not None]
+            events += [((rank, i, -1, -1), None) for i in range(len(outs))]
+            events.sort(key=lambda e: e[0])
+            events += [(None, x["sid"]) for x in ins or () if x["r"] is None]  # of no trail yet: after all others
+            taken = 0
+            for time, arrived in events:
+                if taken < len(outs) and (arrived is not None or time[1] == taken):
+                    sid.append(outs[taken]["sid"])
+                    prev.append(arrived)
+                    turn.append(rank)
+                    place.append(taken)
+                    taken += 1
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (sid, prev, turn, place)], names=["sid", "prev", "r", "i"])
+
+
+def greedy_trails(edges: DataFrame, prefer_high_depth: bool = True) -> DataFrame:
+    """(src, dst, cnt, trail, rank): the trails that walks make one after the other, each along the heaviest edge left.
+
+    Walks start at the nodes with more edges out than in, by falling excess, then at other junctions, then at nodes of unbranched
+    circles, ties by node; from a node every edge that is left starts one, the heaviest first (or by node alone).
+    So the ways out of a node are taken in a fixed order, by whoever comes next, and all that has to be found is when each way into a node
+    is walked. All are assumed to be walked at some time (trail, step); arrivals at a node, sorted by these times, are given its ways
+    out; the chains that this makes say when each way would then be walked; and so on until no time changes. The first
+    time that is wrong is set right by each round, so what stays is what walks one by one would give. Ways are whole stretches between
+    junctions, chains are followed by pointer doubling, and a junction has its edges (eight in a k-mer graph) in one row.
+    """
+    e = materialize(edges.select("src", "dst", "cnt"), "graph")
+    places = materialize(stretches(e, max(e.count(), 1)), "stretches")
+    d = materialize(degrees(e).select("id", (F.col("out_degree") - F.col("in_degree")).alias("excess")), "excess")
+    ends = places.groupBy("head", "via").agg(F.max(F.struct("place", "node"))["node"].alias("to"), F.max("place").alias("edges"), F.min(F.struct("place", "cnt"))["cnt"].alias("first"))
+    ways = materialize(ends.withColumn("sid", F.monotonically_increasing_id()), "ways")
+    first = F.when(F.col("excess") > 0, -F.col("excess")).otherwise(0)
+    turns = number_rows(d.join(ways.select(F.col("head").alias("id")).distinct(), "id").withColumn("first", first), "first", "id", name="r").select(F.col("id").alias("node"), "r")
+    order = F.struct(-F.col("first"), "via", "sid") if prefer_high_depth else F.struct("via", "sid")
+    outs = ways.groupBy(F.col("head").alias("node")).agg(F.array_sort(F.collect_list(order)).alias("outs"))
+    outs = materialize(outs.join(turns, "node").select("node", "r", F.transform("outs", lambda x: F.struct(x["sid"].alias("sid"))).alias("outs")), "ways-out")
+    times = outs.select(F.posexplode("outs").alias("i", "o"), "r").select("o.sid", F.col("r").cast("long").alias("r"), F.col("i").cast("long").alias("i"), F.lit(0).cast("long").alias("s"))
+    times = materialize(times.withColumn("root", F.col("sid")), "times")
+    doublings = max(1, ways.count()).bit_length() + 1
+    while True:
+        ins = times.drop("root").join(ways.select("sid", F.col("to").alias("node")), "sid").groupBy("node").agg(F.collect_list(F.struct("r", "i", "s", "sid")).alias("ins"))
+        found = outs.join(ins, "node", "left").select("r", "outs", "ins").mapInArrow(_departures, "sid long, prev long, r long, i long")
+        lone = F.col("prev").isNull()
+        now = materialize(found.select(
+            "sid", F.col("prev").alias("at"), F.when(lone, 0).otherwise(1).cast("long").alias("s"),
+            *(F.when(lone, F.col(c)).alias(n) for c, n in (("r", "r"), ("i", "i"), ("sid", "root")))), "times")
+        for _ in range(doublings):
+            if now.where("at IS NOT NULL").isEmpty():
+                break
+            jump = now.select(F.col("sid").alias("at"), F.col("at").alias("on"), F.col("s").alias("more"), *(F.col(c).alias(f"{c}2") for c in ("r", "i", "root")))
+            now = materialize(now.join(jump, "at", "left").select(
+                "sid", F.col("on").alias("at"), (F.col("s") + F.coalesce("more", F.lit(0))).alias("s"), *(F.coalesce(c, f"{c}2").alias(c) for c in ("r", "i", "root"))), "times")
+        # what still has no start goes round in a circle and is of no trail yet
+        now = now.select("sid", "r", "i", F.when(F.col("r").isNotNull(), F.col("s")).alias("s"), "root")
+        same = times.join(now.select("sid", *(F.col(c).alias(f"{c}2") for c in "ris")), "sid").where(" AND ".join(f"{c} <=> {c}2" for c in "ris"))
+        settled = same.count() == times.count()
+        times = now
+        if settled:
+            break
+    along = Window.partitionBy("root").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ways.join(times, "sid").withColumn("before", F.coalesce(F.sum("edges").over(along), F.lit(0))).select("head", "via", "root", "before")
+    walked = places.join(ranked, ["head", "via"]).select("src", F.col("node").alias("dst"), "cnt", F.col("root").alias("trail"), (F.col("before") + F.col("place") - 1).cast("long").alias("rank"))
+    walked = materialize(walked, "trails")
+    circles = materialize(e.join(walked, ["src", "dst"], "left_anti").select("src", "dst", "cnt"), "circles")
+    if circles.isEmpty():
+        return walked
+    return walked.unionByName(trails(circles, prefer_high_depth).withColumn("trail", -F.col("trail") - 1).withColumn("rank", F.col("rank").cast("long")))
+
+
 def path_sequence(path, k: int):
     """Text of an array of nodes: the first, then the last base of each other; empty for an empty path."""
     ends = F.transform(F.slice(path, F.lit(2), F.size(path)), lambda n: F.substr(F.lit(dna.BASES), (n.bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)))
     return F.when(F.size(path) > 0, F.concat(dna.decode(F.try_element_at(path, F.lit(1)), k - 1), F.array_join(ends, ""))).otherwise("")
 
 
-def contigs(edges: DataFrame, k: int, min_length: int = 200, prefer_high_depth: bool = True) -> DataFrame:
-    """(name, sequence, length, num_kmers, avg_depth, path_nodes, is_circular) of trails of min_length bases or more, longest first."""
+def contigs(edges: DataFrame, k: int, min_length: int = 200, prefer_high_depth: bool = True, greedy: bool = False) -> DataFrame:
+    """(name, sequence, length, num_kmers, avg_depth, path_nodes, is_circular) of trails of min_length bases or more, longest first.
+
+    Trails are local pairings of edges, or with `greedy` what walks one after the other would find.
+    """
     steps = F.sort_array(F.collect_list(F.struct("rank", "src", "dst", "cnt")))
-    whole = trails(edges, prefer_high_depth).groupBy("trail").agg(steps.alias("steps"))
+    whole = (greedy_trails if greedy else trails)(edges, prefer_high_depth).groupBy("trail").agg(steps.alias("steps"))
     made = whole.select(
         "trail", F.size("steps").alias("num_kmers"), F.aggregate("steps", F.lit(0.0), lambda a, s: a + s["cnt"]).alias("total"),
         F.concat(F.array(F.col("steps")[0]["src"]), F.col("steps.dst")).alias("path_nodes"),
@@ -364,6 +446,7 @@ class Assembler:
     bubble_max_length: int = 100
     simplify_iterations: int = 5
     prefer_high_depth: bool = True
+    greedy: bool = True
 
     @classmethod
     def default(cls) -> Assembler:
@@ -374,7 +457,7 @@ class Assembler:
         conf = Simplification(self.tip_max_length, self.tip_min_depth, self.bubble_max_length, self.simplify_iterations)
         graph = materialize(build(reads, self.k, self.min_kmer_count), "graph")
         simple, removed = simplify(graph, conf)
-        made = materialize(contigs(simple, self.k, self.min_contig_length, self.prefer_high_depth), "contigs")
+        made = materialize(contigs(simple, self.k, self.min_contig_length, self.prefer_high_depth, self.greedy), "contigs")
         if output_fasta:
             text = records.contig_fasta(F.col("name"), F.col("sequence"), F.col("avg_depth"), F.col("is_circular"))
             write_records(made.select("name", text.alias("record")), output_fasta, order_by="name")
