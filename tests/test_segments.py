@@ -30,14 +30,14 @@ def points(df, *names):
     return sorted((r["read_id"], r["pos"], *(r[n] if isinstance(r[n], bool) else round(r[n], 9) for n in names)) for r in df.collect())
 
 
-@pytest.mark.parametrize("size", [4, 8, 1000])
+@pytest.mark.parametrize("size", [4, 1000])
 def test_segments_equal_the_whole_signal(spark, whole, size):
     cut = segments.of_arrays(whole, size)
     assert all(len(r["values"]) <= size for r in cut.collect())
     every = signals.long_form(whole)
     assert points(segments.to_points(cut), "value") == points(every, "value")
     assert points(segments.to_points(segments.of_points(every, size)), "value") == points(every, "value")
-    for kernel in (1, 3, 21):
+    for kernel in (1, 21):
         want = signals.long_form(whole.select("read_id", S.median_filter(F.col("signal"), kernel).alias("signal")))
         assert points(segments.to_points(segments.median_filter(cut, kernel, size)), "value") == points(want, "value")
     assert points(segments.running_std(cut, 10, size), "value") == points(signals.running_std(every, 10), "value")
@@ -46,7 +46,7 @@ def test_segments_equal_the_whole_signal(spark, whole, size):
     assert sorted(map(tuple, segments.regions(cut, 0.0, 0.5, 2).collect())) == sorted(map(tuple, signals.regions(every, 0.0, 0.5, 2).collect()))
 
 
-@pytest.mark.parametrize("size", [4, 16])
+@pytest.mark.parametrize("size", [4])
 def test_trim_and_normalise(spark, whole, size):
     cut = segments.of_arrays(whole, size)
     found = segments.trim_position(cut, 5, 0.5, 3, size)
@@ -56,7 +56,7 @@ def test_trim_and_normalise(spark, whole, size):
     assert all(len(r["values"]) <= size and r["start"] == r["segment"] * size for r in trimmed.collect())
     assert points(segments.to_points(trimmed), "value") == points(signals.long_form(whole.select("read_id", S.trim(F.col("signal"), 5, 0.5, 3).alias("signal"))), "value")
     norm = signals.long_form(whole.select("read_id", S.normalize(F.col("signal"))["norm"].alias("signal")))
-    for gathered in (0, 20, 10**6):
+    for gathered in (0, 20):
         assert points(segments.to_points(segments.normalize(cut, gathered=gathered)), "value") == points(norm, "value")
     conf = signals.Denoiser(3, 5.0, 10)
     assert points(segments.denoise(cut, conf, size), "value") == points(signals.long_form(signals.denoise(whole, conf).select("read_id", "signal")), "value")
@@ -91,7 +91,7 @@ def test_stats_of_one_read_that_holds_all_rows(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=20001).round(3)
     df = spark.createDataFrame([("hot", i, float(v)) for i, v in enumerate(x)] + [("b", 0, 1.0), (None, 0, 5.0), ("c", 0, None), ("c", 1, 2.0)], "read_id string, pos long, value double")
-    for gathered in (0, 100, 10**6):
+    for gathered in (100, 10**6):
         got = {r["read_id"]: r for r in signals.stats(df, gathered).collect()}
         assert set(got) == {"hot", "b", "c"} and got["hot"]["length"] == 20001 and got["b"]["mad"] == S.LEAST_MAD and got["c"]["median"] == 2.0
         assert got["hot"]["median"] == np.median(x) and got["hot"]["mad"] == pytest.approx(np.median(np.abs(x - np.median(x))), abs=1e-15)
