@@ -94,7 +94,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str =
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     docs = docs.drop(*[f.name for f in added if f.name != text_col])
     schema = T.StructType([*docs.schema, *added])
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # SAMPLE_DOCS and DICT_BYTES bound it
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # DICT_BYTES for each label; many thousands of labels would need groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex

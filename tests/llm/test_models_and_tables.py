@@ -288,7 +288,7 @@ def test_low_recall_widens_the_search(spark, monkeypatch):
     assert {r["vec_id"]: tuple(r[1:4]) for r in anngraph.digest(df).collect()} == brute_links(rows)
 
 
-@pytest.mark.parametrize("n", [500, 2000, 12_000])
+@pytest.mark.parametrize("n", [500, 3000])
 def test_rare_links_are_audited(spark, n):
     """A few pairs among vectors that link with nothing: the audit sees some of them, and tells where it saw none."""
     rng = np.random.default_rng(n)
@@ -304,7 +304,7 @@ def test_rare_links_are_audited(spark, n):
     out = anngraph.link_embeddings(df, figures=told)
     assert out.agg(F.sum("n_links")).first()[0] >= 0.9 * 2 * planted
     assert told[-1]["exhaustive"] or told[-1]["audited_links"] >= 5 and told[-1]["recall"] >= 0.9
-    if n == 2000:
+    if n == 500:
         told = []
         assert anngraph.link_embeddings(df.where(f"vec_id < {n - planted}"), figures=told).agg(F.sum("n_links")).first()[0] == 0
         assert not told[-1]["exhaustive"] and told[-1]["recall"] is None and told[-1]["audited_links"] == 0
