@@ -15,8 +15,8 @@ while the share of their true neighbours that were found is below `RECALL`, the
 and only its new blocks are searched. Where curves tell nothing (random vectors in many dimensions)
 it goes on until every block has been searched: then the result is exact and the audit no longer asked.
 
-Scores are sums in double precision over the original components, always added in one order, so
-equal vectors tie, and ties go to the smaller id.
+Scores are sums in double precision over the original components, added from the first to the last,
+so equal vectors tie, and ties go to the smaller id.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part;
 vectors of different lengths are searched apart; a row whose id is null is no query but is found,
@@ -177,8 +177,9 @@ def best_of(q: np.ndarray, c: np.ndarray, first: np.ndarray, top: int, least: np
         slack = 1e-12 * size * np.sqrt((part * part).sum(1))  # far above the rounding of either sum
         i, j = np.nonzero(near >= (worst - slack)[:, None])
         exact = np.empty(len(i))
-        for s in range(0, len(i), 1 << 16):
-            exact[s : s + (1 << 16)] = (part[i[s : s + (1 << 16)]] * c[j[s : s + (1 << 16)]]).sum(1)
+        for s in range(0, len(i), 1 << 14):
+            some = slice(s, s + (1 << 14))
+            exact[some] = np.add.accumulate(part[i[some]] * c[j[some]], axis=1)[:, -1]
         kept = _ranked(i, first[j], exact, top)
         rows.append(i[kept] + at)
         columns.append(j[kept])

@@ -166,12 +166,19 @@ def test_screening_keeps_ties_and_nearest():
 # ---- nearest neighbours ----
 
 
+def sum_of(v, w):
+    total = 0.0
+    for x, y in zip(v, w):  # one after the other; sum() of newer Pythons adds floats otherwise
+        total += float(x) * float(y)
+    return total
+
+
 def brute_nearest(rows, top=20):
     good = [(k, i, np.array(v, float)) for k, (i, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and np.any(v)]
     out = []
     for k, i, v in good:
         if i is not None and i % 20 == 0:
-            near = sorted((-(v * w).sum(), j is None, j or 0, m) for m, j, w in good if m != k and len(w) == len(v))[:top]
+            near = sorted((-sum_of(v, w), j is None, j or 0, m) for m, j, w in good if m != k and len(w) == len(v))[:top]
             out += [(i, r + 1, None if n else j, -s) for r, (s, n, j, _) in enumerate(near)]
     return sorted(out, key=str)
 
@@ -206,7 +213,7 @@ def test_nearest_follows_the_curves(spark):
     assert len(true & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.9 * len(true)
     assert told[-1]["window"] < told[-1]["blocks"] / 4  # most blocks were never searched
     by = dict(rows)
-    assert all(r["score"] == (np.array(by[r["query_id"]]) * np.array(by[r["vec_id"]])).sum() for r in got)
+    assert all(r["score"] == sum_of(by[r["query_id"]], by[r["vec_id"]]) for r in got)
 
 
 def test_no_or_few_rows(spark):
