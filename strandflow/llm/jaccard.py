@@ -54,6 +54,8 @@ CELL_ROWS = 1000
 CELL_BYTES = 4 << 20
 #: Salts by which the copies of a class are dealt out.
 SALTS = 256
+#: Most bits of the broadcast filter of texts (16 MB in words).
+MARK_BITS = 1 << 26
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -370,6 +372,15 @@ def _linked(members: DataFrame, attach: Callable[[DataFrame], DataFrame], work,
     return found.select("src", "dst")
 
 
+def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose `column` (a long) is in `ids`, and few others, without exchanging the rows: a bit for each hash, eight for
+    each id up to `MARK_BITS`, is broadcast in words of 64. With more ids more rows pass, never fewer."""
+    size = min(max(8 * ids.count(), 64), MARK_BITS)
+    mark, word, bit = (f"pmod(xxhash64({column}), {size}L){x}" for x in ("", " div 64", " % 64"))
+    marks = ids.select(F.expr(mark).alias("_mark")).groupBy(F.expr("_mark div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_mark % 64 as int)))").alias("_bits"))
+    return rows.join(F.broadcast(marks), F.expr(word) == F.col("_word")).where(F.expr(f"getbit(_bits, cast({bit} as int)) = 1")).drop("_word", "_bits")
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id): links of documents whose sets of `shingle` words reach the threshold (a fraction), followed through."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -395,7 +406,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     clusters = connected_components(near)
 
     members = clusters.join(classes, "node").select(F.col("component").alias("grp"), F.col("rep").alias("node"), F.col("n_shingles").alias("n"))
-    texts = known.select(F.col("doc_id").alias("node"), "text")
+    members = materialize(members, "jaccard-members")
+    texts = _among(known.select(F.col("doc_id").alias("node"), "text"), members.select("node"), "node")
     links = _linked(members, lambda cells: cells.join(texts, "node"), partial(links_in_cells, shingle=shingle, least=threshold), "jaccard-links")
     components = connected_components(links)
 

@@ -378,3 +378,13 @@ def test_one_item_repeated_many_times(spark):
         assert got[1]["hit_items"] == sorted(["one", "short", *(f"i{k:05d}" for k in range(3000))]) and len(got[1]["hit_words"]) == 30
         assert got[2]["hit_items"] == ["short"] and got[2]["hit_words"] == [0, 1]
         assert got[3]["hit_items"] == [] and len(got[3]["hit_words"]) == 4 and got[4]["n_words"] == 0
+
+
+def test_texts_are_filtered_before_they_are_exchanged(spark):
+    rows = spark.range(4000).selectExpr("id * 7 AS node", "repeat('x', 50) AS text")
+    ids = spark.range(300).selectExpr("id * 70 AS node")
+    found = jaccard._among(rows, ids, "node")
+    nodes = {r.node for r in found.collect()}
+    assert {70 * i for i in range(300)} <= nodes and len(nodes) < 1200
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
