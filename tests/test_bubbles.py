@@ -61,3 +61,16 @@ def test_stretches_hold_every_edge_once(spark):
         by.setdefault((r["head"], r["via"]), [r["head"]]).append(r["node"])
     assert all(e in edges for path in by.values() for e in zip(path, path[1:])) and max(map(len, by.values())) == 25
     assert max(r["place"] for r in G.stretches(df, 7).collect()) == 7
+
+
+def test_bubbles_take_jobs_that_do_not_grow_with_their_junctions(spark):
+    # a ladder of 30 junctions, of which only the last two paths meet at equal length: one round each was 30 rounds of three writes
+    rows = [(i, i + 1, 5) for i in range(60)] + [(2 * i, 1000 + i, 1) for i in range(1, 30)] + [(0, 100, 2)] + [(100 + i, 101 + i, 2) for i in range(58)] + [(158, 60, 2)]
+    edges = spark.createDataFrame(rows, "src long, dst long, cnt long")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ladder", "")
+    found = G.find_bubbles(edges).collect()
+    n = len(tracker.getJobIdsForGroup("ladder"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [(r.start, r.end, [len(p) for p in r.paths], r.weights) for r in found] == [(0, 60, [61, 61], [300, 120])]
+    assert n < 150, n

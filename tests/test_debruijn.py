@@ -146,3 +146,13 @@ def test_assembler_runs_from_reads_to_file(spark, tmp_path):
     assert [r["sequence"] for r in made.contigs.collect()] == [genome]
     assert made.stats.first()["n50"] == 300 and spark.read.text(f"file://{tmp_path}/fa").where("value LIKE '>%'").count() == 1
     assert G.Assembler.default() == G.Assembler(31, 2, 200, 10, 2.0, 100, 5)
+
+
+def test_tips_exchange_the_graph_once(spark):
+    ends = spark.createDataFrame([(1, 2, 2), (2, 3, 2), (3, 4, 2), (9, 3, 2)], "src long, dst long, cnt long")
+    spark.sparkContext.setJobGroup("tips", "")
+    kept, tips = G.trim_tips(ends, G.Simplification(tip_max_length=10))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("tips"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r.seed for r in tips.collect()) == [1, 9]
+    assert jobs < 40, jobs
