@@ -40,3 +40,18 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and set(catalog.QUERIES) <= set(e.queries())
+
+
+def test_labels_are_of_doubles_in_query_and_sql(spark, tmp_path):
+    import duckdb
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = (np.arange(1, 2000) / 1000).astype(np.float32)
+    split = x[np.floor(x * np.float32(1000)) != np.floor(x.astype(np.float64) * 1000)]
+    assert len(split)
+    pq.write_table(pa.table({"vec_id": pa.array([1], pa.int64()), "embedding": pa.array([split.tolist()], pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet')")
+    assert [tuple(r) for r in catalog.QUERIES["labels_to_bases"](spark, str(tmp_path)).collect()] == db.execute(catalog.ORACLES["labels_to_bases"]).fetchall()
