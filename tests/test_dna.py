@@ -87,3 +87,12 @@ def test_codes_of_32_bases(spark):
         n, rc = number(r["s"]), number(back(r["s"]))
         assert (r["code"], r["d"], r["rc"], r["c"]) == (signed(n), r["s"], signed(rc), signed(min(n, rc)))
         assert (r["p"], r["x"], r["e"]) == (n >> 2, n & ((1 << 62) - 1), r["code"])
+
+
+def test_kmer_arrays_equal_the_column_function(spark):
+    from strandflow.operators import kmers
+
+    rows = [(1, "ATCGGCTA"), (2, "AT"), (3, None), (4, ""), (5, "ggnATCCC"), (6, "TTTTT")]
+    reads = spark.createDataFrame(rows, "read_id long, sequence string")
+    want = {r.read_id: r.c for r in reads.select("read_id", dna.kmers(F.col("sequence"), 5).alias("c")).collect()}
+    assert {r.read_id: r.codes for r in kmers.kmer_arrays(reads, 5).collect()} == want
