@@ -93,3 +93,12 @@ def test_trails_are_the_chains_of_pairs(spark):
     for r in G.trails(frame(spark, edges)).collect():
         by.setdefault(r["trail"], []).append((r["rank"], (r["src"], r["dst"])))
     assert sorted([e for _, e in sorted(t)] for t in by.values()) == paired(edges)
+
+
+def test_components_move_ends_of_pieces_only(spark, monkeypatch):
+    edges = {(i, i + 1): 1 for i in range(300)} | {(i, i + 1): 1 for i in range(500, 520)} | {(i, (i + 1) if i < 708 else 700): 1 for i in range(700, 709)} | {(900, 900): 1, (10, 250): 1}
+    counted, whole = [], P.connected_components
+    monkeypatch.setattr(P, "connected_components", lambda e, a, b: counted.append(e.count()) or whole(e, a, b))
+    got = {r["id"]: r["component"] for r in G.components(frame(spark, edges)).collect()}
+    assert got == {i: 0 for i in range(301)} | {i: 500 for i in range(500, 521)} | {i: 700 for i in range(700, 709)} | {900: 900}
+    assert counted[0] < len(edges) / 3
