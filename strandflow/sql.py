@@ -15,6 +15,7 @@ stay one read each, so they are called with LATERAL.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -52,6 +53,7 @@ SCALAR = [
 ]
 _PAIR = str.maketrans("ATCG", "TAGC")
 _DIGIT = {b: i for i, b in enumerate(BASES)}
+_OTHERS = re.compile("[^ATCG]")
 
 
 def _constant(argument: AnalyzeArgument, name: str, kinds: tuple):
@@ -80,15 +82,17 @@ class Kmers:
     def eval(self, sequence: str | None, k: int, canonical: bool = False) -> Iterator[tuple]:
         if sequence is None:
             return
-        bases = "".join(b if b in _DIGIT else "A" for b in sequence.upper())
+        bases = _OTHERS.sub("A", sequence.upper())
         back = bases.translate(_PAIR)[::-1] if canonical else ""
-        code, mask = 0, (1 << 2 * k) - 1
-        for end, base in enumerate(bases, 1):
-            code = (code << 2 | _DIGIT[base]) & mask
+        n, top, mask = len(bases), 2 * k - 2, (1 << 2 * k) - 1
+        code = behind = 0  # of the last k bases and of their complement read backward
+        for end, digit in enumerate(map(_DIGIT.__getitem__, bases), 1):
+            code = (code << 2 | digit) & mask
+            behind = behind >> 2 | (digit ^ 1) << top
             if end >= k:
                 word = bases[end - k : end]
-                row = (end - k, word) + ((code,) if k <= 31 else ())
-                yield (*row, min(word, back[len(bases) - end : len(bases) - end + k], key=lambda w: [_DIGIT[b] for b in w])) if canonical else row
+                row = (end - k, word, code) if k <= 31 else (end - k, word)
+                yield (*row, word if code <= behind else back[n - end : n - end + k]) if canonical else row
 
 
 class SignalChunks:
