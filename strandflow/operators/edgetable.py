@@ -1,7 +1,7 @@
 """A graph's edges kept on disk by node, with a log of changes.
 
 The edges are written twice, in buckets of their source and of their target; a log of additions and removals in the same
-buckets. What a change says of an edge is one row of the log (`gone`: what the base has of it does not count, `added`: the weight
+buckets (by target only once a version of it is read by target). What a change says of an edge is one row of the log (`gone`: what the base has of it does not count, `added`: the weight
 added since), so the log is merged by a join of buckets with buckets. Reading, degrees, neighbours and joins with nodes
 exchange no edges; a change exchanges the change and the log. `compact` writes base and log as a new base.
 
@@ -45,14 +45,21 @@ class EdgeTable:
         return f"{self.name}_{kind}{version}_{side}"
 
     def _save(self, rows: DataFrame, kind: str, version: int) -> None:
-        for side in SIDES:
-            if side == "dst":  # from the first copy, so that both hold the same
-                rows = self.spark.table(self._named(kind, version, "src"))
-            dealt = rows.repartition(self.buckets, side)
-            dealt.write.bucketBy(self.buckets, side).sortBy("src", "dst").format("parquet").saveAsTable(self._named(kind, version, side))
+        """Both copies of a base; of a log the one by source, as `_read` adds the other when it is first asked for."""
+        for side in SIDES[: 1 if kind == "log" else 2]:
+            self._write(rows, kind, version, side)
+
+    def _write(self, rows: DataFrame | None, kind: str, version: int, side: str) -> None:
+        if side == "dst":  # from the first copy, so that both hold the same
+            rows = self.spark.table(self._named(kind, version, "src"))
+        dealt = rows.repartition(self.buckets, side)
+        dealt.write.bucketBy(self.buckets, side).sortBy("src", "dst").format("parquet").saveAsTable(self._named(kind, version, side))
 
     def _read(self, kind: str, side: str) -> DataFrame:
-        return self.spark.table(self._named(kind, self.base if kind == "base" else self.log, side))
+        version = self.base if kind == "base" else self.log
+        if not self.spark.catalog.tableExists(self._named(kind, version, side)):
+            self._write(None, kind, version, side)
+        return self.spark.table(self._named(kind, version, side))
 
     def _change(self, change: DataFrame) -> None:
         """A new version of the log; `change` has a row for an edge."""

@@ -79,3 +79,14 @@ def test_edges_are_not_exchanged(spark, table):
             assert rows(joined) == rows(plain.select(*joined.columns))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_log_that_nobody_reads_by_target_is_written_once(spark):
+    kept = EdgeTable.create(spark.createDataFrame([(1, 2, 1), (2, 3, 1)], "src long, dst long, cnt long"), 2)
+    kept.add(spark.createDataFrame([(2, 3, 4), (3, 1, 1)], "src long, dst long, cnt long"))
+    copies = lambda: sum(t.name.startswith(f"{kept.name}_log1".lower()) for t in spark.catalog.listTables())
+    assert copies() == 1
+    assert sorted(map(tuple, kept.edges("dst").collect())) == sorted(map(tuple, kept.edges("src").collect())) == [(1, 2, 1), (2, 3, 5), (3, 1, 1)]
+    assert copies() == 2
+    kept.drop()
+    assert copies() == 0
