@@ -14,8 +14,9 @@ distance of whole sketches, a lower bound of the symmetric difference. Only pair
 pass are closed into candidate clusters, whose texts are then compared exactly.
 
 Scale: identical sets are one class from the start, in each slice and again by a grouped
-minimum over salted ids. Keys travel packed, one row for each slice and bucket; groups of
-sets with the same holders are one group. A group or cluster beyond `CELL_ROWS` or
+minimum over salted ids. Keys travel packed, one row for each slice and bucket, cut to 32
+bits beside their bucket (keys that are taken as equal only add pairs to test), and are never
+written but by this one exchange; groups of sets with the same holders are one group. A group or cluster beyond `CELL_ROWS` or
 `CELL_BYTES` is dealt out twice: first everyone is compared with its least member, in many
 cells; then only those it did not link are compared with everyone, in a grid of cells. A
 hot group of copies of one text so costs one comparison a copy. Cells return a spanning
@@ -54,7 +55,8 @@ CELL_ROWS = 1000
 CELL_BYTES = 4 << 20
 #: Salts by which the copies of a class are dealt out.
 SALTS = 256
-#: Most bits of the broadcast filter of texts (16 MB in words).
+#: Bits for each id of the broadcast filter of rows, and most bits of all (16 MB in words).
+ID_BITS = 64
 MARK_BITS = 1 << 26
 
 
@@ -173,7 +175,7 @@ def _node(d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
 
 
 def _sketch(buckets: int, id_col: str, text_col: str, shingle: int, least: tuple[int, int]):
-    """Rows of bucket -1 hold (id, set size, digests, sketch) of a slice; the others nodes and their keys."""
+    """Rows of negative buckets hold (id, set size, digests, sketch) of a slice; the others nodes and their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col, SLICE_BYTES):
@@ -182,7 +184,7 @@ def _sketch(buckets: int, id_col: str, text_col: str, shingle: int, least: tuple
             d1, d2 = _digests(sh, sh2, starts)
             ids = part.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
             sketches, _ = whole_sketches(sh, starts, sketch_words(n, least))
-            rows = [(-1, ids.tobytes(), n.tobytes(), d1.tobytes(), d2.tobytes(), sketches.tobytes(), b"", b"", b"")]
+            rows = [(-1 - int(mix(ids.view(np.uint64)).sum() % np.uint64(buckets)), ids.tobytes(), n.tobytes(), d1.tobytes(), d2.tobytes(), sketches.tobytes(), b"", b"", b"")]
             _, first = np.unique(np.stack([d1, d2], 1), axis=0, return_index=True)
             first = np.sort(first[n[first] > 0])
             if len(first):
@@ -196,6 +198,7 @@ def _sketch(buckets: int, id_col: str, text_col: str, shingle: int, least: tuple
                 nodes = np.tile(_node(d1[first], d2[first]), 2)
                 owner = np.repeat(np.arange(len(nodes)), counts)
                 bucket = (keys % np.uint64(buckets)).astype(np.int64)
+                keys = (keys // np.uint64(buckets)).astype(np.uint32)  # its lower bits
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for i in np.flatnonzero(np.diff(cut)).tolist():
@@ -209,13 +212,19 @@ def _sketch(buckets: int, id_col: str, text_col: str, shingle: int, least: tuple
     return run
 
 
-def _unpack(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for *numbers, sketches in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            cols = [np.frombuffer(x, np.int64) for x in numbers]
-            ends = np.concatenate([[0], np.cumsum(8 * sketch_words(cols[1], least))]).astype(np.int32)
-            made = pa.BinaryArray.from_buffers(pa.binary(), len(cols[1]), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(sketches)])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(_node(*(x.view(np.uint64) for x in cols[2:]))), made], names=["doc_id", "n_shingles", "d1", "d2", "node", "sketch"])
+_MET = "grp long, node long, doc_id long, n_shingles long, d1 long, d2 long, sketch binary"
+
+
+def _meet(table: pa.Table, least: tuple[int, int]) -> pa.Table:
+    """Of a bucket of keys, groups (grp, node); of any other, the sets of its slices, with a null grp."""
+    if table.column("bucket")[0].as_py() >= 0:
+        return _holders(table)
+    *numbers, sketches = (table.column(c).to_pylist() for c in ("ids", "n", "d1", "d2", "sketches"))
+    ids, n, d1, d2 = (np.frombuffer(b"".join(x), np.int64) for x in numbers)
+    ends = np.concatenate([[0], np.cumsum(8 * sketch_words(n, least))]).astype(np.int64)
+    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(sketches))])
+    node = _node(d1.view(np.uint64), d2.view(np.uint64))
+    return pa.table([pa.nulls(len(n), pa.int64()), *map(pa.array, (node, ids, n, d1, d2)), made.cast(pa.binary())], names=["grp", "node", "doc_id", "n_shingles", "d1", "d2", "sketch"])
 
 
 def _holders(table: pa.Table) -> pa.Table:
@@ -223,7 +232,7 @@ def _holders(table: pa.Table) -> pa.Table:
     nodes, keys = [], []
     for n, c, k in zip(*(table.column(x).to_pylist() for x in ("nodes", "counts", "keys"))):
         nodes.append(np.repeat(np.frombuffer(n, np.int64), np.frombuffer(c, np.int32)))
-        keys.append(np.frombuffer(k, np.uint64))
+        keys.append(np.frombuffer(k, np.uint32))
     nodes, keys = np.concatenate(nodes), np.concatenate(keys)
     order = np.argsort(keys, kind="stable")
     alike = keys[order][1:] == keys[order][:-1]
@@ -244,7 +253,9 @@ def _holders(table: pa.Table) -> pa.Table:
     one = one[size[one] > 1]
     ends = np.cumsum(size[one])
     at = np.arange(ends[-1] if len(one) else 0) + np.repeat(first[one] - (ends - size[one]), size[one])
-    return pa.table({"grp": pa.array(np.repeat(group[one], size[one]).view(np.int64)), "node": pa.array(nodes[at])})
+    grp = np.repeat(group[one], size[one]).view(np.int64)
+    nothing = pa.nulls(len(grp), pa.int64())
+    return pa.table([pa.array(grp), pa.array(nodes[at]), nothing, nothing, nothing, nothing, pa.nulls(len(grp), pa.binary())], names=["grp", "node", "doc_id", "n_shingles", "d1", "d2", "sketch"])
 
 
 def _cells(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table, np.ndarray], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
@@ -373,9 +384,9 @@ def _linked(members: DataFrame, attach: Callable[[DataFrame], DataFrame], work,
 
 
 def _among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The rows whose `column` (a long) is in `ids`, and few others, without exchanging the rows: a bit for each hash, eight for
+    """The rows whose `column` (a long) is in `ids`, and few others, without exchanging the rows: a bit for each hash, `ID_BITS` for
     each id up to `MARK_BITS`, is broadcast in words of 64. With more ids more rows pass, never fewer."""
-    size = min(max(8 * ids.count(), 64), MARK_BITS)
+    size = min(max(ID_BITS * ids.count(), 64), MARK_BITS)
     mark, word, bit = (f"pmod(xxhash64({column}), {size}L){x}" for x in ("", " div 64", " % 64"))
     marks = ids.select(F.expr(mark).alias("_mark")).groupBy(F.expr("_mark div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_mark % 64 as int)))").alias("_bits"))
     return rows.join(F.broadcast(marks), F.expr(word) == F.col("_word")).where(F.expr(f"getbit(_bits, cast({bit} as int)) = 1")).drop("_word", "_bits")
@@ -387,19 +398,18 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     known = docs.where("doc_id IS NOT NULL")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
-    packed = materialize(known.mapInArrow(_sketch(buckets, "doc_id", "text", shingle, threshold), _PACKED), "jaccard-keys")
-    stats = packed.where("bucket = -1").select("ids", "n", "d1", "d2", "sketches")
-    stats = stats.mapInArrow(partial(_unpack, least=threshold), "doc_id long, n_shingles long, d1 long, d2 long, node long, sketch binary")
-    stats = materialize(stats.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))), "jaccard-sets")
-    groups = packed.where("bucket >= 0").select("bucket", "nodes", "counts", "keys").groupBy("bucket").applyInArrow(_holders, "grp long, node long")
-    groups = materialize(groups.distinct(), "jaccard-groups")
+    packed = known.mapInArrow(_sketch(buckets, "doc_id", "text", shingle, threshold), _PACKED)
+    met = materialize(packed.groupBy("bucket").applyInArrow(lambda table: _meet(table, threshold), _MET), "jaccard-met")
+    stats = met.where("grp IS NULL").drop("grp").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    groups = materialize(met.where("grp IS NOT NULL").select("grp", "node").distinct(), "jaccard-groups")
 
     # a class is the documents of one set; its copies are dealt by salt, and named by their least doc_id
     exact = ["d1", "d2", "n_shingles"]
     salted = materialize(stats.where("n_shingles > 0").groupBy(*exact, "node", "salt").agg(F.min("doc_id").alias("doc_id")), "jaccard-salted")
     classes = materialize(salted.groupBy(*exact, "node").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     shared = groups.select("node").distinct()
-    sketched = stats.select("doc_id", *exact, "sketch").join(classes.join(shared, "node", "left_semi").withColumnRenamed("rep", "doc_id"), ["doc_id", *exact])
+    wanted = materialize(classes.join(shared, "node", "left_semi").select(F.col("rep").alias("doc_id"), *exact), "jaccard-wanted")
+    sketched = _among(stats.select("doc_id", *exact, "node", "sketch"), wanted.select("doc_id"), "doc_id").join(wanted, ["doc_id", *exact])
     sketched = materialize(sketched.select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node", "n"]), "jaccard-sketches")
     members = groups.withColumn("n", F.lit(0).cast("long"))
     near = _linked(members, lambda cells: cells.drop("n").join(sketched, "node"), partial(near_in_cells, least=threshold), "jaccard-near")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -388,3 +389,18 @@ def test_texts_are_filtered_before_they_are_exchanged(spark):
     assert {70 * i for i in range(300)} <= nodes and len(nodes) < 1200
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in plan
+
+
+def test_little_is_written_beside_the_texts(spark):
+    """Keys of sets are exchanged once and not written; of rows that are not asked for, few pass the filter."""
+    rng = np.random.default_rng(10)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 300)) for _ in range(1500)]
+    texts += [t + " one more" for t in texts[:50]]
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.digest(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: i - 1500 if i >= 1500 else i for i in range(1550)}
+    written = sum(os.path.getsize(os.path.join(at, f)) for step in set(os.listdir(folder)) - before for at, _, files in os.walk(os.path.join(folder, step)) for f in files)
+    assert written < 0.3 * sum(map(len, texts))
+    rows = spark.range(4000).selectExpr("id * 7 AS node")
+    assert jaccard._among(rows, spark.range(300).selectExpr("id * 70 AS node"), "node").count() < 420
