@@ -145,9 +145,9 @@ def trim_position(segments: DataFrame, window: int = 200, threshold: float = 2.0
 
 
 def _known(segments: DataFrame, of_reads: DataFrame) -> DataFrame:
-    """Segments joined with a row for each read, in salted copies: the segments of one read go to many tasks."""
-    copies = of_reads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(selection.SALT - 1))))
-    return segments.withColumn("salt", F.pmod("segment", F.lit(selection.SALT)).cast("int")).join(copies, ["read_id", "salt"]).drop("salt")
+    """Segments joined with a row for each read; the segments of one read go to many tasks."""
+    of_reads = materialize(of_reads, "of-reads")
+    return selection.join_keys(segments, of_reads, ["read_id"], selection.few(of_reads))
 
 
 def trim(segments: DataFrame, positions: DataFrame, size: int = SIZE) -> DataFrame:

@@ -95,7 +95,7 @@ def _selected_median_mad(points: DataFrame) -> DataFrame:
     values = points.select(F.col("read_id").alias("key"), "value")
     center = materialize(selection.medians(values), "medians")
     spread = selection.medians(selection.deviations(values, center))
-    return center.join(spread.withColumnRenamed("median", "m"), "key").withColumnRenamed("key", "read_id")
+    return center.hint("merge").join(spread.withColumnRenamed("median", "m"), "key").withColumnRenamed("key", "read_id")
 
 
 def stats(points: DataFrame, gathered: int = GATHERED) -> DataFrame:
@@ -116,7 +116,7 @@ def stats(points: DataFrame, gathered: int = GATHERED) -> DataFrame:
         # at most one in `gathered` rows names a large read
         found = _selected_median_mad(points.join(large, "read_id", "left_semi")).unionByName(_median_mad(points.join(large, "read_id", "left_anti")))
     mad = F.when(F.col("m") == 0, S.LEAST_MAD).otherwise(F.col("m"))
-    return first.join(found, "read_id").select("read_id", "median", mad.alias("mad"), (mad * S.MAD_SCALE).alias("std_equivalent"), "mean", "std", "min", "max", "length")
+    return first.hint("merge").join(found, "read_id").select("read_id", "median", mad.alias("mad"), (mad * S.MAD_SCALE).alias("std_equivalent"), "mean", "std", "min", "max", "length")
 
 
 @dataclass(frozen=True)

@@ -1,5 +1,6 @@
 """Signals in segments, exact order statistics and numbering within keys, against the whole arrays."""
 
+import random
 import statistics
 
 import numpy as np
@@ -105,3 +106,18 @@ def test_numbers_within_keys(spark):
     for k, t, i in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
         by.setdefault(k, []).append(i)
     assert len(got) == len(rows) and all(by[r["k"]][r["pos"]] == r["i"] for r in got)
+
+
+def test_what_is_known_of_many_keys_is_not_sent_to_the_driver(spark, monkeypatch):
+    rng = random.Random(8)
+    by = {k: [rng.uniform(-9, 9) for _ in range(rng.randint(1, 9))] for k in range(60)}
+    df = spark.createDataFrame([(k, v) for k, vs in by.items() for v in vs], "key int, value double")
+    center = {k: statistics.median(v) for k, v in by.items()}
+    known = spark.createDataFrame(list(center.items()), "key int, median double")
+    for most in (10, 100):
+        monkeypatch.setattr(selection, "FEW", most, raising=False)
+        far = selection.deviations(df, known)
+        plan = far._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastExchange" in plan) == (most == 100)
+        assert sorted(map(tuple, far.collect())) == sorted((k, abs(v - center[k])) for k, vs in by.items() for v in vs)
+        assert {r["key"]: r["median"] for r in selection.medians(df).collect()} == center
