@@ -137,10 +137,11 @@ def paths_forward(edges: DataFrame, starts: DataFrame, max_length: int = 1000) -
     while 2 ** len(jumps) <= max_length:
         half = jumps[-1]
         jumps.append(materialize(half.select("node", F.col("dst").alias("mid")).join(half.withColumnRenamed("node", "mid"), "mid").select("node", "dst"), "jumps"))
-    places = starts.select("id", F.lit(0).alias("place"), F.col("id").alias("node"))
+    # starts may cost a pass over all edges, so they are made once; a round writes only what it adds
+    places = materialize(starts.select("id", F.lit(0).alias("place"), F.col("id").alias("node")), "path-starts")
     for k in reversed(range(len(jumps))):
         further = places.join(jumps[k], "node").select("id", (F.col("place") + 2**k).alias("place"), F.col("dst").alias("node"))
-        places = materialize(places.unionByName(further.where(F.col("place") <= max_length)), "path-places")
+        places = places.unionByName(materialize(further.where(F.col("place") <= max_length), "path-places"))
     closed = places.where("place > 0 AND node = id").groupBy("id").agg(F.min("place").alias("last"))
     kept = places.join(closed, "id", "left").where("last IS NULL OR place <= last").join(only, "node", "left")
     steps = F.sort_array(F.collect_list(F.struct("place", "node", "cnt")))

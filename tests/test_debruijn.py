@@ -156,3 +156,19 @@ def test_tips_exchange_the_graph_once(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert sorted(r.seed for r in tips.collect()) == [1, 9]
     assert jobs < 40, jobs
+
+
+def test_starts_of_paths_are_made_once(spark):
+    """Starts may cost a pass over all edges; and a round writes only the places it adds."""
+    edges = spark.createDataFrame([(i, i + 1, 1) for i in range(40)], "src long, dst long, cnt long")
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    starts = spark.range(0, 40, 10, 1).mapInArrow(count, "id long")
+    got = {r["id"]: r["path"] for r in G.paths_forward(edges, starts, 25).collect()}
+    assert got == {i: list(range(i, min(i + 25, 40) + 1)) for i in (0, 10, 20, 30)}
+    assert made.value == 4
