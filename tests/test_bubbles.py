@@ -74,3 +74,20 @@ def test_bubbles_take_jobs_that_do_not_grow_with_their_junctions(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert [(r.start, r.end, [len(p) for p in r.paths], r.weights) for r in found] == [(0, 60, [61, 61], [300, 120])]
     assert n < 150, n
+
+
+def test_regions_are_held_once_for_starts_that_share_them(spark, monkeypatch):
+    # 40 forks in a row whose ways differ in length: the regions of single starts hold 40 * 41 / 2 junctions and more
+    rows = [(i, 1000 + i, i + 1, n) for i in range(40) for n in (1, 2)]
+    whole = spark.createDataFrame(rows, "head long, via long, to long, edges int")
+    starts = whole.groupBy("head").count().where("count > 1").selectExpr("head AS start")
+    found = G._regions(whole, starts, 100).collect()
+    assert sorted(r.head for r in found if r.begins) == list(range(40)) and len(found) < 300
+    # groups are split where many starts come to one label, and still reach all they have to
+    monkeypatch.setattr(G, "GROUP", 8)
+    found = G._regions(whole, starts, 5).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.group, {})[r.head] = r.begins
+    assert len(by) >= 5 and sorted(h for g in by.values() for h, b in g.items() if b) == list(range(40))
+    assert all({*range(s, min(s + 5, 41))} <= {*g} for g in by.values() for s, b in g.items() if b)
