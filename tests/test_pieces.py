@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from strandflow.operators import debruijn as G
 from strandflow.operators import pieces as P
@@ -102,3 +103,46 @@ def test_components_move_ends_of_pieces_only(spark, monkeypatch):
     got = {r["id"]: r["component"] for r in G.components(frame(spark, edges)).collect()}
     assert got == {i: 0 for i in range(301)} | {i: 500 for i in range(500, 521)} | {i: 700 for i in range(700, 709)} | {900: 900}
     assert counted[0] < len(edges) / 3
+
+
+def _sequences(k, rng):
+    base = "".join(rng.choice("ATCG") for _ in range(300))
+    cuts = [(rng.randrange(300), rng.choice([0, 1, k - 2, k - 1, k, k + 1, 60, 200])) for _ in range(20)]
+    return [base[a : a + n] for a, n in cuts] + ["A" * 70, "", None]
+
+
+def _counted_ends(texts, k, least):
+    code = lambda w: sum("ATCG".index(c) << 2 * (len(w) - 1 - i) for i, c in enumerate(w))
+    n = {}
+    for w in (t[i : i + k] for t in texts if t for i in range(len(t) - k + 1)):
+        n[w] = n.get(w, 0) + 1
+    edges = [(code(w[:-1]), code(w[1:]), c) for w, c in n.items() if c >= least]
+    return sorted([(a, b, True, c) for a, b, c in edges] + [(b, a, False, c) for a, b, c in edges])
+
+
+@pytest.mark.parametrize("k", [3, 11, 12, 31])
+def test_runs_of_bases_hold_every_kmer_as_often_as_the_reads(k, monkeypatch):
+    rng = random.Random(k)
+    for buckets, run, bases, counted in ((1, 4096, 1 << 20, 1 << 20), (3, 1, 50, 40), (16, 5, 200, 40), (1024, 4096, 1 << 20, 1 << 20)):
+        for name, value in (("BUCKETS", buckets), ("RUN", run), ("SLICE_BASES", bases), ("COUNTED", counted)):
+            monkeypatch.setattr(P, name, value)
+        texts = _sequences(k, rng)
+        read = [pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["s"]) for x in (texts[:7], texts[7:])]
+        rows = sorted((tuple(r.values()) for b in P._runs(k)(iter(read)) for r in b.to_pylist()), key=lambda r: r[0])
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        dealt = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "sizes", "bases"])
+        for least in (1, 2):
+            found = [tuple(r.values()) for b in P._counted(k, least)(dealt.slice(i, 3) for i in range(0, len(rows), 3)) for r in b.to_pylist()]
+            assert sorted(found) == _counted_ends(texts, k, least)
+            nodes = [f[0] for f in found]
+            assert 1 + sum(a != b for a, b in zip(nodes, nodes[1:])) == len(set(nodes))
+
+
+def test_pieces_of_reads_exchange_few_bytes(spark):
+    rng = random.Random(3)
+    texts = _sequences(31, rng)
+    reads = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "read_id long, sequence string")
+    assert rows(P.Pieces.of_reads(reads, 31, 2).edges()) == rows(G.build(reads, 31, 2))
+    long = pa.RecordBatch.from_arrays([pa.array(["".join(rng.choice("ATCG") for _ in range(200_000))])], names=["s"])
+    sent = sum(len(x) for b in P._runs(31)(iter([long])) for c in ("sizes", "bases") for x in b.column(c).to_pylist())
+    assert sent < 2 * 200_000, sent  # k-mers with counts and both ends of each edge were 24 and 96 bytes a base before they were compressed
