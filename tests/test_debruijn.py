@@ -172,3 +172,17 @@ def test_starts_of_paths_are_made_once(spark):
     got = {r["id"]: r["path"] for r in G.paths_forward(edges, starts, 25).collect()}
     assert got == {i: list(range(i, min(i + 25, 40) + 1)) for i in (0, 10, 20, 30)}
     assert made.value == 4
+
+
+def test_contigs_without_nodes_are_the_same_and_write_none(spark, monkeypatch):
+    from strandflow.operators import debruijn
+    from strandflow.plans import numbering
+
+    rng, written = random.Random(8), []
+    whole = numbering.materialize
+    monkeypatch.setattr(numbering, "materialize", lambda df, name: written.append(df.columns) or whole(df, name))
+    one = "".join(rng.choice("ATCG") for _ in range(120))
+    reads = spark.createDataFrame([(i, one[a : a + 60]) for i, a in enumerate((0, 0, 30, 30, 60, 60))], "read_id long, sequence string")
+    with_, without = debruijn.assemble(reads, 11, 2, 20), debruijn.assemble(reads, 11, 2, 20, path_nodes=False)
+    assert with_.drop("path_nodes").collect() == without.collect() and without.count() > 0
+    assert ["path_nodes" in c for c in written] == [True, False]
